@@ -1,6 +1,6 @@
 """Every registered query."""
 
-from folioseek.plans import catalog_tables  # noqa: F401
+from folioseek.plans import catalog_documents, catalog_tables, catalog_vectors  # noqa: F401
 from folioseek.plans.registry import QUERIES
 
 __all__ = ["QUERIES"]
