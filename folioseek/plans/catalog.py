@@ -1,6 +1,12 @@
 """Every registered query."""
 
-from folioseek.plans import catalog_documents, catalog_tables, catalog_vectors  # noqa: F401
+from folioseek.plans import (  # noqa: F401
+    catalog_documents,
+    catalog_ingest,
+    catalog_search,
+    catalog_tables,
+    catalog_vectors,
+)
 from folioseek.plans.registry import QUERIES
 
 __all__ = ["QUERIES"]

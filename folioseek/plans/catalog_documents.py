@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioseek.functions import text
@@ -357,18 +357,12 @@ def _(spark, sf):
 
 @query(
     "srt_1_newest_first",
-    """SELECT id, row_number() OVER (ORDER BY modified DESC NULLS FIRST, id) AS place FROM v_document""",
+    """SELECT id, title, CAST(modified AS VARCHAR) AS modified FROM v_document ORDER BY v_document.modified DESC NULLS FIRST, id""",
     "v_document",
 )
 def _(spark, sf):
-    ordered = document_tables(spark, sf).documents.select("id", "modified")
-    # Every place as the sorted listing shows it: rank inside a day, days counted before.
-    by_day = ordered.withColumn("day", F.datediff(F.lit("2100-01-01").cast("date"), F.col("modified").cast("date")))
-    counts = by_day.groupBy("day").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("day", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
-    inside = F.row_number().over(Window.partitionBy("day").orderBy(*newest_first("modified", "id")))
-    return by_day.join(offsets, "day").select("id", (F.col("earlier") + inside).alias("place"))
+    ordered = document_tables(spark, sf).documents.orderBy(*newest_first("modified", "id"))
+    return ordered.select("id", "title", *text_of("modified"))
 
 
 @query(
