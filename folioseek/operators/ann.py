@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioseek.operators import blocks
-from folioseek.operators.search import by_grid, exact_top_k, per_query_top, query_block
+from folioseek.operators.search import by_grid, exact_top_k, per_query_top, queries_within, query_block
 from folioseek.plans import sizing
 
 LISTS = 100
@@ -33,18 +33,19 @@ def train_centroids(
         train = train.sample(fraction, seed)
     points = train.select(array_to_vector("embedding").alias("features"))
     model = KMeans(k=lists, seed=seed, maxIter=iterations).fit(points)
-    rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    return vectors.sparkSession.createDataFrame(rows, "list_id int, centroid array<double>")
+    centers = [[float(x) for x in c] for c in model.clusterCenters()]
+    table = pa.table({
+        "list_id": pa.array(range(len(centers)), pa.int32()),
+        "centroid": pa.array(centers, pa.list_(pa.float64())),
+    })
+    return vectors.sparkSession.createDataFrame(table)
 
 
 def _centroid_block(centroids: DataFrame, metric: str, k: int = 1) -> blocks.QueryBlock:
     columns = centroids.select(F.col("list_id").alias("query_id"), F.col("centroid").alias("q"))
-    first = columns.select(F.size("q").alias("dim")).first()
-    if first is None:
-        raise ValueError("no centroids")
-    rows = sizing.collect_bounded(columns, max(1, MAX_CENTROID_BYTES // (8 * first["dim"])))
-    if rows is None:
-        raise ValueError("centroids exceed the broadcast bound; use fewer lists")
+    rows = queries_within(columns, MAX_CENTROID_BYTES)
+    if not rows:
+        raise ValueError("no centroids, or more than the broadcast bound; change the number of lists")
     return query_block(sorted(rows, key=lambda r: r["query_id"]), k, metric)
 
 
@@ -105,9 +106,7 @@ def ivf_search(
     """
     queries = queries.select("query_id", "q").filter(F.col("q").isNotNull())
     probed = nearest_lists(queries, centroids, probes)
-    first = queries.select(F.size("q").alias("dim")).first()
-    limit = max(1, max_query_bytes // (8 * ((first["dim"] if first else 1) + probes)))
-    rows = sizing.collect_bounded(queries, limit)
+    rows = queries_within(queries, max_query_bytes)
     stored = spark.read.parquet(path).select("id", "embedding", "list_id")
     if rows is None:
         local = by_grid(stored, queries.join(probed, "query_id"), k, "l2", max_query_bytes, on="list_id")

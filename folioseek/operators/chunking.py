@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioseek.plans import sizing
+
 CHUNK_SIZE = 1000
 CHUNK_OVERLAP = 200
 FLUSH_CHARS = 8_000_000
@@ -79,7 +81,7 @@ def chunk_documents(
     A document whose splitter raises yields one row with the message in ``error``; the others
     go on. Chunks leave a task in bounded batches, so a long document is never held twice.
     """
-    kept = docs.select(key, *carry, column)
+    kept = sizing.fill_cores(docs.select(key, *carry, column), key)
     fields = [kept.schema[c] for c in (key, *carry)]
     schema = T.StructType([
         *fields,
@@ -147,7 +149,7 @@ def window_chunks(
         return F.substring(F.array_join(F.slice("_strides", i + 1, F.lit(per_window)), ""), 1, size)
 
     return (
-        docs.select(key, column)
+        sizing.fill_cores(docs.select(key, column), key)
         .filter(F.length(column) > 0)
         .select(key, strides.alias("_strides"), last.alias("_last"))
         .select(key, F.posexplode(F.transform(F.sequence(F.lit(0), "_last"), window)).alias("chunk_index", "content"))

@@ -72,7 +72,8 @@ def ingest(
 
     ids = candidates.select(F.col("doc_id").alias("id"))
     note_join = "fk_first" if note_join == "fk" else note_join
-    docs = rendered(documents_view(tables, only_ids=ids, note_join=note_join, ordered=False))
+    spread = replace(tables, documents=sizing.fill_cores(tables.documents, "id"))
+    docs = rendered(documents_view(spread, only_ids=ids, note_join=note_join, ordered=False))
     pieces = chunking.chunk_documents(docs, splitter, carry=("metadata",))
     embedded = embedder(pieces, "content").withColumns({
         "id": sync.chunk_id("doc_id", "chunk_index"),

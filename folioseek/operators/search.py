@@ -20,6 +20,9 @@ from folioseek.plans.ordering import oldest_first
 
 DEFAULT_TOP_K = 5
 MAX_TOP_K = 20
+FEW_QUERIES = 256
+HIT_BYTES = 64
+SNIPPET_BYTES = 8192
 
 
 def validate_requests(requests: DataFrame) -> DataFrame:
@@ -37,7 +40,7 @@ def searchable(chunks: DataFrame, sources: DataFrame, *columns: str) -> DataFram
     """Embedded chunks whose document is ingested (status DONE)."""
     done = sources.filter(F.col("status") == "DONE").select("doc_id")
     kept = chunks.filter(F.col("embedding").isNotNull()).select("id", "doc_id", "embedding", *columns)
-    return sizing.lookup_join(kept, done, "doc_id", "left_semi", spread="id")
+    return sizing.lookup_join(kept, done, "doc_id", "left_semi", spread="id", measure=True)
 
 
 def per_query_top(scored: DataFrame, query: str, k: Column | int) -> DataFrame:
@@ -63,7 +66,7 @@ def _arrow_batches(batches: Iterator[pa.RecordBatch], dim: int):
             yield batch.column("id").to_numpy(zero_copy_only=False), blocks.matrix(batch.column("embedding"), dim)
 
 
-def _byquery_block(vectors: DataFrame, block: blocks.QueryBlock) -> DataFrame:
+def _by_query_block(vectors: DataFrame, block: blocks.QueryBlock) -> DataFrame:
     """One pass over ``vectors``; the block travels as a broadcast variable, fetched once per executor."""
     held = vectors.sparkSession.sparkContext.broadcast(block)
 
@@ -118,6 +121,34 @@ def by_grid(
     )
 
 
+def queries_within(queries: DataFrame, max_bytes: int) -> list | None:
+    """All query rows if they take at most ``max_bytes``, else ``None``."""
+    few = queries.limit(FEW_QUERIES).collect()
+    if len(few) < FEW_QUERIES:
+        return few if sum(8 * len(r["q"]) for r in few) <= max_bytes else None
+    return sizing.collect_bounded(queries, max_bytes // (8 * max(1, len(few[0]["q"]))))
+
+
+def _exact(
+    vectors: DataFrame, queries: DataFrame, k: int, metric: str, max_query_bytes: int
+) -> tuple[DataFrame, int | None]:
+    """Hits, and the most rows they can have where that is known."""
+    if metric not in blocks.METRICS:
+        raise ValueError(f"unknown metric {metric!r}; one of {', '.join(blocks.METRICS)}")
+    queries = queries.filter(F.col("q").isNotNull()).select("query_id", "q")
+    vectors = vectors.filter(F.col("embedding").isNotNull())
+    rows = queries_within(queries, max_query_bytes)
+    if rows is None:
+        return per_query_top(by_grid(vectors, queries, k, metric, max_query_bytes), "query_id", k), None
+    found = per_query_top(_by_query_block(vectors, query_block(rows, k, metric)), "query_id", k)
+    return found, k * len(rows)
+
+
+def broadcast_within(df: DataFrame, rows: int | None, row_bytes: int) -> DataFrame:
+    """Mark ``df`` for broadcast if its known row bound allows; Catalyst cannot know such a bound."""
+    return F.broadcast(df) if rows is not None and rows * row_bytes <= sizing.BROADCAST_BYTES else df
+
+
 def exact_top_k(
     vectors: DataFrame,
     queries: DataFrame,
@@ -130,32 +161,27 @@ def exact_top_k(
     Result ``(query_id, id, score, rank)``. A query set within ``max_query_bytes`` is sent to
     every task; a larger one is hash-partitioned against the rows, with equal results.
     """
-    if metric not in blocks.METRICS:
-        raise ValueError(f"unknown metric {metric!r}; one of {', '.join(blocks.METRICS)}")
-    queries = queries.filter(F.col("q").isNotNull()).select("query_id", "q")
-    vectors = vectors.filter(F.col("embedding").isNotNull())
-    sample = queries.select(F.size("q").alias("dim")).first()
-    dim = sample["dim"] if sample else 1
-    rows = sizing.collect_bounded(queries, max(1, max_query_bytes // (8 * max(1, dim))))
-    if rows is not None:
-        local = _byquery_block(vectors, query_block(rows, k, metric))
-    else:
-        local = by_grid(vectors, queries, k, metric, max_query_bytes)
-    return per_query_top(local, "query_id", k)
+    found, bound = _exact(vectors, queries, k, metric, max_query_bytes)
+    return broadcast_within(found, bound, HIT_BYTES)
 
 
 def shape_hits(
-    found: DataFrame, chunks: DataFrame, sources: DataFrame, base_url: str = text.DEFAULT_BASE_URL
+    found: DataFrame,
+    chunks: DataFrame,
+    sources: DataFrame,
+    base_url: str = text.DEFAULT_BASE_URL,
+    bound: int | None = None,
 ) -> DataFrame:
     """Hits with title, correspondent, snippet and link.
 
-    Only the few hit rows meet the wide chunk text; Spark picks the join side by size at run time.
+    With a known ``bound`` on the hit rows they are broadcast, and neither the chunk text nor
+    the state table is shuffled.
     """
     content = chunks.select("id", "doc_id", F.col("content").alias("snippet"))
     described = sources.select("doc_id", "title", F.col("correspondent").alias("correspondent_name"))
+    located = content.join(broadcast_within(found, bound, HIT_BYTES), "id")
     return (
-        found.join(content, "id")
-        .join(described, "doc_id")
+        described.join(broadcast_within(located, bound, SNIPPET_BYTES), "doc_id")
         .select(
             "query_id", "rank", "id", "doc_id", "title", "correspondent_name", "snippet", "score",
             text.document_url("doc_id", base_url).alias("source_url"),
@@ -170,17 +196,20 @@ def search(
     k: int = DEFAULT_TOP_K,
     metric: str = "l2",
     base_url: str = text.DEFAULT_BASE_URL,
+    max_query_bytes: int = sizing.COLLECT_BYTES,
 ) -> DataFrame:
     """Top-k chunks of ingested documents per query, shaped as results.
 
     ``queries`` may carry its own ``top_k`` column, at most ``MAX_TOP_K`` each; then ``k`` is unused.
     """
     own_k = "top_k" in queries.columns
-    found = exact_top_k(searchable(chunks, sources), queries, MAX_TOP_K if own_k else k, metric)
+    most = MAX_TOP_K if own_k else k
+    found, bound = _exact(searchable(chunks, sources), queries, most, metric, max_query_bytes)
     if own_k:
         wanted = queries.select("query_id", F.least("top_k", F.lit(MAX_TOP_K)).alias("_k"))
-        found = found.join(wanted, "query_id").filter(F.col("rank") <= F.col("_k")).drop("_k")
-    return shape_hits(found, chunks, sources, base_url)
+        found = found.join(broadcast_within(wanted, bound, HIT_BYTES), "query_id")
+        found = found.filter(F.col("rank") <= F.col("_k")).drop("_k")
+    return shape_hits(found, chunks, sources, base_url, bound)
 
 
 def example_queries(chunks: DataFrame, query_id: str = "id") -> DataFrame:
@@ -196,12 +225,13 @@ def quantised_search(
     """Shortlist of ``k * oversample`` by Hamming distance of sign bits, re-ranked by exact L2."""
     from folioseek.functions.vectors import l2_distance
 
-    short = exact_top_k(vectors, queries, k * oversample, "hamming").select(
-        "query_id", "id", F.col("score").alias("hamming")
-    )
+    found, bound = _exact(vectors, queries, k * oversample, "hamming", sizing.COLLECT_BYTES)
+    short = found.select("query_id", "id", F.col("score").alias("hamming"))
+    asked = queries.select("query_id", "q")
     scored = (
-        short.join(vectors.select("id", "embedding"), "id")
-        .join(queries.select("query_id", "q"), "query_id")
+        vectors.select("id", "embedding")
+        .join(broadcast_within(short, bound, HIT_BYTES), "id")
+        .join(F.broadcast(asked) if bound is not None else asked, "query_id")
         .select("query_id", "id", "hamming", l2_distance("embedding", "q").alias("score"))
     )
     return per_query_top(scored, "query_id", k)

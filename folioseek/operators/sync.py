@@ -109,17 +109,15 @@ def finish_ingest(sources: DataFrame, outcomes: DataFrame, as_of=None) -> DataFr
     )
 
 
-def _of_documents(rows: DataFrame, doc_ids: DataFrame, keep: bool) -> DataFrame:
-    """Rows whose document is, or is not, among unique ``doc_ids``, safe for a hot document."""
-    marks = doc_ids.select("doc_id", F.lit(True).alias("_hit"))
-    spread = "id" if "id" in rows.columns else None
-    marked = sizing.lookup_join(rows, marks, "doc_id", "left", spread=spread)
-    return marked.filter(F.col("_hit").isNotNull() if keep else F.col("_hit").isNull()).drop("_hit")
+def without_documents(chunks: DataFrame, doc_ids: DataFrame) -> DataFrame:
+    """Chunks of other documents than the unique ``doc_ids``; safe for a document with very many."""
+    gone = doc_ids.select("doc_id")
+    return sizing.lookup_join(chunks, gone, "doc_id", "left_anti", spread="id", measure=True)
 
 
 def replace_chunks(chunks: DataFrame, done_ids: DataFrame, new_chunks: DataFrame) -> DataFrame:
     """Drop every chunk of the done documents, then add their new ones."""
-    return _of_documents(chunks, done_ids, keep=False).unionByName(new_chunks, allowMissingColumns=True)
+    return without_documents(chunks, done_ids).unionByName(new_chunks, allowMissingColumns=True)
 
 
 def orphans(sources: DataFrame, documents: DataFrame) -> DataFrame:
@@ -136,7 +134,7 @@ def cleanup(sources: DataFrame, chunks: DataFrame, documents: DataFrame) -> tupl
     """State and chunks without those of deleted documents (delete with cascade)."""
     gone = orphans(sources.select("doc_id"), documents)
     kept = sources.join(gone, "doc_id", "left_anti")
-    return kept, _of_documents(chunks, gone, keep=False)
+    return kept, without_documents(chunks, gone)
 
 
 def with_defaults(rows: DataFrame, start: Column | int = 0, as_of=None) -> DataFrame:

@@ -22,8 +22,21 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
-    return estimated_bytes(df) <= limit
+def measured_bytes(df: DataFrame) -> int:
+    """Exact size of narrow rows (numbers and strings), by one distributed aggregate."""
+    strings = [f.name for f in df.schema.fields if f.dataType.typeName() == "string"]
+    fixed = 16 * len(df.schema.fields)
+    text = sum((F.coalesce(F.octet_length(name), F.lit(0)).cast("long") for name in strings), F.lit(0).cast("long"))
+    return df.agg(F.coalesce(F.sum(text + F.lit(fixed)), F.lit(0))).first()[0]
+
+
+def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES, measure: bool = False) -> bool:
+    """Whether ``df`` may be broadcast.
+
+    The estimate multiplies through joins and then says too much; with ``measure`` a negative
+    answer is checked by counting, which pays where the other choice shuffles wide rows.
+    """
+    return estimated_bytes(df) <= limit or (measure and measured_bytes(df) <= limit)
 
 
 def lookup_join(
@@ -34,6 +47,7 @@ def lookup_join(
     limit: int = BROADCAST_BYTES,
     salts: int = SALTS,
     spread: str | None = None,
+    measure: bool = False,
 ) -> DataFrame:
     """Join ``big`` to a lookup table on the shared column ``key``.
 
@@ -41,9 +55,9 @@ def lookup_join(
     shuffled. Past it ``dim`` is repeated once per salt and ``big`` is spread over the salts
     by a hash of ``spread`` (or of every column but the key), which also spreads null keys.
     """
-    if how not in ("left", "inner", "left_semi"):
+    if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"lookup_join does not support {how!r}")
-    if fits_broadcast(dim, limit):
+    if fits_broadcast(dim, limit, measure):
         return big.join(F.broadcast(dim), key, how)
     hashed = [spread] if spread else [c for c in big.columns if c != key]
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*hashed), F.lit(salts)))
@@ -53,6 +67,18 @@ def lookup_join(
     return salted.join(copies, [key, "_salt"], how).drop("_salt")
 
 
+def fill_cores(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread an input that is too small to give every core a full split, before costly work.
+
+    Files with few row groups read as few tasks. Large inputs are left alone: they have
+    splits enough and a shuffle of them would cost more than it gains.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return df.repartition(cores, *keys) if estimated_bytes(df) < cores * split else df
+
+
 def collect_bounded(df: DataFrame, max_rows: int) -> list | None:
     """Rows of ``df`` when there are at most ``max_rows`` of them, else ``None``."""
     rows = df.limit(max_rows + 1).collect()

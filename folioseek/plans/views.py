@@ -118,7 +118,7 @@ def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def document_columns(documents: DataFrame) -> DataFrame:
+def document_columns(documents: DataFrame, *more: str) -> DataFrame:
     """``v_document`` of the documents table (batch or stream)."""
     start = "TIMESTAMP_NTZ '2024-01-01 00:00:00'"
     return documents.selectExpr(
@@ -132,6 +132,7 @@ def document_columns(documents: DataFrame) -> DataFrame:
         f"{start} + make_dt_interval(0, 0, CAST((doc_id * 37) % 43200 AS INT)) AS modified",
         "lang",
         "CAST(NULL AS TIMESTAMP_NTZ) AS deleted_at",
+        *more,
     )
 
 
@@ -142,8 +143,9 @@ def document_tables(spark: SparkSession, sf_dir: str) -> Tables:
     benchmark = base(spark, sf_dir, "benchmark")
     labels = base(spark, sf_dir, "labels")
     correspondents = raw.selectExpr("CAST(substr(source, 4) AS BIGINT) AS id", "upper(source) AS name").distinct()
-    tags = spark.createDataFrame(
-        [(1, "de"), (2, "fr"), (3, "es"), (4, "quality"), (5, "toxic"), (6, "unused")], "id long, name string"
+    tags = spark.sql(
+        """SELECT CAST(id AS BIGINT) AS id, name
+        FROM VALUES (1, 'de'), (2, 'fr'), (3, 'es'), (4, 'quality'), (5, 'toxic'), (6, 'unused') AS t(id, name)"""
     )
     document_tags = (
         raw.filter("lang <> 'en'")
@@ -158,12 +160,12 @@ def document_tables(spark: SparkSession, sf_dir: str) -> Tables:
         "item_id AS id", "3 * CAST(floor(item_id / 2.0D) AS BIGINT) AS document_id", "text AS note"
     )
     known = (
-        documents.filter("lang <> 'es'")
-        .join(correspondents.withColumnRenamed("id", "correspondent_id"), "correspondent_id", "left")
+        document_columns(raw, "upper(source) AS correspondent_name")
+        .filter("lang <> 'es'")
         .selectExpr(
             "id AS doc_id",
             "coalesce(title, '(untitled)') AS title",
-            "coalesce(name, '') AS correspondent",
+            "CASE WHEN correspondent_id IS NULL THEN '' ELSE correspondent_name END AS correspondent",
             "created AS doc_date",
             "modified AS source_modified_at",
             """CASE WHEN id % 8 IN (1, 2) THEN NULL WHEN id % 5 = 0 THEN modified - make_dt_interval(0, 1)

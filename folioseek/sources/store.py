@@ -62,13 +62,18 @@ class ChunkStore:
         """Current state, one row per document."""
         return self._versions().drop("run", "deleted")
 
-    def chunks(self) -> DataFrame:
-        """Current chunks: those of the run that each document's state points to."""
+    def chunks(self, status: str | None = None) -> DataFrame:
+        """Current chunks: those of the run that each document's state points to.
+
+        ``status="DONE"`` gives the searchable ones with the same single join.
+        """
         state = self._versions()
+        if status is not None:
+            state = state.filter(F.col("status") == status)
         runs = [r for r in self.committed_runs() if self._has_chunks(r)]
         rows = self._read("chunks", CHUNKS, runs).withColumn("_at", F.struct("doc_id", "run"))
         current = state.select(F.struct("doc_id", F.col("chunk_run").alias("run")).alias("_at"))
-        kept = sizing.lookup_join(rows, current, "_at", "left_semi", spread="id")
+        kept = sizing.lookup_join(rows, current, "_at", "left_semi", spread="id", measure=True)
         return kept.select(*SCHEMAS["chunks"].fieldNames())
 
     def _has_chunks(self, run: int) -> bool:
