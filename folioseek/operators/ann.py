@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from folioseek.operators import blocks
 from folioseek.operators.search import by_grid, exact_top_k, per_query_top, queries_within, query_block
 from folioseek.plans import sizing
+from folioseek.plans.shipping import ship_package
 
 LISTS = 100
 MAX_CENTROID_BYTES = sizing.COLLECT_BYTES
@@ -51,6 +52,7 @@ def _centroid_block(centroids: DataFrame, metric: str, k: int = 1) -> blocks.Que
 
 def assign_lists(vectors: DataFrame, centroids: DataFrame, metric: str = "l2") -> DataFrame:
     """``vectors`` with ``list_id`` and ``list_distance`` of the nearest centroid, no shuffle."""
+    ship_package(vectors.sparkSession)
     held = vectors.sparkSession.sparkContext.broadcast(_centroid_block(centroids, metric))
     schema = T.StructType([
         *vectors.schema.fields,
@@ -116,6 +118,7 @@ def ivf_search(
     asked: dict[int, list[int]] = {}
     for r in probed.collect():
         asked.setdefault(r["list_id"], []).append(place[r["query_id"]])
+    ship_package(spark)
     held = spark.sparkContext.broadcast((query_block(rows, k, "l2"), asked))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioseek.plans import sizing
+from folioseek.plans.shipping import ship_package
 
 CHUNK_SIZE = 1000
 CHUNK_OVERLAP = 200
@@ -81,6 +82,7 @@ def chunk_documents(
     A document whose splitter raises yields one row with the message in ``error``; the others
     go on. Chunks leave a task in bounded batches, so a long document is never held twice.
     """
+    ship_package(docs.sparkSession)
     kept = sizing.fill_cores(docs.select(key, *carry, column), key)
     fields = [kept.schema[c] for c in (key, *carry)]
     schema = T.StructType([

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioseek.plans.shipping import ship_package
+
 DIMENSIONS = 384
 
 Model = Callable[[list[str]], Sequence[Sequence[float]]]
@@ -63,6 +65,7 @@ def model_embedder(factory: Callable[[], Model], dim: int = DIMENSIONS, spread:
         return one_by_one(model, texts[:half]) + one_by_one(model, texts[half:])
 
     def embed(df: DataFrame, column: str) -> DataFrame:
+        ship_package(df.sparkSession)
         schema = T.StructType([
             *df.schema.fields,
             T.StructField("embedding", T.ArrayType(T.FloatType())),

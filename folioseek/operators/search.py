@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from folioseek.functions import text
 from folioseek.operators import blocks
 from folioseek.plans import sizing
+from folioseek.plans.shipping import ship_package
 from folioseek.plans.ordering import oldest_first
 
 DEFAULT_TOP_K = 5
@@ -68,6 +69,7 @@ def _arrow_batches(batches: Iterator[pa.RecordBatch], dim: int):
 
 def _by_query_block(vectors: DataFrame, block: blocks.QueryBlock) -> DataFrame:
     """One pass over ``vectors``; the block travels as a broadcast variable, fetched once per executor."""
+    ship_package(vectors.sparkSession)
     held = vectors.sparkSession.sparkContext.broadcast(block)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,6 +89,7 @@ def by_grid(
     ``k`` rows per query. With ``on``, a column of both sides, only equal values meet, and
     each value is cut by its own size, so a hot value becomes many cells.
     """
+    ship_package(vectors.sparkSession)
     if on is None:
         vectors, queries, on = vectors.withColumn("_all", F.lit(0)), queries.withColumn("_all", F.lit(0)), "_all"
 
