@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioseek.functions.vectors import clamp
+
 
 def _col(c) -> Column:
     return c if isinstance(c, Column) else F.col(c)
@@ -79,8 +81,7 @@ def cosine_distance(a, b) -> Column:
     """One minus the cosine; NaN where a norm is zero."""
     size = norm(a) * norm(b)
     similarity = inner_product(a, b) / F.when(size != 0.0, size)
-    clamped = F.greatest(F.least(similarity, F.lit(1.0)), F.lit(-1.0))
-    return F.when(size == 0.0, F.lit(float("nan"))).otherwise(F.lit(1.0) - clamped)
+    return F.when(size == 0.0, F.lit(float("nan"))).otherwise(F.lit(1.0) - clamp(similarity))
 
 
 def normalize(a) -> Column:

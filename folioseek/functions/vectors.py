@@ -79,22 +79,23 @@ def norm(a) -> Column:
     return F.sqrt(_total(F.transform(_col(a), lambda x: _double(x) * _double(x))))
 
 
-def _clamp(x: Column) -> Column:
-    return F.greatest(F.least(x, F.lit(1.0)), F.lit(-1.0))
+def clamp(x: Column) -> Column:
+    """Within -1 and 1; null stays null (``greatest`` and ``least`` would skip it)."""
+    return F.when(x > 1.0, F.lit(1.0)).when(x < -1.0, F.lit(-1.0)).otherwise(x)
 
 
 def cosine_distance(a, b) -> Column:
     """One minus the cosine; NaN where a norm is zero."""
     size = norm(a) * norm(b)
     similarity = inner_product(a, b) / F.when(size != 0.0, size)
-    defined = F.lit(1.0) - _clamp(similarity)
+    defined = F.lit(1.0) - clamp(similarity)
     missing = _col(a).isNull() | _col(b).isNull()
     return F.when(missing, F.lit(None).cast("double")).when(size == 0.0, F.lit(NAN)).otherwise(defined)
 
 
 def spherical_distance(a, b) -> Column:
     """Angle over pi; both inputs are expected to have unit length."""
-    return F.acos(_clamp(inner_product(a, b))) / F.lit(math.pi)
+    return F.acos(clamp(inner_product(a, b))) / F.lit(math.pi)
 
 
 def normalize(a) -> Column:

@@ -91,6 +91,13 @@ def nearest_lists(queries: DataFrame, centroids: DataFrame, probes: int) -> Data
     return exact_top_k(lists, queries, probes).select("query_id", F.col("id").cast("int").alias("list_id"))
 
 
+def _queries_per_list(block: blocks.QueryBlock, centroids: blocks.QueryBlock, probes: int) -> dict[int, np.ndarray]:
+    """Which queries probe which list; both sides are bounded and already on the driver."""
+    nearest = blocks.QueryBlock(block.ids, block.vectors, probes, "l2")
+    query, list_id, _ = blocks.top_k(iter([(centroids.ids, centroids.vectors)]), nearest).rows()
+    return {int(one): query[list_id == one] for one in np.unique(list_id)}
+
+
 def ivf_search(
     spark: SparkSession,
     path: str,
@@ -107,19 +114,17 @@ def ivf_search(
     list by list, hot lists cut into blocks.
     """
     queries = queries.select("query_id", "q").filter(F.col("q").isNotNull())
-    probed = nearest_lists(queries, centroids, probes)
     rows = queries_within(queries, max_query_bytes)
     stored = spark.read.parquet(path).select("id", "embedding", "list_id")
     if rows is None:
+        probed = nearest_lists(queries, centroids, probes)
         local = by_grid(stored, queries.join(probed, "query_id"), k, "l2", max_query_bytes, on="list_id")
         return per_query_top(local, "query_id", k)
 
-    place = {r["query_id"]: i for i, r in enumerate(rows)}
-    asked: dict[int, list[int]] = {}
-    for r in probed.collect():
-        asked.setdefault(r["list_id"], []).append(place[r["query_id"]])
+    block = query_block(rows, k, "l2")
+    asked = _queries_per_list(block, _centroid_block(centroids, "l2"), probes)
     ship_package(spark)
-    held = spark.sparkContext.broadcast((query_block(rows, k, "l2"), asked))
+    held = spark.sparkContext.broadcast((block, asked))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, asked = held.value
@@ -129,7 +134,7 @@ def ivf_search(
             ids = batch.column("id").to_numpy()
             vectors = blocks.matrix(batch.column("embedding"), block.vectors.shape[1])
             for list_id in np.unique(list_ids):
-                here, at = list_ids == list_id, np.array(asked[int(list_id)])
+                here, at = list_ids == list_id, asked[int(list_id)]
                 blocks.offer(best, vectors[here], ids[here], block.vectors[at], block.metric, at)
         yield blocks.result_batch(best, block)
 

@@ -57,14 +57,16 @@ def lookup_join(
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"lookup_join does not support {how!r}")
+    added = [] if how in ("left_semi", "left_anti") else [c for c in dim.columns if c != key]
+    columns = [*big.columns, *added]
     if fits_broadcast(dim, limit, measure):
-        return big.join(F.broadcast(dim), key, how)
+        return big.join(F.broadcast(dim), key, how).select(*columns)
     hashed = [spread] if spread else [c for c in big.columns if c != key]
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*hashed), F.lit(salts)))
     copies = dim.withColumn(
         "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
     )
-    return salted.join(copies, [key, "_salt"], how).drop("_salt")
+    return salted.join(copies, [key, "_salt"], how).select(*columns)
 
 
 def fill_cores(df: DataFrame, *keys: str) -> DataFrame:
