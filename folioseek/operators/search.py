@@ -90,25 +90,34 @@ def by_grid(
     each value is cut by its own size, so a hot value becomes many cells.
     """
     ship_package(vectors.sparkSession)
-    if on is None:
-        vectors, queries, on = vectors.withColumn("_all", F.lit(0)), queries.withColumn("_all", F.lit(0)), "_all"
 
-    def block_counts(df: DataFrame, column: str, name: str) -> DataFrame:
-        size = F.sum(F.size(column).cast("long") * 8)
-        return df.groupBy(on).agg(F.greatest(F.lit(1), F.ceil(size / F.lit(cell_bytes))).cast("int").alias(name))
+    def block_count(column: str) -> Column:
+        size = F.coalesce(F.sum(F.size(column).cast("long") * 8), F.lit(0))
+        return F.greatest(F.lit(1), F.ceil(size / F.lit(cell_bytes))).cast("int")
 
-    # One small row per value of ``on``.
-    counts = block_counts(vectors, "embedding", "rbs").join(block_counts(queries, "q", "qbs"), on)
+    def sized(df: DataFrame) -> DataFrame:
+        """``df`` with the block counts of both sides for its value of ``on``."""
+        if on is None:
+            return df.withColumns({"rbs": F.lit(row_blocks), "qbs": F.lit(query_blocks)})
+        return df.join(F.broadcast(counts), on)  # one small row per value
 
-    def placed(df: DataFrame, key: str, own: str, own_count: str, other: str, other_count: str) -> DataFrame:
-        return (
-            df.join(F.broadcast(counts), on)
-            .withColumn(own, F.pmod(F.xxhash64(key), F.col(own_count)).cast("int"))
-            .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_count) - 1)))
+    if on is None:
+        row_blocks = vectors.agg(block_count("embedding")).first()[0]
+        query_blocks = queries.agg(block_count("q")).first()[0]
+    else:
+        counts = vectors.groupBy(on).agg(block_count("embedding").alias("rbs")).join(
+            queries.groupBy(on).agg(block_count("q").alias("qbs")), on
         )
 
-    left = placed(vectors.select("id", "embedding", on), "id", "rb", "rbs", "qb", "qbs")
-    right = placed(queries.select("query_id", "q", on), "query_id", "qb", "qbs", "rb", "rbs")
+    def block(key: str, count: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.col(count)).cast("int")
+
+    def every(count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    keys = [*([on] if on else []), "rb", "qb"]
+    left = sized(vectors).withColumns({"rb": block("id", "rbs"), "qb": every("qbs")})
+    right = sized(queries).withColumns({"qb": block("query_id", "qbs"), "rb": every("rbs")})
 
     def cell(rows: pa.Table, asked: pa.Table) -> pa.Table:
         matrix = blocks.matrix(asked.column("q")) if len(asked) else np.empty((0, 0))
@@ -116,7 +125,6 @@ def by_grid(
         best = blocks.top_k(_arrow_batches(iter(rows.to_batches()), matrix.shape[1]) if len(asked) else iter(()), block)
         return pa.Table.from_batches([blocks.result_batch(best, block)])
 
-    keys = [on, "rb", "qb"]
     return (
         left.select("id", "embedding", *keys).groupBy(*keys)
         .cogroup(right.select("query_id", "q", *keys).groupBy(*keys))
