@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioseek.plans import sizing
+
 
 def _per_element(df: DataFrame, group: str, vector: str, combine, into: str) -> DataFrame:
     """Aggregate each (group, position) with map-side partials, then put the vector together.
@@ -48,10 +50,18 @@ def first_chunks(chunks: DataFrame) -> DataFrame:
 
 
 def duplicate_vectors(df: DataFrame, key: str = "id", vector: str = "embedding") -> DataFrame:
-    """Groups of equal vectors: smallest key and number of copies. Copies fold on the map side."""
+    """Groups of equal vectors: smallest key and number of copies.
+
+    Hashes are counted first, eight bytes a row; only rows whose hash repeats are grouped by
+    the vector itself, and copies fold on the map side. With too many repeated hashes to
+    broadcast, all rows are grouped directly.
+    """
+    rows = df.filter(F.col(vector).isNotNull()).select(key, vector, F.xxhash64(vector).alias("_hash"))
+    repeated = rows.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).select("_hash")
+    if sizing.fits_broadcast(repeated, measure=True):
+        rows = rows.join(F.broadcast(repeated), "_hash", "left_semi")
     return (
-        df.filter(F.col(vector).isNotNull())
-        .groupBy(vector)
+        rows.groupBy(vector)
         .agg(F.min(key).alias("first_id"), F.count(F.lit(1)).alias("copies"))
         .filter(F.col("copies") > 1)
         .select("first_id", "copies")

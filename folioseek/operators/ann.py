@@ -85,15 +85,15 @@ def write_lists(assigned: DataFrame, path: str) -> None:
     assigned.drop("list_distance").hint("rebalance", "list_id").write.partitionBy("list_id").parquet(path)
 
 
-def nearest_lists(queries: DataFrame, centroids: DataFrame, probes: int) -> DataFrame:
+def nearest_lists(queries: DataFrame, centroids: DataFrame, probes: int, metric: str = "l2") -> DataFrame:
     """``(query_id, list_id)`` of the ``probes`` nearest centroids of each query."""
     lists = centroids.select(F.col("list_id").cast("long").alias("id"), F.col("centroid").alias("embedding"))
-    return exact_top_k(lists, queries, probes).select("query_id", F.col("id").cast("int").alias("list_id"))
+    return exact_top_k(lists, queries, probes, metric).select("query_id", F.col("id").cast("int").alias("list_id"))
 
 
 def _queries_per_list(block: blocks.QueryBlock, centroids: blocks.QueryBlock, probes: int) -> dict[int, np.ndarray]:
     """Which queries probe which list; both sides are bounded and already on the driver."""
-    nearest = blocks.QueryBlock(block.ids, block.vectors, probes, "l2")
+    nearest = blocks.QueryBlock(block.ids, block.vectors, probes, block.metric)
     query, list_id, _ = blocks.top_k(iter([(centroids.ids, centroids.vectors)]), nearest).rows()
     return {int(one): query[list_id == one] for one in np.unique(list_id)}
 
@@ -105,24 +105,25 @@ def ivf_search(
     queries: DataFrame,
     k: int = 5,
     probes: int = 10,
+    metric: str = "l2",
     max_query_bytes: int = sizing.COLLECT_BYTES,
 ) -> DataFrame:
     """k nearest among the rows of the ``probes`` nearest lists of each query.
 
     Only probed list folders are scanned. With every list probed the result equals the exact
-    search. Queries within ``max_query_bytes`` go to every task; a larger set meets the rows
+    search. ``metric`` is the one the lists were assigned by. Queries within ``max_query_bytes`` go to every task; a larger set meets the rows
     list by list, hot lists cut into blocks.
     """
     queries = queries.select("query_id", "q").filter(F.col("q").isNotNull())
     rows = queries_within(queries, max_query_bytes)
     stored = spark.read.parquet(path).select("id", "embedding", "list_id")
     if rows is None:
-        probed = nearest_lists(queries, centroids, probes)
-        local = by_grid(stored, queries.join(probed, "query_id"), k, "l2", max_query_bytes, on="list_id")
+        probed = nearest_lists(queries, centroids, probes, metric)
+        local = by_grid(stored, queries.join(probed, "query_id"), k, metric, max_query_bytes, on="list_id")
         return per_query_top(local, "query_id", k)
 
-    block = query_block(rows, k, "l2")
-    asked = _queries_per_list(block, _centroid_block(centroids, "l2"), probes)
+    block = query_block(rows, k, metric)
+    asked = _queries_per_list(block, _centroid_block(centroids, metric), probes)
     ship_package(spark)
     held = spark.sparkContext.broadcast((block, asked))
 

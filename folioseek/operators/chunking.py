@@ -70,6 +70,11 @@ def split_text(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
     return chunks
 
 
+def split_windows(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> list[str]:
+    """Fixed windows, as ``window_chunks`` cuts them natively."""
+    return [text[i : i + size] for i in range(0, max(len(text) - overlap, 1), size - overlap)] if text else []
+
+
 def chunk_documents(
     docs: DataFrame,
     splitter: Splitter = split_text,

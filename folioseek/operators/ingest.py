@@ -86,10 +86,9 @@ def ingest(
     before = known.join(candidates.select("doc_id"), "doc_id", "left_semi")
     started = sync.begin_ingest(before, candidates, as_of)
     ended = sync.finish_ingest(started, outcomes(candidates, staged), as_of)
-    previous = before.select("doc_id", F.col("chunk_run").alias("_previous"))
     done = F.col("status") == "DONE"
-    state = ended.join(previous, "doc_id", "left").withColumns({
-        "chunk_run": F.when(done, F.lit(run)).otherwise(F.col("_previous")),
+    state = ended.withColumns({
+        "chunk_run": F.when(done, F.lit(run)).otherwise(F.col("chunk_run")),
         "deleted": F.lit(False),
     })
     store.commit(run, state)

@@ -13,6 +13,10 @@ from folioseek.plans import sizing
 from folioseek.plans.ordering import oldest_first, top
 from folioseek.sources.tables import Tables
 
+STATE_COLUMNS = (
+    "doc_id", "title", "correspondent", "doc_date", "source_modified_at", "last_ingested_at", "status",
+    "error_message", "created_at", "updated_at",
+)
 INGEST_BATCH = 20
 CLEANUP_BATCH = 50
 
@@ -59,6 +63,7 @@ def begin_ingest(sources: DataFrame, candidates: DataFrame, as_of=None) -> DataF
     """Upsert: candidates become RUNNING rows with fresh descriptive columns; the rest stay.
 
     One full outer join on the unique document id covers insert, update and untouched rows.
+    Columns that ingestion does not set pass through.
     """
     now = moment(as_of)
     fresh = candidates.select(
@@ -77,8 +82,8 @@ def begin_ingest(sources: DataFrame, candidates: DataFrame, as_of=None) -> DataF
     def reset(column: str, kind: str) -> Column:
         return F.when(hit, F.lit(None).cast(kind)).otherwise(F.col(column)).alias(column)
 
-    return joined.select(
-        "doc_id",
+    columns = [
+        F.col("doc_id"),
         updated("title"),
         updated("correspondent"),
         updated("doc_date"),
@@ -88,7 +93,9 @@ def begin_ingest(sources: DataFrame, candidates: DataFrame, as_of=None) -> DataF
         reset("error_message", "string"),
         F.coalesce("created_at", now).alias("created_at"),
         F.when(hit, now).otherwise(F.col("updated_at")).alias("updated_at"),
-    )
+    ]
+    others = [c for c in sources.columns if c not in STATE_COLUMNS]
+    return joined.select(*columns, *others)
 
 
 def finish_ingest(sources: DataFrame, outcomes: DataFrame, as_of=None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioseek.operators import chunking, documents, embedding, ingest, search, sync
+from folioseek.operators.chunking import split_windows
 from folioseek.plans import sizing
 from folioseek.plans.catalog_documents import LISTING_SQL, RENDER_SQL, SEARCH_REQUESTS, listing, sql_items
 from folioseek.plans.catalog_tables import text_of
@@ -17,12 +18,6 @@ from folioseek.streaming import continuous
 DIM = 64
 
 
-def windows(text: str, size: int = chunking.CHUNK_SIZE, overlap: int = chunking.CHUNK_OVERLAP) -> list[str]:
-    """A second splitter: fixed windows."""
-    stride = size - overlap
-    return [text[i : i + size] for i in range(0, max(len(text) - overlap, 1), stride)] if text else []
-
-
 def windows_sql(key: str, column: str, source: str) -> str:
     return f"""SELECT {key}, CAST(i AS INT) AS chunk_index, substring({column}, 1 + CAST(i AS INT) * 800, 1000) AS content
       FROM (SELECT {key}, {column}, unnest(generate_series(0, CAST(greatest(length({column}) - 201, 0) // 800 AS INT))) AS i
@@ -41,6 +36,24 @@ def _(spark, sf):
     return chunking.chunk_documents(base(spark, sf, "documents")).select("doc_id", "chunk_index", "content")
 
 
+@query(
+    "txt_1_text_coverage",
+    r"""SELECT doc_id, regexp_replace(text, '[\s\x0b\x1c-\x1f\x85\p{Z}]', '', 'g') AS covered, true AS fits FROM documents
+       WHERE regexp_replace(text, '[\s\x0b\x1c-\x1f\x85\p{Z}]', '', 'g') <> ''""",
+)
+def _(spark, sf):
+    def split(text: str) -> list[str]:
+        return chunking.split_text(text, overlap=0)
+
+    chunks = chunking.chunk_documents(base(spark, sf, "documents"), split)
+    in_order = F.array_sort(F.collect_list(F.struct("chunk_index", "content")))
+    whole = F.array_join(F.transform(in_order, lambda c: c["content"]), "")
+    return chunks.groupBy("doc_id").agg(
+        F.regexp_replace(whole, r"[\s\x0b\x1c-\x1f\x85\p{Z}]", "").alias("covered"),
+        (F.max(F.length("content")) <= chunking.CHUNK_SIZE).alias("fits"),
+    )
+
+
 @query("txt_2_window_chunks", windows_sql("doc_id", "text", "documents"))
 def _(spark, sf):
     return chunking.window_chunks(base(spark, sf, "documents"))
@@ -51,7 +64,7 @@ def _(spark, sf):
     f"WITH k AS ({windows_sql('doc_id', 'text', 'documents')}) SELECT doc_id, count(*) AS chunks, max(chunk_index) AS last_index FROM k GROUP BY 1",
 )
 def _(spark, sf):
-    chunks = chunking.chunk_documents(base(spark, sf, "documents"), windows)
+    chunks = chunking.chunk_documents(base(spark, sf, "documents"), split_windows)
     return chunks.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("chunks"), F.max("chunk_index").alias("last_index")
     )
@@ -131,13 +144,6 @@ def _(spark, sf):
     return ended.select("doc_id", "status", "error_message", *text_of("last_ingested_at"))
 
 
-def fails_on_german(text: str) -> list[str]:
-    """Stands for a splitter that cannot handle some documents."""
-    if " und " in text:
-        raise ValueError("cannot split")
-    return windows(text)
-
-
 @query(
     "ing_4_fault_isolation",
     f"""WITH t AS (SELECT id, {RENDER_SQL} AS text FROM v_listing)
@@ -146,6 +152,11 @@ def fails_on_german(text: str) -> list[str]:
     "v_listing",
 )
 def _(spark, sf):
+    def fails_on_german(text: str) -> list[str]:
+        if " und " in text:
+            raise ValueError("cannot split")
+        return split_windows(text)
+
     store = new_store(spark)
     ingest.ingest(document_tables(spark, sf), store, fails_on_german, embedding.hashing_embedder(DIM), AS_OF)
     return store.sources().select("doc_id", "status", "error_message")
@@ -160,7 +171,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     store = new_store(spark)
-    ingest.ingest(document_tables(spark, sf), store, windows, embedding.hashing_embedder(DIM), AS_OF)
+    ingest.ingest(document_tables(spark, sf), store, split_windows, embedding.hashing_embedder(DIM), AS_OF)
     return store.chunks().select("id", "doc_id", "chunk_index", "content", F.size("embedding").alias("dims"))
 
 
@@ -179,7 +190,7 @@ def _(spark, sf):
 def _(spark, sf):
     store = new_store(spark)
     ingest.ingest(
-        document_tables(spark, sf), store, windows, embedding.hashing_embedder(DIM), AS_OF, limit=sync.INGEST_BATCH
+        document_tables(spark, sf), store, split_windows, embedding.hashing_embedder(DIM), AS_OF, limit=sync.INGEST_BATCH
     )
     return store.sources().select("doc_id", "status", "title")
 
@@ -210,7 +221,7 @@ def streamed_documents(spark, sf) -> DataFrame:
 def run_stream(spark, sf, store: ChunkStore, tables, **options) -> None:
     query = continuous.start_ingest(
         streamed_documents(spark, sf), tables, store, sizing.work_path(spark, "stream"),
-        trigger={"availableNow": True}, splitter=windows, embedder=embedding.hashing_embedder(DIM), as_of=AS_OF,
+        trigger={"availableNow": True}, splitter=split_windows, embedder=embedding.hashing_embedder(DIM), as_of=AS_OF,
         **options,
     )
     query.awaitTermination()
@@ -276,25 +287,22 @@ def _(spark, sf):
 
 @query("udf_2_pluggable_splitter", windows_sql("doc_id", "text", "documents"))
 def _(spark, sf):
-    chunks = chunking.chunk_documents(base(spark, sf, "documents"), windows)
+    chunks = chunking.chunk_documents(base(spark, sf, "documents"), split_windows)
     return chunks.select("doc_id", "chunk_index", "content")
 
 
-def letter_model():
-    """A tiny model: length and vowel count."""
-
-    def embed(texts: list[str]) -> list[list[float]]:
-        return [[float(len(t)), float(sum(t.count(v) for v in "aeiou"))] for t in texts]
-
-    return embed
-
-
 @query(
     "udf_3_pluggable_model",
     """SELECT doc_id, length(text)::DOUBLE AS length, (length(text) - length(regexp_replace(text, '[aeiou]', '', 'g')))::DOUBLE AS vowels
        FROM documents""",
 )
 def _(spark, sf):
+    def letter_model():
+        def embed(texts: list[str]) -> list[list[float]]:
+            return [[float(len(t)), float(sum(t.count(v) for v in "aeiou"))] for t in texts]
+
+        return embed
+
     embedder = embedding.model_embedder(letter_model, dim=2, spread=("doc_id",))
     embedded = embedder(base(spark, sf, "documents").select("doc_id", "text"), "text")
     vector = F.col("embedding")

@@ -8,8 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from folioseek.operators import chunking
-from folioseek.operators.chunking import closing_sentences, split_text
-from folioseek.plans.catalog_ingest import windows
+from folioseek.operators.chunking import closing_sentences, split_text, split_windows
 
 WORDS = st.lists(
     st.sampled_from(["a", "bb", "ccc.", "dd!", "word", "longer?", "é", "😀", "x" * 30, "\n", "\n\n", "  ", "\t"]),
@@ -106,7 +105,7 @@ def texts(spark):
 def test_native_windows_equal_the_plain_rule(texts, size, overlap):
     small = texts.filter("doc_id <> 6") if size < 100 else texts
     expected = [
-        (r["doc_id"], i, w) for r in small.collect() for i, w in enumerate(windows(r["text"] or "", size, overlap))
+        (r["doc_id"], i, w) for r in small.collect() for i, w in enumerate(split_windows(r["text"] or "", size, overlap))
     ]
     assert values(chunking.window_chunks(small, size, overlap)) == sorted(expected, key=repr)
 

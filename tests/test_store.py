@@ -127,6 +127,28 @@ def test_hashing_embedder(spark):
     assert sum(x * x for x in rows[0]) == pytest.approx(1.0, abs=1e-6)
 
 
+def test_hashing_embedder_against_plain_counting(spark, sf_dir):
+    import math
+    import re
+    from collections import Counter
+
+    from pyspark.ml.feature import HashingTF
+
+    dim = 32
+    slot = HashingTF(inputCol="w", outputCol="f", numFeatures=dim)
+    texts = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    slots: dict[str, int] = {}
+    for row in embedding.hashing_embedder(dim)(texts, "text").collect():
+        counts = Counter(re.findall(r"[^\W_]+", row["text"].lower()))
+        expected = [0.0] * dim
+        for word, n in counts.items():
+            if word not in slots:
+                slots[word] = slot.indexOf(word)
+            expected[slots[word]] += n
+        size = math.sqrt(sum(x * x for x in expected)) or 1.0
+        assert row["embedding"] == pytest.approx([x / size for x in expected], abs=1e-6)
+
+
 def test_committed_run_is_not_run_again(tables, store):
     assert run(tables, store, run=4) == 4
     before = values(store.chunks(), "id")
