@@ -45,9 +45,9 @@ def train_centroids(
 def _centroid_block(centroids: DataFrame, metric: str, k: int = 1) -> blocks.QueryBlock:
     columns = centroids.select(F.col("list_id").alias("query_id"), F.col("centroid").alias("q"))
     rows = queries_within(columns, MAX_CENTROID_BYTES)
-    if not rows:
+    if rows is None or len(rows) == 0:
         raise ValueError("no centroids, or more than the broadcast bound; change the number of lists")
-    return query_block(sorted(rows, key=lambda r: r["query_id"]), k, metric)
+    return query_block(rows.sort_by("query_id"), k, metric)
 
 
 def assign_lists(vectors: DataFrame, centroids: DataFrame, metric: str = "l2") -> DataFrame:

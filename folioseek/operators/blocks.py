@@ -18,6 +18,7 @@ import pyarrow as pa
 METRICS = ("l2", "l1", "cosine", "inner", "spherical", "hamming")
 CELLS = 2_000_000
 MARGIN = 1e-9
+CROWDED = 4
 
 
 @dataclass(frozen=True)
@@ -133,6 +134,17 @@ class Best:
         return query, self.row_id[query, place], self.score[query, place]
 
 
+def _lowest_copies(rows: np.ndarray, row_ids: np.ndarray, k: int) -> np.ndarray:
+    """Marks the ``k`` lowest ids of each group of equal rows; no other copy can be among the best."""
+    keys = np.ascontiguousarray(rows + 0.0).view(np.dtype((np.void, rows.shape[1] * 8))).ravel()
+    _, group = np.unique(keys, return_inverse=True)
+    order = np.lexsort((row_ids, group))
+    place = np.arange(len(rows)) - np.searchsorted(group[order], group[order], side="left")
+    wanted = np.zeros(len(rows), dtype=bool)
+    wanted[order[place < k]] = True
+    return wanted
+
+
 def offer(
     best: Best, rows: np.ndarray, row_ids: np.ndarray, queries: np.ndarray, metric: str, which: np.ndarray | None = None
 ) -> None:
@@ -153,8 +165,14 @@ def _offer(best: Best, rows, row_ids, queries, metric, which) -> None:
     if len(rows) > best.k:
         cut = np.minimum(cut, np.partition(rough, best.k - 1, axis=0)[best.k - 1] + 2 * bound)
     at, query = np.nonzero(rough <= cut[None, :])
+    if len(at) > CROWDED * best.k * len(queries):
+        wanted = _lowest_copies(rows, row_ids, best.k)[at]
+        at, query = at[wanted], query[wanted]
     if len(at) == 0:
         return
+    if metric == "hamming":  # whole numbers: the rough score is exact
+        best.merge(which[query], (rows.shape[1] + rough[at, query]) / 2, rough[at, query], row_ids[at])
+        return
     scores = np.empty(len(at))
     step = max(1, CELLS // max(1, rows.shape[1]))
     for i in range(0, len(at), step):

@@ -8,8 +8,8 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,14 +51,9 @@ def per_query_top(scored: DataFrame, query: str, k: Column | int) -> DataFrame:
     return ranked.filter(F.col("rank") <= k)
 
 
-def query_block(rows: list, k: int, metric: str) -> blocks.QueryBlock:
-    ids = np.array([r["query_id"] for r in rows], dtype="int64")
-    widths = {len(r["q"]) for r in rows}
-    if len(widths) > 1:
-        raise ValueError(f"query vectors of different dimensions {sorted(widths)}")
-    dim = widths.pop() if widths else 0
-    vectors = np.array([r["q"] for r in rows], dtype="float64").reshape(len(rows), dim)
-    return blocks.QueryBlock(ids, vectors, k, metric)
+def query_block(rows: pa.Table, k: int, metric: str) -> blocks.QueryBlock:
+    ids = rows.column("query_id").to_numpy().astype("int64")
+    return blocks.QueryBlock(ids, blocks.matrix(rows.column("q")), k, metric)
 
 
 def _arrow_batches(batches: Iterator[pa.RecordBatch], dim: int):
@@ -120,9 +115,9 @@ def by_grid(
     right = sized(queries).withColumns({"qb": block("query_id", "qbs"), "rb": every("rbs")})
 
     def cell(rows: pa.Table, asked: pa.Table) -> pa.Table:
-        matrix = blocks.matrix(asked.column("q")) if len(asked) else np.empty((0, 0))
-        block = blocks.QueryBlock(asked.column("query_id").to_numpy(), matrix, k, metric)
-        best = blocks.top_k(_arrow_batches(iter(rows.to_batches()), matrix.shape[1]) if len(asked) else iter(()), block)
+        block = query_block(asked, k, metric)
+        batches = _arrow_batches(iter(rows.to_batches()), block.vectors.shape[1])
+        best = blocks.top_k(batches if len(asked) else iter(()), block)
         return pa.Table.from_batches([blocks.result_batch(best, block)])
 
     return (
@@ -132,12 +127,13 @@ def by_grid(
     )
 
 
-def queries_within(queries: DataFrame, max_bytes: int) -> list | None:
+def queries_within(queries: DataFrame, max_bytes: int) -> pa.Table | None:
     """All query rows if they take at most ``max_bytes``, else ``None``."""
-    few = queries.limit(FEW_QUERIES).collect()
+    few = queries.limit(FEW_QUERIES).toArrow()
+    elements = pc.sum(pc.list_value_length(few.column("q"))).as_py() or 0
     if len(few) < FEW_QUERIES:
-        return few if sum(8 * len(r["q"]) for r in few) <= max_bytes else None
-    return sizing.collect_bounded(queries, max_bytes // (8 * max(1, len(few[0]["q"]))))
+        return few if 8 * elements <= max_bytes else None
+    return sizing.collect_bounded(queries, max_bytes // max(8, 8 * elements // len(few)))
 
 
 def _exact(

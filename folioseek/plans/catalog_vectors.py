@@ -99,7 +99,7 @@ def _(spark, sf):
 def _(spark, sf):
     emb = base(spark, sf, "embeddings")
     means = aggregates.vector_avg(emb, "label")
-    joined = sizing.lookup_join(emb, means, "label", spread="vec_id")
+    joined = sizing.lookup_join(emb, means, "label", spread="vec_id", measure=True)
     rows = elements(joined, vec.subtract("embedding", "centroid"))
     return rows.withColumn("v", F.col("v") + F.lit(0.0))
 

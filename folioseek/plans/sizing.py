@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,11 +24,15 @@ def estimated_bytes(df: DataFrame) -> int:
 
 
 def measured_bytes(df: DataFrame) -> int:
-    """Exact size of narrow rows (numbers and strings), by one distributed aggregate."""
-    strings = [f.name for f in df.schema.fields if f.dataType.typeName() == "string"]
-    fixed = 16 * len(df.schema.fields)
-    text = sum((F.coalesce(F.octet_length(name), F.lit(0)).cast("long") for name in strings), F.lit(0).cast("long"))
-    return df.agg(F.coalesce(F.sum(text + F.lit(fixed)), F.lit(0))).first()[0]
+    """Size of the rows, by one distributed aggregate; nested values count as their JSON text."""
+    total = F.lit(16 * len(df.columns)).cast("long")
+    for field in df.schema.fields:
+        kind = field.dataType.typeName()
+        if kind in ("string", "binary"):
+            total = total + F.coalesce(F.octet_length(field.name), F.lit(0))
+        elif kind in ("array", "map", "struct"):
+            total = total + F.octet_length(F.to_json(F.struct(field.name)))
+    return df.agg(F.coalesce(F.sum(total), F.lit(0))).first()[0]
 
 
 def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES, measure: bool = False) -> bool:
@@ -81,9 +86,9 @@ def fill_cores(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys) if estimated_bytes(df) < cores * split else df
 
 
-def collect_bounded(df: DataFrame, max_rows: int) -> list | None:
+def collect_bounded(df: DataFrame, max_rows: int) -> pa.Table | None:
     """Rows of ``df`` when there are at most ``max_rows`` of them, else ``None``."""
-    rows = df.limit(max_rows + 1).collect()
+    rows = df.limit(max_rows + 1).toArrow()
     return rows if len(rows) <= max_rows else None
 
 
