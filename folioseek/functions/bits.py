@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from folioseek.functions.vectors import let
+
 WORD = 64
 
 
@@ -19,7 +21,10 @@ def binary_quantize(a) -> Column:
 
 def pack(bits) -> Column:
     """``array<boolean>`` to ``array<bigint>`` words, bit ``i`` of a word for element ``i``."""
-    bits = _col(bits)
+    return let(_col(bits), _packed)
+
+
+def _packed(bits: Column) -> Column:
     one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
 
     def word(w: Column) -> Column:
@@ -49,4 +54,7 @@ def jaccard_distance(a, b) -> Column:
     a, b = _col(a), _col(b)
     both = _bits(a, b, lambda x, y: x.bitwiseAND(y))
     either = _bits(a, b, lambda x, y: x.bitwiseOR(y))
-    return F.when(both == 0, F.lit(1.0)).otherwise(F.lit(1.0) - both / F.when(either != 0, either))
+    return let(
+        F.struct(both.alias("n"), either.alias("of")),
+        lambda v: F.when(v["n"] == 0, F.lit(1.0)).otherwise(F.lit(1.0) - v["n"] / F.when(v["of"] != 0, v["of"])),
+    )

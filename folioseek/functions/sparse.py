@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioseek.functions.vectors import clamp
+from folioseek.functions.vectors import compare as dense_compare
+from folioseek.functions.vectors import cosine_from, let
 
 
 def _col(c) -> Column:
@@ -79,15 +80,12 @@ def norm(a) -> Column:
 
 def cosine_distance(a, b) -> Column:
     """One minus the cosine; NaN where a norm is zero."""
-    size = norm(a) * norm(b)
-    similarity = inner_product(a, b) / F.when(size != 0.0, size)
-    return F.when(size == 0.0, F.lit(float("nan"))).otherwise(F.lit(1.0) - clamp(similarity))
+    return cosine_from(inner_product(a, b), norm(a) * norm(b))
 
 
 def normalize(a) -> Column:
     """Unit length; the empty vector stays empty."""
-    size = norm(a)
-    return F.transform_values(_col(a), lambda k, v: v / F.when(size != 0.0, size))
+    return let(_col(a), lambda m: let(norm(m), lambda size: F.transform_values(m, lambda k, v: v / size)))
 
 
 def _ordered(a) -> Column:
@@ -101,5 +99,5 @@ def equals(a, b) -> Column:
 
 def compare(a, b, dim: int) -> Column:
     """-1, 0 or 1 in the order of the dense forms."""
-    x, y = to_dense(a, dim), to_dense(b, dim)
-    return F.when(x < y, F.lit(-1)).when(x == y, F.lit(0)).when(x > y, F.lit(1))
+    both = F.struct(to_dense(a, dim).alias("x"), to_dense(b, dim).alias("y"))
+    return let(both, lambda v: dense_compare(v["x"], v["y"]))

@@ -18,14 +18,28 @@ def _col(c) -> Column:
     return c if isinstance(c, Column) else F.col(c)
 
 
-def _double(x: Column) -> Column:
-    return x.cast("double")
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once.
+
+    A lambda computes the outer expressions it mentions anew for every element; a lambda's own
+    variable is just read.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
+def _doubles(a: Column) -> Column:
+    """The whole array cast at once, which is cheaper than a cast inside each lambda."""
+    return a.cast("array<double>")
 
 
 def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
 
 
+def _squares(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v * v)
+
+
 def _checked(a: Column, b: Column, result: Column, kind: str) -> Column:
     """``result``, or an error where the two lengths differ (null where either is null)."""
     wrong = F.raise_error(
@@ -43,20 +57,18 @@ def _checked(a: Column, b: Column, result: Column, kind: str) -> Column:
     )
 
 
-def _pairwise(a, b, f) -> Column:
+def _pairwise(a, b, f, fold=_total) -> Column:
     a, b = _col(a), _col(b)
-    zipped = F.zip_with(a, b, lambda x, y: f(_double(x), _double(y)))
-    return _checked(a, b, _total(zipped), "double")
+    return _checked(a, b, fold(F.zip_with(_doubles(a), _doubles(b), f)), "double")
 
 
 def _elementwise(a, b, f) -> Column:
     a, b = _col(a), _col(b)
-    zipped = F.zip_with(a, b, lambda x, y: f(_double(x), _double(y)))
-    return _checked(a, b, zipped, "array<double>")
+    return _checked(a, b, F.zip_with(_doubles(a), _doubles(b), f), "array<double>")
 
 
 def l2_squared_distance(a, b) -> Column:
-    return _pairwise(a, b, lambda x, y: (x - y) * (x - y))
+    return _pairwise(a, b, lambda x, y: x - y, _squares)
 
 
 def l2_distance(a, b) -> Column:
@@ -76,7 +88,7 @@ def negative_inner_product(a, b) -> Column:
 
 
 def norm(a) -> Column:
-    return F.sqrt(_total(F.transform(_col(a), lambda x: _double(x) * _double(x))))
+    return F.sqrt(_squares(_doubles(_col(a))))
 
 
 def clamp(x: Column) -> Column:
@@ -86,11 +98,17 @@ def clamp(x: Column) -> Column:
 
 def cosine_distance(a, b) -> Column:
     """One minus the cosine; NaN where a norm is zero."""
-    size = norm(a) * norm(b)
-    similarity = inner_product(a, b) / F.when(size != 0.0, size)
-    defined = F.lit(1.0) - clamp(similarity)
-    missing = _col(a).isNull() | _col(b).isNull()
-    return F.when(missing, F.lit(None).cast("double")).when(size == 0.0, F.lit(NAN)).otherwise(defined)
+    return cosine_from(inner_product(a, b), norm(a) * norm(b))
+
+
+def cosine_from(product: Column, size: Column) -> Column:
+    """Cosine distance from an inner product and the product of the norms; null from null."""
+    return let(
+        F.struct(product.alias("p"), size.alias("s")),
+        lambda v: F.when(v["s"] == 0.0, F.lit(NAN)).otherwise(
+            F.lit(1.0) - clamp(v["p"] / F.when(v["s"] != 0.0, v["s"]))
+        ),
+    )
 
 
 def spherical_distance(a, b) -> Column:
@@ -100,9 +118,10 @@ def spherical_distance(a, b) -> Column:
 
 def normalize(a) -> Column:
     """Unit length; the zero vector stays zero."""
-    a = _col(a)
-    size = norm(a)
-    return F.transform(a, lambda x: F.when(size == 0.0, F.lit(0.0)).otherwise(_double(x) / F.when(size != 0.0, size)))
+    def scaled(v: Column, size: Column) -> Column:
+        return F.when(size == 0.0, F.transform(v, lambda x: F.lit(0.0))).otherwise(F.transform(v, lambda x: x / size))
+
+    return let(_doubles(_col(a)), lambda v: let(F.sqrt(_squares(v)), lambda size: scaled(v, size)))
 
 
 def add(a, b) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioseek.plans import sizing
+
 
 def _numbers(value: Column) -> Column:
     body = F.regexp_replace(value, r"\A\[|\]\z", "")
@@ -12,11 +14,17 @@ def _numbers(value: Column) -> Column:
 
 
 def decode(df: DataFrame, column: str, into: str = "embedding") -> tuple[DataFrame, DataFrame]:
-    """Decoded rows (null text gives an empty vector) and the rows that do not parse."""
-    numbers = _numbers(F.col(column))
-    parsed = df.withColumn(into, F.when(F.col(column).isNull(), F.array().cast("array<float>")).otherwise(numbers))
-    bad = F.exists(into, lambda x: x.isNull())
-    return parsed.filter(~bad), parsed.filter(bad).drop(into)
+    """Decoded rows (null text gives an empty vector) and the rows that do not parse.
+
+    The generator keeps the optimizer from copying the parse into every later use of it.
+    """
+    empty = F.array().cast("array<float>")
+    numbers = F.when(F.col(column).isNull(), empty).otherwise(_numbers(F.col(column)))
+    checked = F.transform(
+        F.array(numbers), lambda v: F.struct(v.alias(into), F.exists(v, lambda x: x.isNull()).alias("_bad"))
+    )
+    parsed = sizing.fill_cores(df, column).select("*", F.inline_outer(checked))
+    return parsed.filter(~F.col("_bad")).drop("_bad"), parsed.filter("_bad").drop(into, "_bad")
 
 
 def encode(vector) -> Column:
