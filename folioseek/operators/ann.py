@@ -85,6 +85,24 @@ def write_lists(assigned: DataFrame, path: str) -> None:
     assigned.drop("list_distance").hint("rebalance", "list_id").write.partitionBy("list_id").parquet(path)
 
 
+def build_index(
+    vectors: DataFrame, path: str, lists: int = LISTS, seed: int = 42, fraction: float = 1.0, metric: str = "l2"
+) -> None:
+    """Cluster ``vectors(id, embedding)`` once and store rows and centroids below ``path``."""
+    spark = vectors.sparkSession
+    train_centroids(vectors, lists, seed, fraction=fraction).write.parquet(f"{path}/centroids")
+    centroids = spark.read.parquet(f"{path}/centroids")
+    write_lists(assign_lists(vectors.select("id", "embedding"), centroids, metric), f"{path}/rows")
+
+
+def search_index(
+    spark: SparkSession, path: str, queries: DataFrame, k: int = 5, probes: int = 10, metric: str = "l2"
+) -> DataFrame:
+    """``ivf_search`` over what ``build_index`` stored."""
+    centroids = spark.read.parquet(f"{path}/centroids")
+    return ivf_search(spark, f"{path}/rows", centroids, queries, k, probes, metric)
+
+
 def nearest_lists(queries: DataFrame, centroids: DataFrame, probes: int, metric: str = "l2") -> DataFrame:
     """``(query_id, list_id)`` of the ``probes`` nearest centroids of each query."""
     lists = centroids.select(F.col("list_id").cast("long").alias("id"), F.col("centroid").alias("embedding"))

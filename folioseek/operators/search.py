@@ -17,6 +17,7 @@ from folioseek.functions import text
 from folioseek.operators import blocks
 from folioseek.plans import sizing
 from folioseek.plans.shipping import ship_package
+from folioseek.sources.store import ChunkStore
 from folioseek.plans.ordering import oldest_first
 
 DEFAULT_TOP_K = 5
@@ -219,6 +220,19 @@ def search(
     return shape_hits(found, chunks, sources, base_url, bound)
 
 
+def search_store(
+    store: ChunkStore,
+    queries: DataFrame,
+    k: int = DEFAULT_TOP_K,
+    metric: str = "l2",
+    base_url: str = text.DEFAULT_BASE_URL,
+) -> DataFrame:
+    """``search`` over a chunk store: its own state join already leaves searchable chunks only."""
+    chunks = store.chunks(status="DONE")
+    found, bound = _exact(chunks.select("id", "embedding"), queries, k, metric, sizing.COLLECT_BYTES)
+    return shape_hits(found, chunks, store.sources(), base_url, bound)
+
+
 def example_queries(chunks: DataFrame, query_id: str = "id") -> DataFrame:
     """Stored chunks as queries."""
     return chunks.filter(F.col("embedding").isNotNull()).select(

@@ -189,14 +189,12 @@ def _(spark, sf):
     return ann.assign_lists(emb, ann.train_centroids(emb, lists=20)).select("id", "list_id", "list_distance")
 
 
-def ivf_table(spark, sf, lists: int = ann.LISTS) -> tuple[str, DataFrame]:
-    """Searchable chunks stored by list, and the centroids, in the shared folder."""
+def stored_lists(spark, sf, lists: int = ann.LISTS) -> str:
+    """Searchable chunks stored by list in the shared folder."""
     t = document_tables(spark, sf)
-    live = search.searchable(t.chunks, t.sources).select("id", "embedding")
-    centroids = sizing.materialize(ann.train_centroids(live, lists), "centroids")
     path = sizing.work_path(spark, "lists")
-    ann.write_lists(ann.assign_lists(live, centroids), path)
-    return path, centroids
+    ann.build_index(search.searchable(t.chunks, t.sources), path, lists)
+    return path
 
 
 @query(
@@ -205,13 +203,12 @@ def ivf_table(spark, sf, lists: int = ann.LISTS) -> tuple[str, DataFrame]:
     "v_searchable",
 )
 def _(spark, sf):
-    path, centroids = ivf_table(spark, sf)
-    return rounded(ann.ivf_search(spark, path, centroids, all_queries(spark, sf), 5, probes=ann.LISTS))
+    return rounded(ann.search_index(spark, stored_lists(spark, sf), all_queries(spark, sf), 5, probes=ann.LISTS))
 
 
 @query("knn_8_ivf_recall")
 def _(spark, sf):
-    path, centroids = ivf_table(spark, sf, 25)
+    path = stored_lists(spark, sf, 25)
     t = document_tables(spark, sf)
     exact = search.exact_top_k(search.searchable(t.chunks, t.sources), all_queries(spark, sf), 5)
-    return ann.recall(ann.ivf_search(spark, path, centroids, all_queries(spark, sf), 5, probes=8), exact)
+    return ann.recall(ann.search_index(spark, path, all_queries(spark, sf), 5, probes=8), exact)

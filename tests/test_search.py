@@ -153,3 +153,12 @@ def test_recall_grows_to_one(spark, vectors, queries, lists):
 def test_quantised_search_reranks_exactly(vectors, queries):
     found = search.quantised_search(vectors, queries, 2, oversample=150)
     assert values(found, "query_id", "rank", "id") == brute(vectors, queries, 2)
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_index_round_trip(spark, vectors, queries, metric):
+    path = sizing.work_path(spark, "index")
+    ann.build_index(vectors, path, lists=6, metric=metric)
+    found = ann.search_index(spark, path, queries, 3, probes=6, metric=metric)
+    exact = search.exact_top_k(vectors, queries, 3, metric)
+    assert values(found, "query_id", "rank", "id") == values(exact, "query_id", "rank", "id")

@@ -216,6 +216,7 @@ def test_search_by_own_chunk(spark, tables, store):
     hits = search.search(store.chunks(), store.sources(), asked).collect()
     assert hits and {r["query_id"] for r in hits} == {1}
     assert any(r["doc_id"] == 4 for r in hits)
+    assert sorted(map(tuple, search.search_store(store, asked, 15).collect())) == sorted(map(tuple, hits))
     best = min(hits, key=lambda r: r["rank"])
     assert best["score"] <= max(r["score"] for r in hits)
     assert best["source_url"].endswith(f"/documents/{best['doc_id']}")
