@@ -75,29 +75,36 @@ def pair_scores(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
 
 
 def _rough(rows: np.ndarray, queries: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
-    """A monotone stand-in for the score (rows by queries) and its error bound per query."""
+    """A monotone stand-in for the score (rows by queries) and its error bound per query.
+
+    NaN where the score is undefined.
+    """
     if metric == "l1":
         scores = np.empty((len(rows), len(queries)))
         for j, q in enumerate(queries):
             scores[:, j] = np.abs(rows - q).sum(axis=1)
-        return scores, MARGIN * (1.0 + np.abs(scores).max(axis=0, initial=0.0))
+        return scores, MARGIN * (1.0 + np.array([_largest(column) for column in scores.T]))
     row_sq = (rows * rows).sum(axis=1)
     query_sq = (queries * queries).sum(axis=1)
     dot = rows @ queries.T
     if metric == "l2":
-        bound = MARGIN * (row_sq.max(initial=0.0) + query_sq)
+        bound = MARGIN * (_largest(row_sq) + query_sq)
         return row_sq[:, None] + query_sq[None, :] - 2.0 * dot, bound
     if metric == "cosine":
         with np.errstate(invalid="ignore", divide="ignore"):
             scores = -dot / np.sqrt(row_sq[:, None] * query_sq[None, :])
-        scores[np.isnan(scores)] = np.inf
         return scores, np.full(len(queries), MARGIN)
     if metric == "spherical":
         dot = np.clip(dot, -1.0, 1.0)
-    bound = MARGIN * np.sqrt(row_sq.max(initial=0.0) * query_sq) + 1e-300
+    bound = MARGIN * np.sqrt(_largest(row_sq) * query_sq) + 1e-300
     return -dot, bound
 
 
+def _largest(values: np.ndarray) -> float:
+    """The largest finite value; rows that are not finite need no margin."""
+    return float(values[np.isfinite(values)].max(initial=0.0))
+
+
 class Best:
     """The ``k`` nearest rows seen so far for every query, ties by row id; NaN counts as farthest."""
 
@@ -161,6 +168,8 @@ def offer(
 
 def _offer(best: Best, rows, row_ids, queries, metric, which) -> None:
     rough, bound = _rough(rows, queries, metric)
+    rough[np.isnan(rough)] = np.inf  # ranked last, not lost
+    bound[np.isnan(bound)] = np.inf
     cut = best.ceiling()[which] + 2 * bound
     if len(rows) > best.k:
         cut = np.minimum(cut, np.partition(rough, best.k - 1, axis=0)[best.k - 1] + 2 * bound)

@@ -53,6 +53,13 @@ def test_copies_are_ranked_by_id():
     assert answer(ids, rows, rows[:1] + 1, 3, "l2", 170) == [(0, 0), (0, 1), (0, 2)]
 
 
+def test_undefined_scores_come_last_and_are_kept():
+    rows = np.array([[np.nan, 1.0], [0.0, 0.0], [3.0, 4.0]])
+    ids = np.array([1, 2, 3])
+    assert answer(ids, rows, np.array([[3.0, 4.0]]), 3, "l2", 3) == [(0, 3), (0, 2), (0, 1)]
+    assert answer(ids, rows, np.array([[3.0, 4.0]]), 3, "cosine", 3) == [(0, 3), (0, 1), (0, 2)]
+
+
 def test_small_steps_give_the_same(monkeypatch):
     rng = np.random.default_rng(3)
     rows, queries, ids = rng.standard_normal((500, 8)), rng.standard_normal((20, 8)), np.arange(500)

@@ -34,6 +34,27 @@ def test_salted_join_splits_the_hot_key(big, dim):
     assert "_salt" in plan
 
 
+def test_hot_and_null_keys_are_spread_over_tasks(spark):
+    rows = spark.range(9000).select("id", F.expr("CASE WHEN id % 3 = 0 THEN 1 WHEN id % 3 = 1 THEN NULL ELSE id END AS k").alias("k"))
+    dim = spark.range(9000).select(F.col("id").alias("k"), F.lit("x").alias("name"))
+    changed = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8"}
+    before = {key: spark.conf.get(key) for key in changed}
+
+    def largest_share(df):
+        sizes = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+        return max(sizes) / sum(sizes)
+
+    try:
+        for key, value in changed.items():
+            spark.conf.set(key, value)
+        plain = largest_share(rows.join(dim, "k", "left"))
+        salted = largest_share(sizing.lookup_join(rows, dim, "k", limit=-1, spread="id"))
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert plain > 0.3 and salted < 0.25
+
+
 def test_broadcast_within_limit(spark, big):
     small = spark.sql("SELECT * FROM VALUES (1L, 'one') AS t(k, name)")
     plan = sizing.lookup_join(big, small, "k")._jdf.queryExecution().executedPlan().toString()
