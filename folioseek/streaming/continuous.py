@@ -38,15 +38,16 @@ def start_ingest(
     """Ingest each micro-batch of document versions; ``tables`` gives the other tables afresh.
 
     Only the newest version of a document in a batch counts, and only if the store does not
-    have it yet. Every ``cleanup_every``-th batch also removes documents that ``tables()`` no
-    longer holds. Run numbers come from batch numbers, so a replayed batch is recognised.
+    have it yet; so a replayed batch finds its documents up to date, and what a batch left
+    half written is overwritten by its replay. Every ``cleanup_every``-th batch also removes
+    documents that ``tables()`` no longer holds. A store has one writer at a time.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         arrived = latest_versions(batch, "id", "modified")
-        ingest(replace(tables(), documents=arrived), store, run=2 * batch_id, **options)
+        ingest(replace(tables(), documents=arrived), store, **options)
         if cleanup_every and (batch_id + 1) % cleanup_every == 0:
-            remove_orphans(tables(), store, run=2 * batch_id + 1)
+            remove_orphans(tables(), store)
 
     writer = documents.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"processingTime": INGEST_PERIOD})).start()

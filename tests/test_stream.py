@@ -7,11 +7,37 @@ from conftest import values
 from pyspark.sql import functions as F
 
 from folioseek.operators import embedding
+from folioseek.operators.ingest import ingest
 from folioseek.plans import sizing
 from folioseek.sources.store import ChunkStore
 from folioseek.streaming import continuous
 
 
+def paragraphs(tables, spark, store, checkpoint, folder, documents):
+    stream = continuous.document_stream(spark, folder, tables.documents.schema)
+    continuous.start_ingest(
+        stream, lambda: replace(tables, documents=documents), store, checkpoint, trigger={"availableNow": True},
+        splitter=lambda text: text.split("\n\n"), embedder=embedding.hashing_embedder(8), as_of=datetime(2024, 6, 1),
+    ).awaitTermination()
+
+
+def test_store_filled_by_a_batch_job_before(spark, tables):
+    folder = sizing.work_path(spark, "arriving")
+    store = ChunkStore(spark, sizing.work_path(spark, "stream-store"))
+    ingest(tables, store, embedder=embedding.hashing_embedder(8), as_of=datetime(2024, 2, 1))
+    changed = tables.documents.filter("id = 1").withColumns(
+        {"content": F.lit("fresh"), "modified": F.lit(datetime(2024, 5, 1))}
+    )
+    changed.write.parquet(folder)
+    paragraphs(tables, spark, store, sizing.work_path(spark, "c"), folder, tables.documents)
+    assert values(store.chunks().filter("doc_id = 1 AND chunk_index = 1"), "content") == [("fresh",)]
+    assert store.sources().count() == 4
+    # The same files through a new checkpoint: a replay of the whole stream changes nothing.
+    before = values(store.chunks(), "id", "content"), values(store.sources())
+    paragraphs(tables, spark, store, sizing.work_path(spark, "c"), folder, tables.documents)
+    assert (values(store.chunks(), "id", "content"), values(store.sources())) == before
+
+
 def test_versions_arrive_restart_and_cleanup(spark, tables):
     folder = sizing.work_path(spark, "arriving")
     checkpoint = sizing.work_path(spark, "stream-checkpoint")
