@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioseek.llm import langid, quality
+from folioseek.llm import fingerprint, langid, quality, tokens
 from folioseek.llm.registry import QUERIES, SQL, query, read
+from folioseek.plans.sizing import work_path
 
 __all__ = ["QUERIES", "SQL"]
 
+TOKENIZER, END_ID = "byte_bpe_50k.json", 2
+
 
 @query("op1_quality_classifier")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,3 +40,17 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         "lang_pred",
         "score",
     )
+
+
+@query("op4_document_fingerprints")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's digest, its edited text's, and the next document's."""
+    return fingerprint.compare_with_next(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op5_token_ids")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens written and read back."""
+    path = work_path(spark, "tokens")
+    tokens.write(read(spark, sf_dir, "documents", "doc_id", "text"), path, public_tokenizers.path(TOKENIZER), END_ID)
+    return tokens.read(spark, path).drop("segment")
