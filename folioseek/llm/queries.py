@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioseek.llm import fingerprint, langid, quality, tokens
+from folioseek.llm import fingerprint, langid, pii, quality, tokens
 from folioseek.llm.registry import QUERIES, SQL, query, read
 from folioseek.plans.sizing import work_path
 
@@ -54,3 +54,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_path(spark, "tokens")
     tokens.write(read(spark, sf_dir, "documents", "doc_id", "text"), path, public_tokenizers.path(TOKENIZER), END_ID)
     return tokens.read(spark, path).drop("segment")
+
+
+@query("op2_pii")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: base spans, and those that the random field adds."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    return pii.annotate(docs, pii.train(docs)).drop("text")
