@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioseek.llm import fingerprint, langid, pii, quality, tokens
+from folioseek.llm import fingerprint, langid, pii, quality, suffix_tree, tokens
 from folioseek.llm.registry import QUERIES, SQL, query, read
 from folioseek.plans.sizing import work_path
 
@@ -61,3 +61,19 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: base spans, and those that the random field adds."""
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     return pii.annotate(docs, pii.train(docs)).drop("text")
+
+
+@query("op10_lm_scores")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability; a seventh of the documents teaches nothing."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    tree, vocabulary = suffix_tree.train(docs.where(quality.fold("doc_id", 7) != 2))
+    return suffix_tree.score(docs, tree, vocabulary, "doc_id").select(
+        "doc_id",
+        F.coalesce(quality.fold("doc_id", 7) == 2, F.lit(False)).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(tree.total).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
