@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioseek.llm import fingerprint, langid, pii, quality, suffix_tree, tokens
+from folioseek.llm import fingerprint, jaccard, langid, pii, quality, suffix_tree, tokens
 from folioseek.llm.registry import QUERIES, SQL, query, read
 from folioseek.plans.sizing import work_path
 
@@ -77,3 +77,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_score",
         "score",
     )
+
+
+@query("op6_jaccard_join")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component under links of 85 % of 4-word shingles."""
+    return jaccard.group(read(spark, sf_dir, "documents", "doc_id", "text"), width=4, num=85, den=100)
