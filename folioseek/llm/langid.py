@@ -27,6 +27,7 @@ UNKNOWN = "und"
 ROWS_PER_LANGUAGE = 300
 LANGUAGES = 200
 EPOCHS = 3
+CHUNK_BYTES = 1 << 18
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.002, 0.05
 
 _letters: np.ndarray | None = None
@@ -51,7 +52,7 @@ class LanguageModel:
 def _vectors(texts: pa.Array):
     """For each text its distinct buckets and their counts, and whether it has a letter."""
     letters = _is_letter()
-    for _, _, data, offsets in batches.chunks(texts):
+    for _, _, data, offsets in batches.chunks(texts, CHUNK_BYTES):
         points, at = batches.code_points(data, offsets)
         kept = letters[points]
         letter_count = np.concatenate([[0], np.cumsum(kept)])
