@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioseek.llm import fingerprint, jaccard, langid, pii, quality, suffix_tree, tokens
+from folioseek.llm import fingerprint, jaccard, langid, native_queries, pii, quality, suffix_tree, tokens  # noqa: F401
 from folioseek.llm.registry import QUERIES, SQL, query, read
 from folioseek.plans.sizing import work_path
 
