@@ -180,7 +180,7 @@ def _frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def describe(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """One row per document: doc_id, n (shingles), key of its set, coarse point, prefix shingles."""
+    """One row per document: doc_id, hash of its text, n (shingles), key of its set, coarse point, prefix."""
     frequent, counts = _frequent(docs, width)
     sent = docs.sparkSession.sparkContext.broadcast((frequent, counts))
 
@@ -193,14 +193,15 @@ def describe(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
             def flush(high: int) -> pa.RecordBatch:
                 return pa.RecordBatch.from_arrays(
                     [
-                        ids.slice(done, high - done), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()),
+                        ids.slice(done, high - done), batch.column(2).slice(done, high - done),
+                        pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()),
                         pa.array(points, pa.binary()),
                         pa.ListArray.from_arrays(
                             pa.array(np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]), pa.int32()),
                             pa.array(np.concatenate(prefixes).view(np.int64)),
                         ),
                     ],
-                    ["doc_id", "n", "key", "point", "prefix"],
+                    ["doc_id", "text_hash", "n", "key", "point", "prefix"],
                 )
 
             for i, own in _sets(batch.column(1), width):
@@ -221,8 +222,8 @@ def describe(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
                 yield flush(batch.num_rows)
 
     return materialize(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-            rows, "doc_id bigint, n bigint, key bigint, point binary, prefix array<bigint>"
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text")).mapInArrow(
+            rows, "doc_id bigint, text_hash bigint, n bigint, key bigint, point binary, prefix array<bigint>"
         ),
         "described",
     )
@@ -410,7 +411,7 @@ def links(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, D
 
 
 def group(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One row per document (doc_id, text): doc_id, n_shingles, component_id, n_links.
+    """One row per document (doc_id, text): doc_id, text_hash, n_shingles, component_id, n_links.
 
     Documents link when the Jaccard similarity of their shingle sets is at least ``num / den``;
     words are lower-cased in ASCII and split at ASCII white space. ``component_id`` is the least
@@ -426,9 +427,28 @@ def group(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> Dat
     )
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     named = placed.join(least, "component").join(degree, "key", "left").select("key", "component_id", "n_links")
-    return described.select("doc_id", F.col("n").alias("n_shingles"), "key").join(named, "key", "left").select(
+    return described.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "key").join(named, "key", "left").select(
         "doc_id",
+        "text_hash",
         "n_shingles",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
         F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
     )
+
+
+def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The documents without those that link, directly or not, to one with a smaller id.
+
+    All columns stay as they are. Documents without shingles and rows with a null id stay. Of
+    rows repeated with id and text one stays.
+    """
+    grouped = materialize(group(docs, width, num, den).where("doc_id is not null and n_shingles > 0"), "grouped")
+    row = F.concat_ws(":", "doc_id", "text_hash").alias("_row")
+    going = grouped.where("doc_id <> component_id").select(row).distinct()
+    again = grouped.where("doc_id = component_id").select(row).groupBy("_row").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    marked = docs.withColumn("_row", F.concat_ws(":", F.col("doc_id").cast("long"), F.xxhash64("text")))
+    left = lookup_join(marked, going, "_row", "left_anti", spread="_row", measure=True)
+    again = materialize(again.select("_row"), "repeated")
+    single = lookup_join(left, again, "_row", "left_anti", spread="_row", measure=True)
+    repeated = lookup_join(left, again, "_row", "left_semi", spread="_row", measure=True).dropDuplicates(["_row"])
+    return single.union(repeated).select(*docs.columns)

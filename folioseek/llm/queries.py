@@ -82,4 +82,4 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_jaccard_join")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's component under links of 85 % of 4-word shingles."""
-    return jaccard.group(read(spark, sf_dir, "documents", "doc_id", "text"), width=4, num=85, den=100)
+    return jaccard.group(read(spark, sf_dir, "documents", "doc_id", "text"), width=4, num=85, den=100).drop("text_hash")
