@@ -47,7 +47,7 @@ def signature(shingles: np.ndarray) -> int:
 
 def fine_groups(n: int) -> int:
     """Groups of the fine point of a set of ``n``: a power of two, 4 to 8 shingles each."""
-    return max(COARSE, 1 << max(0, n // 4).bit_length() - 1)
+    return max(COARSE, 1 << max(0, (n // 4).bit_length() - 1))
 
 
 def point(shingles: np.ndarray, groups: int) -> np.ndarray:
