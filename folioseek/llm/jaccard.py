@@ -446,9 +446,12 @@ def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100)
     row = F.concat_ws(":", "doc_id", "text_hash").alias("_row")
     going = grouped.where("doc_id <> component_id").select(row).distinct()
     again = grouped.where("doc_id = component_id").select(row).groupBy("_row").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    marked = docs.withColumn("_row", F.concat_ws(":", F.col("doc_id").cast("long"), F.xxhash64("text")))
+    marked = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_whole"),
+        F.concat_ws(":", F.col("doc_id").cast("long"), F.xxhash64("text")).alias("_row"),
+    )
     left = lookup_join(marked, going, "_row", "left_anti", spread="_row", measure=True)
     again = materialize(again.select("_row"), "repeated")
     single = lookup_join(left, again, "_row", "left_anti", spread="_row", measure=True)
     repeated = lookup_join(left, again, "_row", "left_semi", spread="_row", measure=True).dropDuplicates(["_row"])
-    return single.union(repeated).select(*docs.columns)
+    return single.union(repeated).select("_whole.*")
