@@ -17,14 +17,36 @@ CHUNK_SIZE = 1000
 CHUNK_OVERLAP = 200
 FLUSH_CHARS = 8_000_000
 
-# What ends a piece at each level, and what joins pieces back.
-LEVELS = (
-    (re.compile(r"\s*\n\s*\n\s*"), "\n\n"),
-    (re.compile(r"\s*\n\s*"), "\n"),
-    (re.compile(r"(?<=[.!?])\s+"), " "),
-    (re.compile(r"\s+"), " "),
-)
-SENTENCE_END = LEVELS[2][0]
+# What joins the pieces of each level back.
+GLUES = ("\n\n", "\n", " ", " ")
+SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
+
+
+def lines(text: str) -> list[str]:
+    """Lines without the white space around them, blank ones left out."""
+    return [line for part in text.split("\n") if (line := part.strip())]
+
+
+def paragraphs(text: str) -> list[str]:
+    """Runs of lines between blank lines; the lines inside keep their ends."""
+    found: list[list[str]] = [[]]
+    for line in text.split("\n"):
+        if line.strip():
+            found[-1].append(line)
+        elif found[-1]:
+            found.append([])
+    return ["\n".join(p).strip() for p in found if p]
+
+
+def sentences(text: str) -> list[str]:
+    return SENTENCE_END.split(text)
+
+
+def plain_words(text: str) -> list[str]:
+    return text.split()
+
+
+LEVELS: tuple[Callable[[str], list[str]], ...] = (paragraphs, lines, sentences, plain_words)
 
 Splitter = Callable[[str], list[str]]
 
@@ -48,10 +70,10 @@ def split_text(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
     """
     if level == len(LEVELS):
         return [text[i : i + size] for i in range(0, len(text), size)]
-    boundary, glue = LEVELS[level]
+    cut, glue = LEVELS[level], GLUES[level]
     chunks: list[str] = []
     lead = current = ""
-    for piece in filter(None, boundary.split(text.strip())):
+    for piece in filter(None, cut(text.strip())):
         if current and len(current) + len(glue) + len(piece) <= size:
             current += glue + piece
             continue

@@ -60,7 +60,8 @@ def ingest(
     """Bring the store up to date with the documents; returns the run number.
 
     All candidates are processed in one pass, each once; ``limit`` takes the oldest changes
-    only. A run that is already committed is left alone, so a replay changes nothing.
+    only. A run that is already committed is left alone, so a replay changes nothing; when
+    nothing is due no run is committed.
     """
     run = store.next_run() if run is None else run
     if run in store.committed_runs():
@@ -69,6 +70,8 @@ def ingest(
     known = store.sources()
     due = sync.ingest_candidates(replace(tables, sources=known), limit, staleness)
     candidates = sizing.materialize(due, "candidates")
+    if candidates.isEmpty():
+        return run
 
     ids = candidates.select(F.col("doc_id").alias("id"))
     note_join = "fk_first" if note_join == "fk" else note_join
@@ -96,10 +99,36 @@ def ingest(
 
 
 def remove_orphans(tables: Tables, store: ChunkStore, run: int | None = None) -> int:
-    """Drop state and chunks of documents that are gone; returns the run number."""
+    """Drop state and chunks of documents that are gone; returns the run number.
+
+    When nothing is gone no run is committed.
+    """
     run = store.next_run() if run is None else run
     if run in store.committed_runs():
         return run
-    gone = sync.orphans(store.sources(), tables.documents)
+    gone = sizing.materialize(sync.orphans(store.sources(), tables.documents), "orphans")
+    if gone.isEmpty():
+        return run
     store.commit(run, gone.withColumn("deleted", F.lit(True)))
     return run
+
+
+def drain(tables: Tables, store: ChunkStore, batch: int = sync.INGEST_BATCH, **options) -> int:
+    """Ingest in runs of at most ``batch`` documents, oldest change first, until none is due.
+
+    A document that fails is tried once: what is in ERROR after its run waits for the next call.
+    Returns the number of runs.
+    """
+    runs = 0
+    tried = None
+    while True:
+        due = tables.documents
+        if tried is not None:
+            due = due.join(tried, "id", "left_anti")
+        run = ingest(replace(tables, documents=due), store, limit=batch, **options)
+        ended = store.run_state(run)
+        if ended.isEmpty():
+            return runs
+        runs += 1
+        failed = ended.filter("status = 'ERROR'").select(F.col("doc_id").alias("id"))
+        tried = sizing.materialize(failed if tried is None else tried.union(failed), "tried")

@@ -208,16 +208,26 @@ def search(
 ) -> DataFrame:
     """Top-k chunks of ingested documents per query, shaped as results.
 
-    ``queries`` may carry its own ``top_k`` column, at most ``MAX_TOP_K`` each; then ``k`` is unused.
+    ``queries`` may carry its own ``top_k`` column, of any size; null and values below 1 stand
+    for ``k``. The queries are evaluated once, however they are made.
     """
-    own_k = "top_k" in queries.columns
-    most = MAX_TOP_K if own_k else k
+    queries, most = held_queries(queries, k)
     found, bound = _exact(searchable(chunks, sources), queries, most, metric, max_query_bytes)
-    if own_k:
-        wanted = queries.select("query_id", F.least("top_k", F.lit(MAX_TOP_K)).alias("_k"))
-        found = found.join(broadcast_within(wanted, bound, HIT_BYTES), "query_id")
-        found = found.filter(F.col("rank") <= F.col("_k")).drop("_k")
-    return shape_hits(found, chunks, sources, base_url, bound)
+    return shape_hits(own_top(found, queries, bound), chunks, sources, base_url, bound)
+
+
+def held_queries(queries: DataFrame, k: int) -> tuple[DataFrame, int]:
+    """The queries written once, with each one's own number of hits, and the largest of these."""
+    own = F.col("top_k") if "top_k" in queries.columns else F.lit(None).cast("int")
+    held = sizing.materialize(
+        queries.select("query_id", "q", F.coalesce(F.when(own > 0, own), F.lit(k)).cast("int").alias("_k")), "queries"
+    )
+    return held, held.agg(F.max("_k")).first()[0] or k
+
+
+def own_top(found: DataFrame, queries: DataFrame, bound: int | None) -> DataFrame:
+    wanted = broadcast_within(queries.select("query_id", "_k"), bound, HIT_BYTES)
+    return found.join(wanted, "query_id").filter(F.col("rank") <= F.col("_k")).drop("_k")
 
 
 def search_store(
@@ -229,8 +239,9 @@ def search_store(
 ) -> DataFrame:
     """``search`` over a chunk store: its own state join already leaves searchable chunks only."""
     chunks = store.chunks(status="DONE")
-    found, bound = _exact(chunks.select("id", "embedding"), queries, k, metric, sizing.COLLECT_BYTES)
-    return shape_hits(found, chunks, store.sources(), base_url, bound)
+    queries, most = held_queries(queries, k)
+    found, bound = _exact(chunks.select("id", "embedding"), queries, most, metric, sizing.COLLECT_BYTES)
+    return shape_hits(own_top(found, queries, bound), chunks, store.sources(), base_url, bound)
 
 
 def example_queries(chunks: DataFrame, query_id: str = "id") -> DataFrame:
@@ -246,6 +257,7 @@ def quantised_search(
     """Shortlist of ``k * oversample`` by Hamming distance of sign bits, re-ranked by exact L2."""
     from folioseek.functions.vectors import l2_distance
 
+    queries = sizing.materialize(queries.select("query_id", "q"), "queries")
     found, bound = _exact(vectors, queries, k * oversample, "hamming", sizing.COLLECT_BYTES)
     short = found.select("query_id", "id", F.col("score").alias("hamming"))
     asked = queries.select("query_id", "q")

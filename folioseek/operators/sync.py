@@ -17,6 +17,7 @@ STATE_COLUMNS = (
     "doc_id", "title", "correspondent", "doc_date", "source_modified_at", "last_ingested_at", "status",
     "error_message", "created_at", "updated_at",
 )
+#: Documents per run of the source system's jobs; callers who want such runs pass them.
 INGEST_BATCH = 20
 CLEANUP_BATCH = 50
 
@@ -40,9 +41,9 @@ def stale(staleness: str = "ingest_time") -> Column:
 
 
 def ingest_candidates(
-    tables: Tables, limit: int | None = INGEST_BATCH, staleness: str = "ingest_time"
+    tables: Tables, limit: int | None = None, staleness: str = "ingest_time"
 ) -> DataFrame:
-    """PDF documents that need ingesting, oldest change first; all of them with ``limit=None``."""
+    """PDF documents that need ingesting; with a ``limit`` the oldest changes, in their order."""
     docs = tables.documents.filter(is_pdf()).select("id", "title", "modified", "created", "correspondent_id")
     state = tables.sources.select(
         F.col("doc_id").alias("id"), "status", "last_ingested_at", "source_modified_at", F.lit(True).alias("_known")
@@ -132,9 +133,10 @@ def orphans(sources: DataFrame, documents: DataFrame) -> DataFrame:
     return sources.join(documents.select(F.col("id").alias("doc_id")), "doc_id", "left_anti")
 
 
-def oldest_orphans(sources: DataFrame, documents: DataFrame, limit: int | None = CLEANUP_BATCH) -> DataFrame:
+def oldest_orphans(sources: DataFrame, documents: DataFrame, limit: int | None = None) -> DataFrame:
+    """State rows whose document is gone; with a ``limit`` the longest untouched, in their order."""
     gone = orphans(sources.select("doc_id", "updated_at"), documents)
-    return top(gone, oldest_first("updated_at", "doc_id"), limit)
+    return gone if limit is None else top(gone, oldest_first("updated_at", "doc_id"), limit)
 
 
 def cleanup(sources: DataFrame, chunks: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -384,7 +384,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     t = document_tables(spark, sf)
-    return sync.oldest_orphans(t.sources, t.documents).select("doc_id", *text_of("updated_at"))
+    return sync.oldest_orphans(t.sources, t.documents, sync.CLEANUP_BATCH).select("doc_id", *text_of("updated_at"))
 
 
 @query(

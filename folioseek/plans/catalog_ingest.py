@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -195,6 +197,19 @@ def _(spark, sf):
     return store.sources().select("doc_id", "status", "title")
 
 
+@query(
+    "ing_6_drain",
+    """SELECT id AS doc_id, 'DONE' AS status, title FROM v_listing""",
+    "v_listing",
+)
+def _(spark, sf):
+    t = document_tables(spark, sf)
+    store = new_store(spark)
+    quarter = -(-t.documents.count() // 4)
+    ingest.drain(t, store, quarter, splitter=split_windows, embedder=embedding.hashing_embedder(DIM), as_of=AS_OF)
+    return store.sources().select("doc_id", "status", "title")
+
+
 @query(
     "ing_7_orphan_cleanup",
     """SELECT k.id, k.doc_id, k.chunk_index FROM v_chunk k
@@ -218,9 +233,9 @@ def streamed_documents(spark, sf) -> DataFrame:
     return document_columns(continuous.document_stream(spark, f"{sf}/documents*.parquet", schema))
 
 
-def run_stream(spark, sf, store: ChunkStore, tables, **options) -> None:
+def run_stream(spark, sf, store: ChunkStore, tables, documents=None, **options) -> None:
     query = continuous.start_ingest(
-        streamed_documents(spark, sf), tables, store, sizing.work_path(spark, "stream"),
+        documents or streamed_documents(spark, sf), tables, store, sizing.work_path(spark, "stream"),
         trigger={"availableNow": True}, splitter=split_windows, embedder=embedding.hashing_embedder(DIM), as_of=AS_OF,
         **options,
     )
@@ -257,6 +272,59 @@ def _(spark, sf):
     return store.sources().select("doc_id", "title")
 
 
+@query(
+    "str_1_edit_before_ingest_clock",
+    f"""WITH t AS (SELECT id AS doc_id, {RENDER_SQL} AS text FROM v_listing),
+    k AS ({windows_sql('doc_id', 'text', 't')}) SELECT doc_id, chunk_index, content FROM k""",
+    "v_listing",
+)
+def _(spark, sf):
+    # Every document was ingested in an older version, by a clock later than the edits that now arrive.
+    t = document_tables(spark, sf)
+    older = t.documents.withColumns({"content": F.lit("old"), "modified": F.col("modified") - F.expr("INTERVAL 1 HOUR")})
+    store = new_store(spark)
+    ingest.ingest(replace(t, documents=older), store, split_windows, embedding.hashing_embedder(DIM), AS_OF)
+    run_stream(spark, sf, store, lambda: t)
+    return store.chunks().select("doc_id", "chunk_index", "content")
+
+
+@query(
+    "str_1_retry_after_failure",
+    """SELECT id AS doc_id, 'DONE' AS status, CAST(NULL AS VARCHAR) AS error_message FROM v_listing""",
+    "v_listing",
+)
+def _(spark, sf):
+    # The model was down for all but English documents; only English ones arrive after that.
+    t = document_tables(spark, sf)
+
+    def fails(text: str) -> list[str]:
+        if " the " not in text:
+            raise ValueError("model is down")
+        return split_windows(text)
+
+    store = new_store(spark)
+    ingest.ingest(t, store, fails, embedding.hashing_embedder(DIM), AS_OF)
+    run_stream(spark, sf, store, lambda: t, streamed_documents(spark, sf).filter("lang = 'en'"))
+    return store.sources().select("doc_id", "status", "error_message")
+
+
+@query(
+    "str_2_cleanup_without_arrivals",
+    """SELECT id AS doc_id, title FROM v_listing WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = id)""",
+    "v_listing",
+)
+def _(spark, sf):
+    t = document_tables(spark, sf)
+    store = new_store(spark)
+    ingest.ingest(t, store, split_windows, embedding.hashing_embedder(DIM), AS_OF)
+    labelled = base(spark, sf, "labels").select(F.col("doc_id").alias("id"))
+    left = replace(t, documents=t.documents.join(labelled, "id", "left_semi"))
+    continuous.start_cleanup(
+        spark, lambda: left, store, sizing.work_path(spark, "cleanup"), {"availableNow": True}
+    ).awaitTermination()
+    return store.sources().select("doc_id", "title")
+
+
 @query(
     "str_3_latest_version",
     """SELECT user_id, event_id, CAST(ts AS VARCHAR) AS ts, event_type FROM events

@@ -65,6 +65,22 @@ def _(spark, sf):
     return rounded(search.search(t.chunks, t.sources, asked))
 
 
+@query(
+    "knn_2_own_k_above_20",
+    f"""{ranked_sql('list_distance(k.v, q.q)', '60')},
+    asked AS (SELECT vec_id AS query_id, CASE WHEN label = 0 THEN 5 ELSE 6 * label END AS top_k FROM embeddings)
+    SELECT h.query_id, h.rank, h.id, round(h.score, 6) AS score
+    FROM h JOIN asked ON h.query_id = asked.query_id WHERE h.rank <= asked.top_k""",
+    "v_searchable",
+)
+def _(spark, sf):
+    t = document_tables(spark, sf)
+    asked = base(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), (6 * F.col("label")).alias("top_k")
+    )
+    return rounded(search.search(t.chunks, t.sources, asked)).select("query_id", "rank", "id", "score")
+
+
 @query(
     "knn_2_batch_top_k_by_grid",
     f"{ranked_sql('list_distance(k.v, q.q)', '3')} SELECT query_id, rank, id, round(score, 6) AS score FROM h",

@@ -78,7 +78,8 @@ def fill_cores(df: DataFrame, *keys: str) -> DataFrame:
     """Spread an input that is too small to give every core a full split, before costly work.
 
     Files with few row groups read as few tasks. Large inputs are left alone: they have
-    splits enough and a shuffle of them would cost more than it gains.
+    splits enough and a shuffle of them would cost more than it gains. Without ``keys`` rows
+    are dealt out in turn; keys should be unique, or equal ones meet in one task.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
@@ -121,26 +122,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def dense_ids(
-    df: DataFrame, key: str, start: Column | int = 0, width: int = 65536, name: str = "id"
+    df: DataFrame, key: str, start: Column | int = 0, partitions: int | None = None, name: str = "id"
 ) -> DataFrame:
     """Number rows ``start + 1, start + 2, ...`` in the order of a unique integer key.
 
-    A global ``row_number`` would sort everything in one task. Here keys fall into ranges of
-    ``width`` values, rows are ranked inside their range, and the running count of the
-    earlier ranges (one small row per range) is added.
+    A global ``row_number`` would sort everything in one task. Here rows are range-partitioned
+    by key and stored, each row with its range; rows are ranked inside their range, and the
+    number of rows in the ranges before it, at most one per partition, is added.
     """
     from pyspark.sql import Window
 
-    ranged = df.withColumn("_range", F.floor(F.col(key) / F.lit(width)))
-    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
-    )
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(df.repartitionByRange(n, key).withColumn("_range", F.spark_partition_id()), "ranged")
+    sizes = dict(ranged.groupBy("_range").count().collect())  # one row per partition
+    offsets, total = {}, 0
+    for part in sorted(sizes):
+        offsets[part], total = total, total + sizes[part]
+    before = F.lit(0).cast("long")
+    if offsets:
+        before = F.element_at(F.array(*[F.lit(offsets.get(p, 0)).cast("long") for p in range(n)]), F.col("_range") + 1)
     rank = F.row_number().over(Window.partitionBy("_range").orderBy(key))
     base = start if isinstance(start, Column) else F.lit(start)
-    return (
-        ranged.join(offsets, "_range")
-        .withColumn(name, base.cast("long") + F.col("_before") + rank)
-        .drop("_range", "_before")
-    )
+    return ranged.withColumn(name, base.cast("long") + before + rank).drop("_range")

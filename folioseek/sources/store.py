@@ -9,6 +9,8 @@ trimmed copy.
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,11 +26,18 @@ STATE = T.StructType([
 CHUNKS = T.StructType([*SCHEMAS["chunks"].fields, T.StructField("error", T.StringType())])
 
 
+_writers: dict[str, threading.RLock] = {}
+
+
 class ChunkStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
 
+    def writing(self) -> threading.RLock:
+        """Held by each writer of this application: a store takes one run at a time."""
+        return _writers.setdefault(self.root, threading.RLock())
+
     def committed_runs(self) -> list[int]:
         """Runs whose state folder is complete."""
         jvm = self.spark._jvm
@@ -58,6 +67,10 @@ class ChunkStore:
         newest = F.max_by(F.struct(*[c for c in rows.columns if c != "doc_id"]), "run")
         return rows.groupBy("doc_id").agg(newest.alias("_v")).select("doc_id", "_v.*").filter(~F.col("deleted"))
 
+    def run_state(self, run: int) -> DataFrame:
+        """State rows that one run wrote; none if it is not committed."""
+        return self._read("state", STATE, [run] if run in self.committed_runs() else []).drop("run")
+
     def sources(self) -> DataFrame:
         """Current state, one row per document."""
         return self._versions().drop("run", "deleted")

@@ -75,17 +75,34 @@ def jdbc_options(
     return found
 
 
+#: Columns a source table may lack; they are then null.
+OPTIONAL = frozenset({"deleted_at", "metadata", "created_at", "updated_at", "error", "error_message", "chunk_run", "deleted", "id"})
+
+
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Columns of ``schema`` in its order and types; columns the table lacks become null."""
+    """Columns of ``schema`` in its order and types.
+
+    A column the table lacks becomes null if it is one of ``OPTIONAL``, else it is an error. A
+    vector stored as text is parsed; a text that is no vector ends the job with an error (use
+    ``vector_text.decode`` to set such rows aside).
+    """
     from pyspark.sql import functions as F
 
-    present = set(df.columns)
-    return df.select(
-        *[
-            (F.col(f.name) if f.name in present else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in schema.fields
-        ]
-    )
+    from folioseek.sources import vector_text
+
+    present = {f.name: f.dataType for f in df.schema.fields}
+    missing = [f.name for f in schema.fields if f.name not in present and f.name not in OPTIONAL]
+    if missing:
+        raise ValueError(f"the table lacks {', '.join(missing)}; it has {', '.join(df.columns)}")
+
+    def column(f: T.StructField):
+        if f.name not in present:
+            return F.lit(None).cast(f.dataType).alias(f.name)
+        if isinstance(f.dataType, T.ArrayType) and isinstance(present[f.name], T.StringType):
+            return vector_text.parsed(f.name).alias(f.name)
+        return F.col(f.name).cast(f.dataType).alias(f.name)
+
+    return df.select(*map(column, schema.fields))
 
 
 def load_tables(spark: SparkSession, root: str, names: dict[str, str] | None = None) -> Tables:

@@ -23,10 +23,19 @@ def decode(df: DataFrame, column: str, into: str = "embedding") -> tuple[DataFra
     checked = F.transform(
         F.array(numbers), lambda v: F.struct(v.alias(into), F.exists(v, lambda x: x.isNull()).alias("_bad"))
     )
-    parsed = sizing.fill_cores(df, column).select("*", F.inline_outer(checked))
+    parsed = sizing.fill_cores(df).select("*", F.inline_outer(checked))
     return parsed.filter(~F.col("_bad")).drop("_bad"), parsed.filter("_bad").drop(into, "_bad")
 
 
+def parsed(column: str) -> Column:
+    """A text vector as floats; null stays null, a text that does not parse is an error."""
+    def checked(v: Column) -> Column:
+        wrong = F.raise_error(F.concat(F.lit("not a vector: "), F.substring(column, 1, 40))).cast("array<float>")
+        return F.when(F.exists(v, lambda x: x.isNull()), wrong).otherwise(v)
+
+    return F.when(F.col(column).isNotNull(), F.transform(F.array(_numbers(F.col(column))), checked)[0])
+
+
 def encode(vector) -> Column:
     """``[a, b]`` text of a vector."""
     vector = vector if isinstance(vector, Column) else F.col(vector)

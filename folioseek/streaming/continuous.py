@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -15,6 +16,7 @@ from folioseek.sources.store import ChunkStore
 from folioseek.sources.tables import Tables
 
 INGEST_PERIOD = "1 minute"
+CLEANUP_PERIOD = "5 minutes"
 
 
 def document_stream(
@@ -37,17 +39,54 @@ def start_ingest(
 ) -> StreamingQuery:
     """Ingest each micro-batch of document versions; ``tables`` gives the other tables afresh.
 
-    Only the newest version of a document in a batch counts, and only if the store does not
-    have it yet; so a replayed batch finds its documents up to date, and what a batch left
-    half written is overwritten by its replay. Every ``cleanup_every``-th batch also removes
-    documents that ``tables()`` no longer holds. A store has one writer at a time.
+    Only the newest version of a document in a batch counts, and only if the store has an older
+    one or none (``staleness="source_version"`` unless told otherwise: files arrive after the
+    edit, so the ingest clock would hide edits); so a replayed batch finds its documents up to
+    date, and what a batch left half written is overwritten by its replay. Documents that are in
+    ERROR are tried again with every batch, with their row from ``tables()`` if no version of
+    them arrived. Every ``cleanup_every``-th batch also removes documents that ``tables()`` no
+    longer holds; ``start_cleanup`` does so on its own clock.
     """
+    options = {"staleness": "source_version"} | options
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        arrived = latest_versions(batch, "id", "modified")
-        ingest(replace(tables(), documents=arrived), store, **options)
-        if cleanup_every and (batch_id + 1) % cleanup_every == 0:
-            remove_orphans(tables(), store)
+        with store.writing():
+            now = tables()
+            arrived = newest_documents(batch)
+            failed = store.sources().filter("status = 'ERROR'").select(F.col("doc_id").alias("id"))
+            again = now.documents.join(failed, "id", "left_semi").join(arrived.select("id"), "id", "left_anti")
+            due = arrived.unionByName(again.select(*arrived.columns))
+            ingest(replace(now, documents=due), store, **options)
+            if cleanup_every and (batch_id + 1) % cleanup_every == 0:
+                remove_orphans(now, store)
 
     writer = documents.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"processingTime": INGEST_PERIOD})).start()
+
+
+def newest_documents(batch: DataFrame) -> DataFrame:
+    """The newest version of each document; versions are folded without the document's text."""
+    wide = [c for c in batch.columns if c not in ("id", "modified")]
+    marked = batch.withColumn("_mark", F.xxhash64(*wide))
+    newest = latest_versions(marked.select("id", "modified", "_mark"), "id", "modified", "_mark")
+    kept = marked.join(newest.select("id", "_mark", F.struct("modified").alias("_newest")), ["id", "_mark"])
+    same = F.col("modified").eqNullSafe(F.col("_newest.modified"))
+    return kept.filter(same).dropDuplicates(["id"]).select(*batch.columns)
+
+
+def start_cleanup(
+    spark: SparkSession,
+    tables: Callable[[], Tables],
+    store: ChunkStore,
+    checkpoint: str,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Remove documents that ``tables()`` no longer holds on a clock, whether or not any arrive."""
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        with store.writing():
+            remove_orphans(tables(), store)
+
+    ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
+    writer = ticks.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"processingTime": CLEANUP_PERIOD})).start()

@@ -137,3 +137,12 @@ def test_long_documents_leave_in_several_batches(spark, monkeypatch):
     got = chunking.chunk_documents(docs, str.split)
     assert got.groupBy("doc_id").count().collect()[0]["count"] in (50, 3)
     assert values(got.filter("doc_id = 1"), "chunk_index") == sorted([(i,) for i in range(50)], key=repr)
+
+
+def test_runs_of_blanks_take_linear_time():
+    import time
+
+    blank = (" " * 500 + "\n") * 2000
+    started = time.perf_counter()
+    assert chunking.split_text("a" + " " * 1_000_000 + "b" + blank + "c") == ["a b", "a b\n\nc"]
+    assert time.perf_counter() - started < 1

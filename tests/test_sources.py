@@ -53,7 +53,8 @@ def test_load_tables_prunes_and_renames(spark, tables):
     assert values(loaded.documents) == values(tables.documents)
     renamed = read_parquet(spark, f"{root}/users", columns={"username": "login"})
     assert renamed.columns == ["id", "login"]
-    assert conform(renamed, SCHEMAS["users"]).filter("username IS NULL").count() == 2
+    with pytest.raises(ValueError, match="username"):
+        conform(renamed, SCHEMAS["users"])
 
 
 def test_scan_reads_needed_columns_and_pushes_filters(spark, sf_dir):
@@ -62,3 +63,19 @@ def test_scan_reads_needed_columns_and_pushes_filters(spark, sf_dir):
     plan = QUERIES["src_1_table_scan"].job(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(lang,de)" in plan
     assert "ReadSchema: struct<doc_id:bigint,lang:string,source:string,n_chars:bigint>" in plan
+
+
+def test_missing_columns_are_errors_but_for_optional_ones(spark):
+    bad = spark.createDataFrame([(1, "x")], "id long, titel string")
+    with pytest.raises(ValueError, match="title"):
+        conform(bad, SCHEMAS["documents"])
+
+
+def test_text_vectors_are_read(spark):
+    schema = "id long, doc_id long, chunk_index int, content string, embedding string"
+    rows = [(1, 1, 0, "a", "[1, 2.5,-3]"), (2, 1, 1, "b", None)]
+    read = conform(spark.createDataFrame(rows, schema), SCHEMAS["chunks"])
+    assert [r.embedding for r in read.orderBy("id").collect()] == [[1.0, 2.5, -3.0], None]
+    wrong = spark.createDataFrame([(1, 1, 0, "a", "[1, x]")], schema)
+    with pytest.raises(Exception, match="not a vector"):
+        conform(wrong, SCHEMAS["chunks"]).collect()

@@ -7,7 +7,7 @@ from conftest import values
 from pyspark.sql import functions as F
 
 from folioseek.operators import embedding
-from folioseek.operators.ingest import ingest
+from folioseek.operators.ingest import drain, ingest
 from folioseek.plans import sizing
 from folioseek.sources.store import ChunkStore
 from folioseek.streaming import continuous
@@ -75,3 +75,65 @@ def test_versions_arrive_restart_and_cleanup(spark, tables):
     runs = store.committed_runs()
     drain()
     assert store.committed_runs() == runs
+
+
+def batch_options(**more):
+    return {"splitter": lambda text: text.split("\n\n"), "embedder": embedding.hashing_embedder(8), **more}
+
+
+def test_an_edit_older_than_the_ingest_clock_is_not_lost(spark, tables):
+    folder = sizing.work_path(spark, "arriving")
+    store = ChunkStore(spark, sizing.work_path(spark, "stream-store"))
+    ingest(tables, store, **batch_options(as_of=datetime(2024, 2, 1)))
+    edited = tables.documents.filter("id = 1").withColumns(
+        {"content": F.lit("edited"), "modified": F.lit(datetime(2024, 1, 31, 12))}
+    )
+    edited.write.parquet(folder)
+    paragraphs(tables, spark, store, sizing.work_path(spark, "c"), folder, tables.documents)
+    assert values(store.chunks().filter("doc_id = 1 AND chunk_index = 1"), "content") == [("edited",)]
+
+
+def test_failed_documents_are_tried_again(spark, tables):
+    folder = sizing.work_path(spark, "arriving")
+    store = ChunkStore(spark, sizing.work_path(spark, "stream-store"))
+
+    def down(text):
+        raise ValueError("no model")
+
+    ingest(tables, store, splitter=down, embedder=embedding.hashing_embedder(8), as_of=datetime(2024, 2, 1))
+    assert values(store.sources(), "status") == [("ERROR",)] * 4
+    tables.documents.filter("id = 1").write.parquet(folder)
+    paragraphs(tables, spark, store, sizing.work_path(spark, "c"), folder, tables.documents)
+    assert values(store.sources(), "status") == [("DONE",)] * 4
+
+
+def test_cleanup_runs_without_arrivals(spark, tables):
+    store = ChunkStore(spark, sizing.work_path(spark, "stream-store"))
+    ingest(tables, store, **batch_options(as_of=datetime(2024, 2, 1)))
+    left = replace(tables, documents=tables.documents.filter("id <> 4"))
+    checkpoint = sizing.work_path(spark, "cleanup")
+    for _ in range(2):
+        continuous.start_cleanup(spark, lambda: left, store, checkpoint, {"availableNow": True}).awaitTermination()
+    assert values(store.sources(), "doc_id") == [(1,), (2,), (5,)]
+    assert len(store.committed_runs()) == 2  # nothing was gone the second time
+
+
+def test_equal_and_null_versions(spark, tables):
+    rows = tables.documents
+    twice = rows.unionByName(rows).unionByName(rows.withColumn("modified", F.lit(None).cast("timestamp_ntz")))
+    newest = continuous.newest_documents(twice)
+    assert values(newest, "id", "modified") == values(rows, "id", "modified")
+
+
+def test_drain_takes_all_in_limited_runs(spark, tables):
+    store = ChunkStore(spark, sizing.work_path(spark, "drained"))
+
+    def fails_once(text):
+        if "second" in text:
+            raise ValueError("cannot split")
+        return text.split("\n\n")
+
+    options = {"splitter": fails_once, "embedder": embedding.hashing_embedder(8), "as_of": datetime(2024, 2, 1)}
+    assert drain(tables, store, 1, **options) == 4
+    assert values(store.sources(), "doc_id", "status") == [(1, "DONE"), (2, "ERROR"), (4, "DONE"), (5, "DONE")]
+    assert drain(tables, store, 3, **options) == 1  # only what failed
