@@ -1,4 +1,7 @@
-"""Bit vectors: quantised embeddings, packed to 64-bit words."""
+"""Bit vectors: quantised embeddings, packed to 64-bit words beside their number of bits.
+
+Two vectors of unequal numbers of bits are an error.
+"""
 
 from __future__ import annotations
 
@@ -20,8 +23,8 @@ def binary_quantize(a) -> Column:
 
 
 def pack(bits) -> Column:
-    """``array<boolean>`` to ``array<bigint>`` words, bit ``i`` of a word for element ``i``."""
-    return let(_col(bits), _packed)
+    """``array<boolean>`` to ``struct<n, words>``, bit ``i`` of a word for element ``i``."""
+    return let(_col(bits), lambda b: F.when(b.isNotNull(), F.struct(F.size(b).alias("n"), _packed(b).alias("words"))))
 
 
 def _packed(bits: Column) -> Column:
@@ -44,17 +47,35 @@ def _bits(a: Column, b: Column, f) -> Column:
     return F.aggregate(counted, F.lit(0), lambda acc, v: acc + v)
 
 
+def _distance(a, b, of) -> Column:
+    """``of`` the words of both, once their numbers of bits are known to be equal."""
+    wrong = F.raise_error(F.lit("bit vectors of different lengths")).cast("double")
+
+    def checked(v: Column) -> Column:
+        a, b = v["a"], v["b"]
+        return (
+            F.when(a.isNull() | b.isNull(), F.lit(None).cast("double"))
+            .when(a["n"] == b["n"], of(a["words"], b["words"]))
+            .otherwise(wrong)
+        )
+
+    return let(F.struct(_col(a).alias("a"), _col(b).alias("b")), checked)
+
+
 def hamming_distance(a, b) -> Column:
     """Differing bits of two packed vectors."""
-    return _bits(_col(a), _col(b), lambda x, y: x.bitwiseXOR(y)).cast("double")
+    return _distance(a, b, lambda x, y: _bits(x, y, lambda p, q: p.bitwiseXOR(q)).cast("double"))
 
 
 def jaccard_distance(a, b) -> Column:
     """One minus shared set bits over set bits of either; 1 when nothing is shared."""
-    a, b = _col(a), _col(b)
-    both = _bits(a, b, lambda x, y: x.bitwiseAND(y))
-    either = _bits(a, b, lambda x, y: x.bitwiseOR(y))
-    return let(
-        F.struct(both.alias("n"), either.alias("of")),
-        lambda v: F.when(v["n"] == 0, F.lit(1.0)).otherwise(F.lit(1.0) - v["n"] / F.when(v["of"] != 0, v["of"])),
-    )
+
+    def of(x: Column, y: Column) -> Column:
+        both = _bits(x, y, lambda p, q: p.bitwiseAND(q))
+        either = _bits(x, y, lambda p, q: p.bitwiseOR(q))
+        return let(
+            F.struct(both.alias("n"), either.alias("of")),
+            lambda v: F.when(v["n"] == 0, F.lit(1.0)).otherwise(F.lit(1.0) - v["n"] / F.when(v["of"] != 0, v["of"])),
+        )
+
+    return _distance(a, b, of)

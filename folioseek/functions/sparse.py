@@ -1,7 +1,8 @@
-"""Sparse vectors as ``map<int,double>``: 1-based index to nonzero value.
+"""Sparse vectors as ``struct<dim:int, entries:map<int,double>>``: 1-based index to nonzero value.
 
 ``map_zip_with`` walks two maps over the union of their keys, so a distance is one native
-expression per row; no exploding, no join on the index, and no hot index.
+expression per row; no exploding, no join on the index, and no hot index. Two vectors of
+unequal dimensions are an error, and so is a null element.
 """
 
 from __future__ import annotations
@@ -17,40 +18,60 @@ def _col(c) -> Column:
     return c if isinstance(c, Column) else F.col(c)
 
 
+def sparse(entries, dim) -> Column:
+    """A sparse vector of given entries (a map without zeros or nulls) and dimension."""
+    dim = dim if isinstance(dim, Column) else F.lit(dim)
+    return F.struct(dim.cast("int").alias("dim"), _col(entries).cast("map<int,double>").alias("entries"))
+
+
 def to_sparse(a) -> Column:
-    """Dense vector to map, zeros dropped."""
-    a = _col(a)
-    entries = F.transform(
-        a, lambda x, i: F.struct((i + 1).cast("int").alias("key"), x.cast("double").alias("value"))
-    )
-    return F.map_from_entries(F.filter(entries, lambda e: e["value"] != 0.0))
+    """Dense vector to sparse, zeros dropped."""
+
+    def made(v: Column) -> Column:
+        entries = F.transform(
+            v.cast("array<double>"), lambda x, i: F.struct((i + 1).cast("int").alias("key"), x.alias("value"))
+        )
+        wrong = F.raise_error(F.lit("null element in a vector")).cast("struct<dim:int,entries:map<int,double>>")
+        kept = sparse(F.map_from_entries(F.filter(entries, lambda e: e["value"] != 0.0)), F.size(v))
+        return F.when(F.exists(v, lambda x: x.isNull()), wrong).when(v.isNotNull(), kept)
 
+    return let(_col(a), made)
 
-def to_dense(m, dim: int) -> Column:
-    """Map back to ``array<double>`` of ``dim`` elements; an index beyond ``dim`` is an error.
 
-    One merge of the map with an all-zero map of ``dim`` keys, which ``map_zip_with`` keeps in order.
+def to_dense(m) -> Column:
+    """``array<double>`` of all elements; an index beyond the dimension is an error.
+
+    One merge of the map with an all-zero map, which ``map_zip_with`` keeps in order.
     """
-    m = _col(m)
-    outside = F.exists(F.map_keys(m), lambda k: (k < 1) | (k > dim))
-    slots = F.sequence(F.lit(1), F.lit(dim))
-    zeros = F.map_from_arrays(slots, F.array_repeat(F.lit(0.0), dim))
-    merged = F.map_zip_with(zeros, m, lambda k, z, v: F.coalesce(v, z))
-    wrong = F.raise_error(F.lit(f"sparse index outside 1..{dim}")).cast("array<double>")
-    return F.when(outside, wrong).otherwise(F.map_values(merged))
+
+    def made(v: Column) -> Column:
+        dim, entries = v["dim"], v["entries"]
+        outside = F.exists(F.map_keys(entries), lambda k: (k < 1) | (k > dim))
+        slots = F.when(dim > 0, F.sequence(F.lit(1), dim)).otherwise(F.array().cast("array<int>"))
+        zeros = F.map_from_arrays(slots, F.array_repeat(F.lit(0.0), dim))
+        merged = F.map_zip_with(zeros, entries, lambda k, z, x: F.coalesce(x, z))
+        wrong = F.raise_error(F.concat(F.lit("sparse index outside 1.."), dim.cast("string"))).cast("array<double>")
+        return F.when(outside, wrong).otherwise(F.map_values(merged))
+
+    return let(_col(m), made)
 
 
 def to_long(df: DataFrame, key: str, sparse: str) -> DataFrame:
     """Long form: one ``(key, dim, value)`` row per nonzero element."""
-    return df.select(key, F.explode(sparse).alias("dim", "value"))
+    return df.select(key, F.explode(f"{sparse}.entries").alias("dim", "value"))
 
 
 def _merge(a, b, f) -> Column:
     zero = F.lit(0.0)
-    merged = F.map_zip_with(
-        _col(a), _col(b), lambda k, x, y: f(F.coalesce(x, zero), F.coalesce(y, zero))
-    )
-    return F.aggregate(F.map_values(merged), zero, lambda acc, v: acc + v)
+    wrong = F.raise_error(F.lit("sparse vectors of different dimensions")).cast("double")
+
+    def merged(v: Column) -> Column:
+        a, b = v["a"], v["b"]
+        both = F.map_zip_with(a["entries"], b["entries"], lambda k, x, y: f(F.coalesce(x, zero), F.coalesce(y, zero)))
+        total = F.aggregate(F.map_values(both), zero, lambda acc, v: acc + v)
+        return F.when(a.isNull() | b.isNull(), F.lit(None).cast("double")).when(a["dim"] == b["dim"], total).otherwise(wrong)
+
+    return let(F.struct(_col(a).alias("a"), _col(b).alias("b")), merged)
 
 
 def inner_product(a, b) -> Column:
@@ -74,7 +95,7 @@ def l1_distance(a, b) -> Column:
 
 
 def norm(a) -> Column:
-    squares = F.transform(F.map_values(_col(a)), lambda v: v * v)
+    squares = F.transform(F.map_values(_col(a)["entries"]), lambda v: v * v)
     return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda acc, v: acc + v))
 
 
@@ -84,20 +105,26 @@ def cosine_distance(a, b) -> Column:
 
 
 def normalize(a) -> Column:
-    """Unit length; the empty vector stays empty."""
-    return let(_col(a), lambda m: let(norm(m), lambda size: F.transform_values(m, lambda k, v: v / size)))
+    """Unit length; the zero vector stays as it is."""
+
+    def unit(m: Column) -> Column:
+        return let(norm(m), lambda size: sparse(F.transform_values(m["entries"], lambda k, v: v / size), m["dim"]))
+
+    return let(_col(a), unit)
 
 
 def _ordered(a) -> Column:
     """Entries sorted by index."""
-    return F.array_sort(F.map_entries(_col(a)))
+    return F.array_sort(F.map_entries(_col(a)["entries"]))
 
 
 def equals(a, b) -> Column:
-    return _ordered(a) == _ordered(b)
+    """Whether dimensions and all elements are equal."""
+    a, b = _col(a), _col(b)
+    return (a["dim"] == b["dim"]) & (_ordered(a) == _ordered(b))
 
 
-def compare(a, b, dim: int) -> Column:
+def compare(a, b) -> Column:
     """-1, 0 or 1 in the order of the dense forms."""
-    both = F.struct(to_dense(a, dim).alias("x"), to_dense(b, dim).alias("y"))
+    both = F.struct(to_dense(a).alias("x"), to_dense(b).alias("y"))
     return let(both, lambda v: dense_compare(v["x"], v["y"]))

@@ -117,23 +117,20 @@ def find_document(tables: Tables, doc_id: int, **options) -> DataFrame:
     return documents_view(tables, [F.col("id") == doc_id], **options).limit(1)
 
 
-def lookup_documents(requests: DataFrame, documents: DataFrame) -> DataFrame:
-    """``(request_id, id_text)`` to one row each: OK with the document, BAD_REQUEST or NOT_FOUND.
+def lookup_documents(requests: DataFrame, tables: Tables, **options) -> DataFrame:
+    """``(request_id, id_text)`` to one row each: OK with the whole document, BAD_REQUEST or NOT_FOUND.
 
-    Equal ids are looked up once and the answer goes back to all their requests, so a popular
-    id costs one document row; the way back is salted past the broadcast bound.
+    The document comes with every column of ``documents_view``, which ``options`` go to. Equal ids
+    are looked up once and the answer goes back to all their requests, so a popular id costs one
+    document row; the way back is salted past the broadcast bound.
     """
     parsed = requests.select("request_id", "id_text", text.to_int_or_null("id_text").cast("long").alias("doc_id"))
-    wanted = parsed.filter(F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    found = documents.filter(is_pdf()).select(
-        F.col("id").alias("doc_id"),
-        text.or_untitled("title").alias("title"),
-        F.col("created").alias("document_date"),
-        F.lit(True).alias("_found"),
-    )
-    answers = found.join(wanted, "doc_id", "left_semi")
+    wanted = parsed.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id")).distinct()
+    view = documents_view(tables, only_ids=wanted, ordered=False, **options)
+    columns = [c for c in view.columns if c != "id"]
+    answers = view.select(F.col("id").alias("doc_id"), *columns, F.lit(True).alias("_found"))
     joined = sizing.lookup_join(parsed, answers, "doc_id", spread="request_id")
     status = (
         F.when(F.col("doc_id").isNull(), "BAD_REQUEST").when(F.col("_found").isNull(), "NOT_FOUND").otherwise("OK")
     )
-    return joined.select("request_id", "id_text", status.alias("status"), "doc_id", "title", "document_date")
+    return joined.select("request_id", "id_text", status.alias("status"), "doc_id", *columns)

@@ -151,18 +151,19 @@ LOOKUP_REQUESTS = """CASE event_id % 8
     f"""WITH r AS (SELECT event_id AS request_id, {LOOKUP_REQUESTS} AS id_text FROM events),
     p AS (SELECT *, CASE WHEN regexp_full_match(id_text, '[+-]?[0-9]+')
             THEN TRY_CAST(TRY_CAST(ltrim(id_text, '+') AS INT) AS BIGINT) END AS doc_id FROM r)
-    SELECT p.request_id, p.id_text, coalesce(p.doc_id, -999) AS doc_id, coalesce(d.title, CASE WHEN d.id IS NOT NULL THEN '(untitled)' END) AS title,
-      CAST(d.created AS VARCHAR) AS document_date,
-      CASE WHEN p.doc_id IS NULL THEN 'BAD_REQUEST' WHEN d.id IS NULL THEN 'NOT_FOUND' ELSE 'OK' END AS status
-    FROM p LEFT JOIN v_document d ON p.doc_id = d.id AND d.mime_type = 'application/pdf'""",
-    "v_document",
+    SELECT p.request_id, p.id_text, coalesce(p.doc_id, -999) AS doc_id, d.title, CAST(d.document_date AS VARCHAR) AS document_date,
+      CAST(d.modified_at AS VARCHAR) AS modified_at, d.mime_type, d.content, d.owner_username, d.note, d.correspondent_name, d.tags,
+      d.source_url, CASE WHEN p.doc_id IS NULL THEN 'BAD_REQUEST' WHEN d.id IS NULL THEN 'NOT_FOUND' ELSE 'OK' END AS status
+    FROM p LEFT JOIN v_listing d ON p.doc_id = d.id""",
+    "v_listing",
 )
 def _(spark, sf):
     requests = base(spark, sf, "events").selectExpr("event_id AS request_id", f"{LOOKUP_REQUESTS} AS id_text")
-    answered = documents.lookup_documents(requests, document_tables(spark, sf).documents)
+    answered = documents.lookup_documents(requests, document_tables(spark, sf))
     return answered.select(
         "request_id", "id_text", F.coalesce("doc_id", F.lit(-999).cast("long")).alias("doc_id"), "title",
-        *text_of("document_date"), "status",
+        *text_of("document_date", "modified_at"), "mime_type", "content", "owner_username", "note", "correspondent_name",
+        F.array_join("tags", ",").alias("tags"), "source_url", "status",
     )
 
 

@@ -31,10 +31,10 @@ def state_rows(df: DataFrame) -> DataFrame:
 
 @query(
     "src_1_table_scan",
-    "SELECT doc_id, lang, source, n_chars FROM documents WHERE lang = 'de'",
+    "SELECT doc_id, lang, source, n_chars FROM documents",
 )
 def _(spark, sf):
-    return base(spark, sf, "documents").filter(F.col("lang") == "de").select("doc_id", "lang", "source", "n_chars")
+    return base(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
 
 
 @query(
@@ -189,17 +189,18 @@ def _(spark, sf):
 
 @query(
     "snk_7_json_documents",
-    """SELECT to_json({'id': id, 'title': title, 'document_date': CAST(document_date AS VARCHAR), 'mime_type': mime_type,
+    """SELECT to_json({'id': id, 'title': title, 'document_date': CAST(document_date AS VARCHAR),
+         'modified_at': CAST(modified_at AS VARCHAR), 'mime_type': mime_type,
          'content': content, 'owner_username': owner_username, 'note': note,
-         'correspondent_name': correspondent_name, 'tags': tags, 'source_url': source_url})::VARCHAR AS json
+         'correspondent_name': correspondent_name,
+         'tags': CASE WHEN tags = '' THEN [] ELSE string_split(tags, ',') END, 'source_url': source_url})::VARCHAR AS json
        FROM v_listing""",
     "v_listing",
 )
 def _(spark, sf):
     view = documents.documents_view(document_tables(spark, sf), ordered=False)
     return json_sink.to_json_rows(
-        view.withColumns({"tags": F.array_join("tags", ","), "document_date": F.col("document_date").cast("string")})
-        .drop("modified_at")
+        view.withColumns({c: F.col(c).cast("string") for c in ("document_date", "modified_at")})
     )
 
 

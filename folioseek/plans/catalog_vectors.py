@@ -196,39 +196,44 @@ def _(spark, sf):
     return elements(rows, vec.to_array(vec.to_vector("x", dim)))
 
 
-# --- sparse vectors: elements within 0.1 of zero are dropped first ----------------------
+# --- sparse vectors: hashed word counts of every document, against those of one item -------
 
-SPARSE = f"""{PAIRS}, s AS (SELECT vec_id, list_transform(x, lambda a: CASE WHEN abs(a) > 0.1 THEN a ELSE 0.0 END) AS x,
-  list_transform(q, lambda a: CASE WHEN abs(a) > 0.1 THEN a ELSE 0.0 END) AS q FROM p)"""
+SPARSE_DIM = 64
+SPARSE = f"""WITH w AS (SELECT doc_id AS vec_id, unnest(string_split(text, ' ')) AS word FROM documents),
+  g AS (SELECT vec_id, CAST(1 + (length(word) * 7 + ascii(word)) % {SPARSE_DIM} AS INT) AS dim, count(*)::DOUBLE AS value FROM w GROUP BY ALL),
+  k AS (SELECT min(vec_id) AS least FROM g),
+  n AS (SELECT vec_id, list_transform(generate_series(1, {SPARSE_DIM}), lambda i: coalesce(map(list(dim), list(value))[CAST(i AS INT)], 0.0)) AS x FROM g GROUP BY vec_id),
+  s AS (SELECT vec_id, x, (SELECT x FROM n, k WHERE vec_id = least) AS q FROM n)"""
 
 
-def thinned(vector: str):
-    return F.transform(
-        vector, lambda a: F.when(F.abs(a.cast("double")) > 0.1, a.cast("double")).otherwise(F.lit(0.0))
-    )
+def sparse_rows(spark, sf) -> DataFrame:
+    """``(vec_id, x)``: naturally sparse vectors, built from their entries without a dense form."""
+    words = base(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), F.explode(F.split("text", " ")).alias("w"))
+    slot = (1 + (F.length("w") * 7 + F.ascii("w")) % SPARSE_DIM).cast("int")
+    counts = words.groupBy("vec_id", slot.alias("dim")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    entries = counts.groupBy("vec_id").agg(F.map_from_entries(F.collect_list(F.struct("dim", "value"))).alias("m"))
+    return entries.select("vec_id", sparse.sparse("m", SPARSE_DIM).alias("x"))
 
 
 def sparse_pairs(spark, sf) -> DataFrame:
-    return pairs(spark, sf).select(
-        "vec_id", F.size("x").alias("n"), sparse.to_sparse(thinned("x")).alias("x"),
-        sparse.to_sparse(thinned("q")).alias("q"),
-    )
+    rows = sparse_rows(spark, sf)
+    first = rows.agg(F.min_by("x", "vec_id")).scalar()
+    return rows.withColumn("q", first)
 
 
 @query(
     "vec_20_dense_to_sparse",
     f"""{SPARSE}, r AS (SELECT vec_id, x, unnest(generate_series(1, len(x))) AS i FROM s)
-    SELECT vec_id, CAST(i AS INT) AS dim, round(x[i], 6) AS value FROM r WHERE x[i] <> 0""",
+    SELECT vec_id, CAST(i AS INT) AS dim, x[i] AS value FROM r WHERE x[i] <> 0""",
 )
 def _(spark, sf):
-    return sparse.to_long(sparse_pairs(spark, sf), "vec_id", "x").withColumn("value", F.round("value", 6))
+    dense = sparse_rows(spark, sf).select("vec_id", sparse.to_dense("x").alias("x"))
+    return sparse.to_long(dense.select("vec_id", sparse.to_sparse("x").alias("x")), "vec_id", "x")
 
 
 @query("vec_20_sparse_to_dense", f"{SPARSE} {elements_sql('x', 's')}")
 def _(spark, sf):
-    rows = sparse_pairs(spark, sf)
-    dim = rows.select("n").first()["n"]
-    return elements(rows, sparse.to_dense("x", dim))
+    return elements(sparse_rows(spark, sf), sparse.to_dense("x"))
 
 
 @query(
@@ -237,7 +242,7 @@ def _(spark, sf):
       round(list_sum(list_transform(x, lambda a, i: (a - q[i]) * (a - q[i]))), 6) AS l2_squared,
       round(list_sum(list_transform(x, lambda a, i: abs(a - q[i]))), 6) AS l1,
       round(list_inner_product(x, q), 6) + 0.0 AS inner_product, round(-list_inner_product(x, q), 6) + 0.0 AS negative_inner,
-      round(list_cosine_distance(x, q), 6) AS cosine FROM s""",
+      round(list_cosine_distance(x, q), 6) + 0.0 AS cosine FROM s""",
 )
 def _(spark, sf):
     def six(column, name):
@@ -260,10 +265,8 @@ def _(spark, sf):
     SELECT vec_id, round(norm, 6) AS norm, CAST(i AS INT) AS dim, round(x[i] / norm, 6) AS value FROM r WHERE x[i] <> 0""",
 )
 def _(spark, sf):
-    rows = sparse_pairs(spark, sf).select(
-        "vec_id", F.round(sparse.norm("x"), 6).alias("norm"), F.explode(sparse.normalize("x")).alias("dim", "value")
-    )
-    return rows.withColumn("value", F.round("value", 6))
+    rows = sparse_rows(spark, sf).select("vec_id", F.round(sparse.norm("x"), 6).alias("norm"), sparse.normalize("x").alias("x"))
+    return rows.select("vec_id", "norm", F.explode("x.entries").alias("dim", "value")).withColumn("value", F.round("value", 6))
 
 
 @query(
@@ -271,11 +274,7 @@ def _(spark, sf):
     f"""{SPARSE} SELECT vec_id, x = q AS eq, CASE WHEN x < q THEN -1 WHEN x = q THEN 0 ELSE 1 END AS cmp FROM s""",
 )
 def _(spark, sf):
-    rows = sparse_pairs(spark, sf)
-    dim = rows.select("n").first()["n"]
-    return rows.select(
-        "vec_id", sparse.equals("x", "q").alias("eq"), sparse.compare("x", "q", dim).alias("cmp")
-    )
+    return sparse_pairs(spark, sf).select("vec_id", sparse.equals("x", "q").alias("eq"), sparse.compare("x", "q").alias("cmp"))
 
 
 # --- vector aggregates -----------------------------------------------------------------

@@ -57,7 +57,7 @@ def test_find_document(tables):
 def test_lookup(spark, tables):
     asked = ["2", "3", "99999999", "not-a-number", " 2 ", "1.5", "", "2147483648", "2", "+4", None]
     requests = spark.createDataFrame(list(enumerate(asked)), "request_id int, id_text string")
-    answers = {r["request_id"]: r for r in documents.lookup_documents(requests, tables.documents).collect()}
+    answers = {r["request_id"]: r for r in documents.lookup_documents(requests, tables).collect()}
     statuses = [answers[i]["status"] for i in range(len(asked))]
     assert statuses == ["OK", "NOT_FOUND", "NOT_FOUND"] + ["BAD_REQUEST"] * 5 + ["OK", "OK", "BAD_REQUEST"]
     assert answers[0]["title"] == "(untitled)" and answers[9]["title"] == "Four"

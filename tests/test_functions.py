@@ -88,7 +88,7 @@ def test_packed_bits(spark, n):
     right = [i % 2 == 0 for i in range(n)]
     df = spark.createDataFrame([(left, right)], "a array<boolean>, b array<boolean>")
     row = df.select(
-        F.size(bits.pack("a")).alias("words"),
+        F.size(bits.pack("a")["words"]).alias("words"),
         bits.hamming_distance(bits.pack("a"), bits.pack("b")).alias("h"),
         bits.jaccard_distance(bits.pack("a"), bits.pack("b")).alias("j"),
     ).first()
@@ -104,24 +104,40 @@ def test_sparse_against_dense(spark):
     df = spark.createDataFrame([(a, b, [0.0] * 5)], "a array<double>, b array<double>, z array<double>")
     m, n, z = sparse.to_sparse("a"), sparse.to_sparse("b"), sparse.to_sparse("z")
     row = df.select(
-        m.alias("m"), sparse.to_dense(m, 5).alias("back"), sparse.to_dense(z, 5).alias("zeros"),
+        m.alias("m"), sparse.to_dense(m).alias("back"), sparse.to_dense(z).alias("zeros"),
         sparse.l2_distance(m, n).alias("l2"), vec.l2_distance("a", "b").alias("dl2"),
         sparse.l1_distance(m, n).alias("l1"), vec.l1_distance("a", "b").alias("dl1"),
         sparse.inner_product(m, n).alias("ip"), vec.inner_product("a", "b").alias("dip"),
         sparse.cosine_distance(m, n).alias("cos"), vec.cosine_distance("a", "b").alias("dcos"),
         sparse.cosine_distance(m, z).alias("nan"), sparse.norm(m).alias("norm"), vec.norm("a").alias("dnorm"),
-        sparse.normalize(z).alias("empty"), sparse.compare(m, n, 5).alias("cmp"), sparse.equals(m, m).alias("eq"),
+        sparse.normalize(z).alias("empty"), sparse.compare(m, n).alias("cmp"), sparse.equals(m, m).alias("eq"),
         sparse.inner_product(sparse.to_sparse(F.array(F.lit(1.0), F.lit(0.0))), sparse.to_sparse(F.array(F.lit(0.0), F.lit(1.0)))).alias("none"),
     ).first()
-    assert row["m"] == {2: 2.0, 4: -1.5} and row["back"] == a and row["zeros"] == [0.0] * 5
+    assert row["m"].asDict() == {"dim": 5, "entries": {2: 2.0, 4: -1.5}} and row["back"] == a and row["zeros"] == [0.0] * 5
     for name in ("l2", "l1", "ip", "cos", "norm"):
         assert row[name] == pytest.approx(row["d" + name])
-    assert math.isnan(row["nan"]) and row["empty"] == {} and row["cmp"] == -1 and row["eq"] and row["none"] == 0.0
+    assert math.isnan(row["nan"]) and row["empty"].entries == {} and row["cmp"] == -1 and row["eq"] and row["none"] == 0.0
+
+
+def test_unequal_lengths_are_errors(spark):
+    def numbers(*values):
+        return F.array(*map(F.lit, values))
+
+    three, five = (bits.pack(numbers(*[True] * n)) for n in (3, 5))
+    for distance in (bits.hamming_distance, bits.jaccard_distance):
+        with pytest.raises(PySparkException, match="different lengths"):
+            one(spark, v=distance(three, five))
+    short, long = sparse.to_sparse(numbers(1.0, 0.0)), sparse.to_sparse(numbers(1.0, 0.0, 0.0))
+    for distance in (sparse.l2_distance, sparse.inner_product, sparse.l1_distance, sparse.cosine_distance):
+        with pytest.raises(PySparkException, match="different dimensions"):
+            one(spark, v=distance(short, long))
+    with pytest.raises(PySparkException, match="null element"):
+        one(spark, v=sparse.to_sparse(F.array(F.lit(1.0), F.lit(None))))
 
 
 def test_sparse_index_out_of_range(spark):
     with pytest.raises(PySparkException, match="outside"):
-        one(spark, v=sparse.to_dense(F.create_map(F.lit(4), F.lit(1.0)), 3))
+        one(spark, v=sparse.to_dense(sparse.sparse(F.create_map(F.lit(4), F.lit(1.0)), 3)))
 
 
 @pytest.mark.parametrize(
