@@ -61,6 +61,11 @@ def clamped_top_k(top_k, default: int = 5, maximum: int = 20) -> Column:
     return F.least(F.coalesce(F.when(top_k > 0, top_k), F.lit(default)), F.lit(maximum))
 
 
+def count_mismatch(vectors, segments) -> Column:
+    """Message for a document whose segments and vectors do not match in number."""
+    return F.concat(_col(vectors).cast("string"), F.lit(" vectors for "), _col(segments).cast("string"), F.lit(" segments"))
+
+
 def render_document(title, correspondent, day, content, note) -> Column:
     """Full text that is split and embedded; every line ends in a newline."""
     newline = F.lit("\n")

@@ -38,31 +38,65 @@ def hashing_embedder(dim: int = DIMENSIONS) -> Embedder:
     return embed
 
 
-def model_embedder(factory: Callable[[], Model], dim: int = DIMENSIONS, spread: Sequence[str] = ()) -> Embedder:
-    """A model called once per Arrow batch; ``factory`` opens one client per task.
-
-    A failing or short batch is halved until the failing texts stand alone: those get a null
-    embedding and a message, the others keep theirs. ``spread`` names columns to repartition
-    by first, so that the chunks of one long document are embedded by many tasks.
+def model_embedder(
+    factory: Callable[[], Model],
+    dim: int = DIMENSIONS,
+    spread: Sequence[str] = (),
+    batch_size: int = 256,
+    attempts: int = 3,
+    wait: float = 0.5,
+    failures: int = 64,
+) -> Embedder:
+    """A model called with at most ``batch_size`` texts; ``factory`` opens one client per task.
+
+    A call that raises is made up to ``attempts`` times, ``wait`` seconds apart and twice as long
+    each time. A batch that still fails, or comes back short, is halved until the failing texts
+    stand alone: those get a null embedding and a message, the others keep theirs. After
+    ``failures`` failed calls a task takes the model for down: the rest of that batch gets the
+    last message without further calls, and so does every later batch whose first call fails.
+    ``spread`` names columns to repartition by first, so that the chunks of one long document are
+    embedded by many tasks.
     """
-
-    def one_by_one(model: Model, texts: list[str]) -> list[tuple[Sequence[float] | None, str | None]]:
-        if not texts:
-            return []
-        try:
-            vectors = list(model(texts))
-            if len(vectors) == len(texts):
-                return [
-                    (v, None) if len(v) == dim else (None, f"expected {dim} dimensions, not {len(v)}")
-                    for v in vectors
-                ]
-            failure = f"Embedding count ({len(vectors)}) != segment count ({len(texts)})"
-        except Exception as error:
-            failure = str(error) or type(error).__name__
-        if len(texts) == 1:
-            return [(None, failure)]
-        half = len(texts) // 2
-        return one_by_one(model, texts[:half]) + one_by_one(model, texts[half:])
+    import time
+
+    Found = list[tuple[Sequence[float] | None, str | None]]
+
+    class Caller:
+        def __init__(self) -> None:
+            self.model, self.left, self.message = factory(), failures, ""
+
+        def batch(self, texts: list[str]) -> Found:
+            if self.left <= 0:
+                self.left = 1  # one call shows whether the model is back
+            found = self.halved(texts)
+            if all(message is None for _, message in found):
+                self.left = failures
+            return found
+
+        def halved(self, texts: list[str]) -> Found:
+            for attempt in range(attempts):
+                if self.left <= 0:
+                    return [(None, self.message)] * len(texts)
+                try:
+                    vectors = list(self.model(texts))
+                    break
+                except Exception as error:
+                    self.message = str(error) or type(error).__name__
+                    self.left -= 1
+                    if attempt + 1 < attempts and self.left > 0:
+                        time.sleep(wait * 2**attempt)
+            else:
+                vectors = None
+            if vectors is not None:
+                if len(vectors) == len(texts):
+                    return [
+                        (v, None) if len(v) == dim else (None, f"expected {dim} dimensions, not {len(v)}") for v in vectors
+                    ]
+                self.message = f"{len(vectors)} vectors for {len(texts)} segments"
+            if len(texts) == 1:
+                return [(None, self.message)]
+            half = len(texts) // 2
+            return self.halved(texts[:half]) + self.halved(texts[half:])
 
     def embed(df: DataFrame, column: str) -> DataFrame:
         ship_package(df.sparkSession)
@@ -73,11 +107,13 @@ def model_embedder(factory: Callable[[], Model], dim: int = DIMENSIONS, spread:
         ])
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            model = factory()
+            caller = Caller()
             for batch in batches:
                 values = batch.column(column).to_pylist()
                 present = [i for i, v in enumerate(values) if v is not None]
-                found = one_by_one(model, [values[i] for i in present])
+                found = []
+                for low in range(0, len(present), batch_size):
+                    found += caller.batch([values[i] for i in present[low : low + batch_size]])
                 vectors: list = [None] * len(values)
                 errors: list = [None] * len(values)
                 for i, (vector, error) in zip(present, found):

@@ -37,11 +37,8 @@ def outcomes(candidates: DataFrame, staged: DataFrame) -> DataFrame:
         F.count("content").alias("segments"),
         F.count("embedding").alias("embeddings"),
     )
-    mismatch = F.concat(
-        F.lit("Embedding count ("), F.col("embeddings").cast("string"),
-        F.lit(") != segment count ("), F.col("segments").cast("string"), F.lit(")"),
-    )
-    error = F.coalesce("failure", F.when(F.col("segments") != F.col("embeddings"), mismatch))
+    mismatch = F.when(F.col("segments") != F.col("embeddings"), text.count_mismatch("embeddings", "segments"))
+    error = F.coalesce("failure", mismatch)
     return candidates.select("doc_id").join(counts, "doc_id", "left").select("doc_id", error.alias("error"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioseek.functions import text
+
 
 def duplicate_keys(df: DataFrame, *keys: str) -> DataFrame:
     """Key values held by more than one row."""
@@ -53,8 +55,5 @@ def embedding_counts(chunks: DataFrame) -> DataFrame:
     counts = chunks.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("segments"), F.count("embedding").alias("embeddings")
     )
-    message = F.concat(
-        F.lit("Embedding count ("), F.col("embeddings").cast("string"),
-        F.lit(") != segment count ("), F.col("segments").cast("string"), F.lit(")"),
-    )
+    message = text.count_mismatch("embeddings", "segments")
     return counts.withColumn("error", F.when(F.col("embeddings") != F.col("segments"), message))

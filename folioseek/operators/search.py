@@ -38,11 +38,22 @@ def validate_requests(requests: DataFrame) -> DataFrame:
     )
 
 
-def searchable(chunks: DataFrame, sources: DataFrame, *columns: str) -> DataFrame:
-    """Embedded chunks whose document is ingested (status DONE)."""
+def searchable(
+    chunks: DataFrame, sources: DataFrame, *columns: str, limit: int = sizing.BROADCAST_BYTES
+) -> DataFrame:
+    """Embedded chunks whose document is ingested (status DONE).
+
+    The smaller of two sets of ids is broadcast: the ingested documents, or those that have
+    chunks and are not ingested. Only if neither fits ``limit`` are the chunks shuffled.
+    """
     done = sources.filter(F.col("status") == "DONE").select("doc_id")
     kept = chunks.filter(F.col("embedding").isNotNull()).select("id", "doc_id", "embedding", *columns)
-    return sizing.lookup_join(kept, done, "doc_id", "left_semi", spread="id", measure=True)
+    if not sizing.fits_broadcast(done, limit, measure=True):
+        others = chunks.select("doc_id").distinct().join(done, "doc_id", "left_anti")
+        if sizing.fits_broadcast(others, limit, measure=True):
+            known = kept.filter(F.col("doc_id").isNotNull())
+            return known.join(F.broadcast(others), "doc_id", "left_anti").select(*kept.columns)
+    return sizing.lookup_join(kept, done, "doc_id", "left_semi", limit, spread="id", measure=True)
 
 
 def per_query_top(scored: DataFrame, query: str, k: Column | int) -> DataFrame:

@@ -359,18 +359,54 @@ def _(spark, sf):
     return chunks.select("doc_id", "chunk_index", "content")
 
 
+def letter_model():
+    """A model that SQL can express: length, and number of vowels."""
+
+    def embed(texts: list[str]) -> list[list[float]]:
+        return [[float(len(t)), float(sum(t.count(v) for v in "aeiou"))] for t in texts]
+
+    return embed
+
+
+def letters_sql(column: str) -> str:
+    return f"""[length({column})::DOUBLE, (length({column}) - length(regexp_replace({column}, '[aeiou]', '', 'g')))::DOUBLE]"""
+
+
+@query(
+    "knn_1_text_question",
+    f"""WITH t AS (SELECT id AS doc_id, {RENDER_SQL} AS text FROM v_listing),
+    k AS ({windows_sql('doc_id', 'text', 't')}),
+    c AS (SELECT doc_id * 2147483648 + chunk_index AS id, doc_id, content, {letters_sql('content')} AS v FROM k),
+    r AS (SELECT conv_id * 100 + turn AS query_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS query,
+        least(CASE WHEN turn > 0 THEN turn ELSE 5 END, 20) AS top_k FROM conversations),
+    q AS (SELECT query_id, top_k, {letters_sql('query')} AS v FROM r WHERE query <> ''),
+    s AS (SELECT query_id, top_k, id, c.doc_id, list_distance(q.v, c.v) AS score FROM q, c),
+    h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, id) AS rank FROM s)
+    SELECT query_id, rank, h.id, l.title, round(score, 6) AS score, l.source_url
+    FROM h JOIN v_listing l ON l.id = h.doc_id WHERE rank <= top_k""",
+    "v_listing",
+)
+def _(spark, sf):
+    # Every turn of every conversation asks: validate, embed, search, shape.
+    embedder = embedding.model_embedder(letter_model, dim=2, spread=())
+    store = new_store(spark)
+    ingest.ingest(document_tables(spark, sf), store, split_windows, embedder, AS_OF)
+    asked = base(spark, sf, "conversations").select(
+        (F.col("conv_id") * 100 + F.col("turn")).alias("request_id"), F.col("text").alias("query"), F.col("turn").alias("top_k")
+    )
+    queries = embedding.embed_queries(search.validate_requests(asked), embedder)
+    hits = search.search_store(store, queries)
+    return hits.select(
+        "query_id", F.col("rank").cast("long").alias("rank"), "id", "title", F.round("score", 6).alias("score"), "source_url"
+    )
+
+
 @query(
     "udf_3_pluggable_model",
     """SELECT doc_id, length(text)::DOUBLE AS length, (length(text) - length(regexp_replace(text, '[aeiou]', '', 'g')))::DOUBLE AS vowels
        FROM documents""",
 )
 def _(spark, sf):
-    def letter_model():
-        def embed(texts: list[str]) -> list[list[float]]:
-            return [[float(len(t)), float(sum(t.count(v) for v in "aeiou"))] for t in texts]
-
-        return embed
-
     embedder = embedding.model_embedder(letter_model, dim=2, spread=("doc_id",))
     embedded = embedder(base(spark, sf, "documents").select("doc_id", "text"), "text")
     vector = F.col("embedding")

@@ -290,7 +290,7 @@ def _(spark, sf):
     "dq_5_embedding_counts",
     """WITH k AS (SELECT doc_id, CASE WHEN label <> 3 THEN embedding END AS e FROM v_chunk)
        SELECT doc_id, count(*) AS segments, count(e) AS embeddings,
-         CASE WHEN count(e) <> count(*) THEN concat('Embedding count (', count(e), ') != segment count (', count(*), ')')
+         CASE WHEN count(e) <> count(*) THEN concat(count(e), ' vectors for ', count(*), ' segments')
          END AS error FROM k GROUP BY doc_id""",
     "v_chunk",
 )

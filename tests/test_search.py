@@ -162,3 +162,46 @@ def test_index_round_trip(spark, vectors, queries, metric):
     found = ann.search_index(spark, path, queries, 3, probes=6, metric=metric)
     exact = search.exact_top_k(vectors, queries, 3, metric)
     assert values(found, "query_id", "rank", "id") == values(exact, "query_id", "rank", "id")
+
+
+def test_few_unfinished_documents_are_broadcast_instead_of_many_finished(spark, tables):
+    chunks = spark.createDataFrame(
+        [(i, i % 50, [float(i), 1.0]) for i in range(200)], "id long, doc_id long, embedding array<float>"
+    )
+    sources = spark.createDataFrame([(i, "ERROR" if i == 7 else "DONE") for i in range(49)], "doc_id long, status string")
+    want = [(i,) for i in range(200) if i % 50 not in (7, 49)]
+    for limit, words in ((10**6, "LeftSemi"), (100, "LeftAnti"), (1, "LeftSemi")):
+        df = search.searchable(chunks, sources, limit=limit)
+        assert values(df, "id") == sorted(want, key=repr)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert words in plan
+        assert ("BroadcastHashJoin" in plan.split(words)[0]) == (limit > 1)
+
+
+def test_own_k_of_each_query(spark):
+    chunks = spark.createDataFrame(
+        [(i, 1, 0, "c", [float(i)]) for i in range(80)], "id long, doc_id long, chunk_index int, content string, embedding array<float>"
+    )
+    sources = spark.createDataFrame([(1, "t", "c", "DONE")], "doc_id long, title string, correspondent string, status string")
+    asked = spark.createDataFrame(
+        [(1, [0.0], 50), (2, [0.0], None), (3, [0.0], 0), (4, [0.0], 3)], "query_id long, q array<float>, top_k int"
+    )
+    counts = {r[0]: r[1] for r in search.search(chunks, sources, asked).groupBy("query_id").count().collect()}
+    assert counts == {1: 50, 2: 5, 3: 5, 4: 3}
+
+
+def test_queries_are_evaluated_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+    chunks = spark.createDataFrame([(1, 1, "c", [1.0])], "id long, doc_id long, content string, embedding array<float>")
+    sources = spark.createDataFrame([(1, "t", "c", "DONE")], "doc_id long, title string, correspondent string, status string")
+
+    def embed(parts):
+        for b in parts:
+            calls.add(b.num_rows)
+            yield b
+
+    asked = spark.createDataFrame([(i, [1.0]) for i in range(300)], "query_id long, q array<float>").mapInArrow(
+        embed, "query_id long, q array<float>"
+    )
+    assert search.search(chunks, sources, asked).count() == 300
+    assert calls.value == 300

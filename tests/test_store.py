@@ -114,7 +114,7 @@ def test_short_answers_and_wrong_widths(spark):
 
     rows = {r["i"]: r for r in embedding.model_embedder(short, dim=2)(df, "t").collect()}
     assert rows[0]["embedding"] == [1.0, 0.0] and rows[4]["embedding"] == [4.0, 0.0]
-    assert rows[1]["embedding"] is None and rows[1]["embedding_error"] == "Embedding count (0) != segment count (1)"
+    assert rows[1]["embedding"] is None and rows[1]["embedding_error"] == "0 vectors for 1 segments"
     assert rows[2]["embedding"] is None and rows[2]["embedding_error"] is None
     wide = embedding.model_embedder(lambda: lambda texts: [[1.0] * len(t) for t in texts], dim=2)(df, "t")
     assert values(wide.filter("embedding IS NOT NULL"), "t") == [("bb",)]
@@ -232,3 +232,36 @@ def test_foreign_key_notes(tables, store):
     last = store.chunks().filter("doc_id = 2 AND chunk_index = 2").first()["content"]
     assert last == "Note: note one\n"
     assert at(1)
+
+
+def test_a_model_that_is_down_costs_few_calls(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def down():
+        def embed(texts):
+            calls.add(1)
+            raise OSError("no route")
+
+        return embed
+
+    df = spark.range(2000).select("id", F.lit("text").alias("t")).coalesce(1)
+    rows = embedding.model_embedder(down, dim=2, batch_size=100, wait=0.0, failures=10)(df, "t").collect()
+    assert len(rows) == 2000 and {r.embedding_error for r in rows} == {"no route"}
+    assert calls.value <= 10 + 2000 // 100
+
+
+def test_a_call_that_fails_once_is_made_again(spark):
+    def shaky():
+        failed = []
+
+        def embed(texts):
+            if not failed:
+                failed.append(1)
+                raise OSError("busy")
+            return [[1.0, 2.0]] * len(texts)
+
+        return embed
+
+    df = spark.range(10).select("id", F.lit("text").alias("t")).coalesce(1)
+    rows = embedding.model_embedder(shaky, dim=2, wait=0.0)(df, "t").collect()
+    assert {r.embedding_error for r in rows} == {None}
