@@ -18,7 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioseek.plans.sizing import lookup_join, materialize
+from folioseek.llm.joins import lookup
+from folioseek.plans.sizing import materialize
 
 WINDOW, GRAM = 13, 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -95,7 +96,7 @@ def contaminated(
         few = items.where(F.size("h") < gram).select(F.array_min("h").alias("v"))
         searches.append((hashed.select("_key", F.explode(F.array_distinct("h")).alias("v")), few))
     found = [
-        lookup_join(ours, wanted.distinct(), "v", "left_semi", spread="_key", measure=True).select("_key")
+        lookup(ours, wanted.distinct(), "v", "left_semi").select("_key")
         for ours, wanted in searches
     ]
     suspects = found[0]
@@ -103,7 +104,7 @@ def contaminated(
         suspects = suspects.union(more)
     suspects = materialize(suspects.distinct(), "suspects")
 
-    texts = lookup_join(keyed.select("_key", "text"), suspects, "_key", "left_semi", measure=True).dropDuplicates(["_key"])
+    texts = lookup(keyed.select("_key", "text"), suspects, "_key", "left_semi").dropDuplicates(["_key"])
     texts = materialize(texts.select("_key", hashes("text").alias("h")), "suspect_words")
     hits = None
     for n in lengths:
@@ -111,7 +112,7 @@ def contaminated(
         wanted = own.select("item", F.explode(F.array_distinct(runs(F.col("h"), n))).alias("w"))
         wanted = wanted.groupBy("w").agg(F.collect_set("item").alias("items"))
         places = texts.select("_key", F.posexplode(runs(F.col("h"), n)).alias("at", "w"))
-        hit = lookup_join(places, wanted, "w", "inner", spread="at", measure=True).select(
+        hit = lookup(places, wanted, "w", "inner").select(
             "_key", F.struct("at", F.lit(n).alias("n")).alias("span"), "items"
         )
         hits = hit if hits is None else hits.union(hit)
@@ -143,7 +144,7 @@ def _finished(keyed: DataFrame, judged: DataFrame | None, num: int, den: int) ->
         docs = docs.withColumns({"n_hit": F.lit(0).cast("long"), "item_ids": F.array().cast("array<string>")})
     else:
         judged = judged.withColumnRenamed("n_hit", "_n").withColumnRenamed("item_ids", "_items")
-        docs = lookup_join(docs, judged, "_key", "left", spread="_key", measure=True).withColumns({
+        docs = lookup(docs, judged, "_key", "left").withColumns({
             "n_hit": F.coalesce("_n", F.lit(0).cast("long")),
             "item_ids": F.coalesce("_items", F.array().cast("array<string>")),
         }).drop("_n", "_items")

@@ -28,13 +28,16 @@ from pyspark.sql import functions as F
 
 from folioseek.llm import batches
 from folioseek.llm.components import components
+from folioseek.llm.joins import lookup
 from folioseek.plans.shipping import ship_package
-from folioseek.plans.sizing import lookup_join, materialize
+from folioseek.plans.sizing import materialize
 
 COARSE = 16
 #: A shingle counts as frequent from so many documents on; at most so many frequent ones are
-#: sent to the tasks. Both only move work between buckets: results do not depend on them.
+#: sent to the tasks. These only move work between buckets: results do not depend on them.
 FREQUENT, FREQUENT_KEPT = 32, 1 << 19
+#: Shingles that a task counts at a time.
+COUNTED_TOGETHER = 1 << 21
 LEAF, FANOUT, BLOCK = 16, 8, 2048
 
 
@@ -150,17 +153,26 @@ def _frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Frequent shingles and their counts, as far as repeats inside a task show them."""
 
     def repeated(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, np.ndarray] = {}
+        held = 0
+
+        def flush() -> pa.RecordBatch:
+            shingle, n = np.unique(np.concatenate(list(seen.values())), return_counts=True)
+            twice = n > 1
+            return pa.RecordBatch.from_arrays(
+                [pa.array(shingle[twice].view(np.int64)), pa.array(n[twice].astype(np.int64))], ["shingle", "n"]
+            )
+
         for batch in parts:
-            seen: dict[int, np.ndarray] = {}
             for _, own in _sets(batch.column(0), width):
                 if len(own):
                     seen[signature(own)] = own
-            if seen:
-                shingle, n = np.unique(np.concatenate(list(seen.values())), return_counts=True)
-                twice = n > 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(shingle[twice].view(np.int64)), pa.array(n[twice].astype(np.int64))], ["shingle", "n"]
-                )
+                    held += len(own)
+                if held > COUNTED_TOGETHER:
+                    yield flush()
+                    seen, held = {}, 0
+        if seen:
+            yield flush()
 
     counted = materialize(
         docs.select("text").mapInArrow(repeated, "shingle bigint, n bigint")
@@ -251,7 +263,7 @@ def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, nu
     def of_documents(pairs: DataFrame, what, name: str) -> DataFrame:
         keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
         wanted = keys.join(classes, "key").select("doc_id").distinct()
-        texts = lookup_join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted, "doc_id", "left_semi", measure=True)
+        texts = lookup(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted, "doc_id", "left_semi")
 
         def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in parts:
@@ -370,21 +382,21 @@ def links(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, D
     classes = materialize(
         known.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")), "classes"
     )
-    members = known.select("key", "n", "point", F.explode("prefix").alias("shingle"))
+    members = known.select("key", F.explode("prefix").alias("shingle"))
     buckets = materialize(
         members.groupBy("shingle")
         .agg(F.min("key").alias("least"), F.max("key").alias("most"), F.count(F.lit(1)).alias("m"))
         .where("least <> most"),
         "buckets",
     )
-    shared = lookup_join(members.select("shingle", "key"), buckets, "shingle", "inner", spread="key", measure=True)
+    shared = materialize(lookup(members, buckets, "shingle"), "shared")
     stars = shared.select(F.explode(F.array(F.struct(*_pair("key", "least")), F.struct(*_pair("key", "most")))).alias("p"))
     first = verify(docs, classes, stars.select("p.*").where("a <> b"), width, num, den)
 
     labels = components(first)
-    inside = lookup_join(members, buckets, "shingle", "inner", spread="key", measure=True).join(
-        labels.withColumnRenamed("node", "key"), "key", "left"
-    ).withColumn("comp", F.coalesce("component", "key"))
+    inside = shared.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn(
+        "comp", F.coalesce("component", "key")
+    )
     # buckets in which some pair is open: more than one component, and more than the two ends
     open_buckets = (
         inside.groupBy("shingle")
@@ -392,16 +404,19 @@ def links(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, D
         .where("x <> y and more")
         .select("shingle")
     )
+    points = known.select("key", "n", "point").dropDuplicates(["key"])
     blocks = F.ceil(F.col("m") / BLOCK)
     cells = (
-        lookup_join(inside, open_buckets, "shingle", "left_semi", spread="key", measure=True)
+        lookup(inside, materialize(open_buckets, "open"), "shingle", "left_semi")
+        .select("shingle", "m", "key", "comp")
+        .distinct()
+        .join(points, "key")
         .withColumn("block", F.pmod(F.xxhash64("key"), blocks))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1)))
         .select(
             "shingle", F.least("block", "other").alias("block_a"), F.greatest("block", "other").alias("block_b"),
             "block", "key", "comp", "n", "point",
         )
-        .distinct()
     )
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = cells.repartition(n, "shingle", "block_a", "block_b").sortWithinPartitions("shingle", "block_a", "block_b")
@@ -450,8 +465,8 @@ def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100)
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_whole"),
         F.concat_ws(":", F.col("doc_id").cast("long"), F.xxhash64("text")).alias("_row"),
     )
-    left = lookup_join(marked, going, "_row", "left_anti", spread="_row", measure=True)
+    left = lookup(marked, going, "_row", "left_anti")
     again = materialize(again.select("_row"), "repeated")
-    single = lookup_join(left, again, "_row", "left_anti", spread="_row", measure=True)
-    repeated = lookup_join(left, again, "_row", "left_semi", spread="_row", measure=True).dropDuplicates(["_row"])
+    single = lookup(left, again, "_row", "left_anti")
+    repeated = lookup(left, again, "_row", "left_semi").dropDuplicates(["_row"])
     return single.union(repeated).select("_whole.*")

@@ -18,7 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioseek.plans.sizing import lookup_join, materialize
+from folioseek.llm.joins import lookup
+from folioseek.plans.sizing import materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -100,7 +101,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str =
         F.explode(F.array_distinct(F.concat(F.regexp_extract_all(F.translate(whole, UPPER, LOWER), F.lit("([a-z0-9]+)"), 1), F.array(F.lit(""))))),
     )
     wanted = rules.select(F.explode("tokens").alias("token")).distinct()
-    frequency = lookup_join(tokens.select("token"), wanted, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    frequency = lookup(tokens.select("token"), wanted, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     rarest = (
         rules.withColumn("token", F.explode("tokens"))
         .join(frequency, "token", "left")
@@ -114,7 +115,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str =
         "rule_index",
     )
     fitting = (
-        lookup_join(tokens, index, "token", "inner", measure=True)
+        lookup(tokens, index, "token", "inner")
         .withColumn("r", F.explode("rules"))
         .where(F.regexp_like(whole, F.col("r.regex")))
         .groupBy("host", "path")
