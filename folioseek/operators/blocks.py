@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-METRICS = ("l2", "l1", "cosine", "inner", "spherical", "hamming")
+METRICS = ("l2", "l1", "cosine", "inner", "spherical", "hamming", "bits")
 CELLS = 2_000_000
 MARGIN = 1e-9
 CROWDED = 4
@@ -49,6 +49,22 @@ def matrix(column: pa.Array, dim: int | None = None) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(len(column), width)
 
 
+def words(column: pa.Array, width: int | None = None) -> np.ndarray:
+    """A column of packed bits as one row of 64-bit words per vector; unequal lengths are an error."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    lengths = np.diff(column.offsets.to_numpy())
+    width = width if width is not None else (int(lengths[0]) if len(lengths) else 0)
+    if (lengths != width).any():
+        raise ValueError(f"different numbers of words {width} and {int(lengths[lengths != width][0])}")
+    return column.flatten().to_numpy(zero_copy_only=False).astype("int64").view("uint64").reshape(len(column), width)
+
+
+def rows_of(column: pa.Array, metric: str, width: int | None = None) -> np.ndarray:
+    """Rows of a list column as the metric takes them: words of packed bits for ``bits``, else doubles."""
+    return words(column, width) if metric == "bits" else matrix(column, width)
+
+
 def prepared(vectors: np.ndarray, metric: str) -> np.ndarray:
     """Vectors in the space where the metric is computed."""
     if metric == "hamming":
@@ -79,6 +95,11 @@ def _rough(rows: np.ndarray, queries: np.ndarray, metric: str) -> tuple[np.ndarr
 
     NaN where the score is undefined.
     """
+    if metric == "bits":
+        scores = np.zeros((len(rows), len(queries)))
+        for i in range(rows.shape[1]):
+            scores += np.bitwise_count(rows[:, i][:, None] ^ queries[:, i][None, :])
+        return scores, np.zeros(len(queries))
     if metric == "l1":
         scores = np.empty((len(rows), len(queries)))
         for j, q in enumerate(queries):
@@ -143,7 +164,8 @@ class Best:
 
 def _lowest_copies(rows: np.ndarray, row_ids: np.ndarray, k: int) -> np.ndarray:
     """Marks the ``k`` lowest ids of each group of equal rows; no other copy can be among the best."""
-    keys = np.ascontiguousarray(rows + 0.0).view(np.dtype((np.void, rows.shape[1] * 8))).ravel()
+    rows = rows if rows.dtype == np.uint64 else rows + 0.0  # -0.0 is 0.0
+    keys = np.ascontiguousarray(rows).view(np.dtype((np.void, rows.shape[1] * 8))).ravel()
     _, group = np.unique(keys, return_inverse=True)
     order = np.lexsort((row_ids, group))
     place = np.arange(len(rows)) - np.searchsorted(group[order], group[order], side="left")
@@ -179,8 +201,9 @@ def _offer(best: Best, rows, row_ids, queries, metric, which) -> None:
         at, query = at[wanted], query[wanted]
     if len(at) == 0:
         return
-    if metric == "hamming":  # whole numbers: the rough score is exact
-        best.merge(which[query], (rows.shape[1] + rough[at, query]) / 2, rough[at, query], row_ids[at])
+    if metric in ("hamming", "bits"):  # whole numbers: the rough score is exact
+        exact = rough[at, query] if metric == "bits" else (rows.shape[1] + rough[at, query]) / 2
+        best.merge(which[query], exact, rough[at, query], row_ids[at])
         return
     scores = np.empty(len(at))
     step = max(1, CELLS // max(1, rows.shape[1]))

@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioseek.functions import text
+from folioseek.functions import bits, text
 from folioseek.operators import blocks
 from folioseek.plans import sizing
 from folioseek.plans.shipping import ship_package
@@ -65,13 +65,15 @@ def per_query_top(scored: DataFrame, query: str, k: Column | int) -> DataFrame:
 
 def query_block(rows: pa.Table, k: int, metric: str) -> blocks.QueryBlock:
     ids = rows.column("query_id").to_numpy().astype("int64")
-    return blocks.QueryBlock(ids, blocks.matrix(rows.column("q")), k, metric)
+    return blocks.QueryBlock(ids, blocks.rows_of(rows.column("q"), metric), k, metric)
 
 
-def _arrow_batches(batches: Iterator[pa.RecordBatch], dim: int):
+def _arrow_batches(batches: Iterator[pa.RecordBatch], block: blocks.QueryBlock):
+    width = block.vectors.shape[1]
     for batch in batches:
         if batch.num_rows:
-            yield batch.column("id").to_numpy(zero_copy_only=False), blocks.matrix(batch.column("embedding"), dim)
+            rows = blocks.rows_of(batch.column("embedding"), block.metric, width)
+            yield batch.column("id").to_numpy(zero_copy_only=False), rows
 
 
 def _by_query_block(vectors: DataFrame, block: blocks.QueryBlock) -> DataFrame:
@@ -81,7 +83,7 @@ def _by_query_block(vectors: DataFrame, block: blocks.QueryBlock) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = held.value
-        best = blocks.top_k(_arrow_batches(batches, block.vectors.shape[1]), block)
+        best = blocks.top_k(_arrow_batches(batches, block), block)
         yield blocks.result_batch(best, block)
 
     return vectors.select("id", "embedding").mapInArrow(scan, blocks.RESULT_SCHEMA)
@@ -128,7 +130,7 @@ def by_grid(
 
     def cell(rows: pa.Table, asked: pa.Table) -> pa.Table:
         block = query_block(asked, k, metric)
-        batches = _arrow_batches(iter(rows.to_batches()), block.vectors.shape[1])
+        batches = _arrow_batches(iter(rows.to_batches()), block)
         best = blocks.top_k(batches if len(asked) else iter(()), block)
         return pa.Table.from_batches([blocks.result_batch(best, block)])
 
@@ -262,20 +264,39 @@ def example_queries(chunks: DataFrame, query_id: str = "id") -> DataFrame:
     )
 
 
+def packed_codes(vectors: DataFrame) -> DataFrame:
+    """``(id, code)``: the sign bits of each embedding, packed; 1/32 of the bytes of the floats."""
+    return vectors.filter(F.col("embedding").isNotNull()).select(
+        "id", bits.pack(bits.binary_quantize("embedding"))["words"].alias("code")
+    )
+
+
+def write_codes(vectors: DataFrame, path: str) -> DataFrame:
+    """Store the packed codes once, for many searches."""
+    packed_codes(vectors).write.mode("overwrite").parquet(path)
+    return vectors.sparkSession.read.parquet(path)
+
+
 def quantised_search(
-    vectors: DataFrame, queries: DataFrame, k: int = DEFAULT_TOP_K, oversample: int = 4
+    vectors: DataFrame, queries: DataFrame, k: int = DEFAULT_TOP_K, oversample: int = 4, codes: DataFrame | None = None
 ) -> DataFrame:
-    """Shortlist of ``k * oversample`` by Hamming distance of sign bits, re-ranked by exact L2."""
+    """Shortlist of ``k * oversample`` by Hamming distance of sign bits, re-ranked by exact L2.
+
+    The shortlist scans ``codes(id, code)`` only, as ``write_codes`` stores them (made for this
+    search if not given); the float vectors are read for the shortlist alone.
+    """
     from folioseek.functions.vectors import l2_distance
 
-    queries = sizing.materialize(queries.select("query_id", "q"), "queries")
-    found, bound = _exact(vectors, queries, k * oversample, "hamming", sizing.COLLECT_BYTES)
+    codes = sizing.materialize(packed_codes(vectors), "codes") if codes is None else codes
+    queries = sizing.materialize(queries.filter(F.col("q").isNotNull()).select("query_id", "q"), "queries")
+    asked_codes = queries.select("query_id", bits.pack(bits.binary_quantize("q"))["words"].alias("q"))
+    rows = codes.select("id", F.col("code").alias("embedding"))
+    found, bound = _exact(rows, asked_codes, k * oversample, "bits", sizing.COLLECT_BYTES)
     short = found.select("query_id", "id", F.col("score").alias("hamming"))
-    asked = queries.select("query_id", "q")
     scored = (
         vectors.select("id", "embedding")
         .join(broadcast_within(short, bound, HIT_BYTES), "id")
-        .join(F.broadcast(asked) if bound is not None else asked, "query_id")
+        .join(F.broadcast(queries) if bound is not None else queries, "query_id")
         .select("query_id", "id", "hamming", l2_distance("embedding", "q").alias("score"))
     )
     return per_query_top(scored, "query_id", k)

@@ -205,3 +205,21 @@ def test_queries_are_evaluated_once(spark):
     )
     assert search.search(chunks, sources, asked).count() == 300
     assert calls.value == 300
+
+
+def test_packed_codes_rank_as_sign_bits_do(spark):
+    rng = random.Random(8)
+    rows = [(i, [rng.choice([-1.0, 1.0, 0.0]) for _ in range(70)]) for i in range(60)]
+    rows += [(100 + i, rows[3][1]) for i in range(40)]
+    vectors = spark.createDataFrame(rows, "id long, embedding array<float>")
+    queries = spark.createDataFrame([(i, v) for i, v in rows[:9]], "query_id long, q array<float>")
+    codes = search.write_codes(vectors, sizing.work_path(spark, "codes"))
+    found = search.quantised_search(vectors, queries, 4, 3, codes)
+    plain = search.exact_top_k(vectors, queries, 12, "hamming")
+    want = {(r.query_id, r.id): r.score for r in plain.collect()}
+    got = found.collect()
+    assert len(got) == 36
+    assert all(want[r.query_id, r.id] == r.hamming for r in got)
+    with pytest.raises(Exception, match="different numbers of words"):
+        short = spark.createDataFrame([(1, [1.0])], "query_id long, q array<float>")
+        search.quantised_search(vectors, short, 4, 3, codes).collect()
