@@ -61,7 +61,7 @@ def ingest(
     nothing is due no run is committed.
     """
     run = store.next_run() if run is None else run
-    if run in store.committed_runs():
+    if store.is_committed(run):
         return run
     embedder = embedder or hashing_embedder()
     known = store.sources()
@@ -101,7 +101,7 @@ def remove_orphans(tables: Tables, store: ChunkStore, run: int | None = None) ->
     When nothing is gone no run is committed.
     """
     run = store.next_run() if run is None else run
-    if run in store.committed_runs():
+    if store.is_committed(run):
         return run
     gone = sizing.materialize(sync.orphans(store.sources(), tables.documents), "orphans")
     if gone.isEmpty():

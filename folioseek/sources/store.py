@@ -1,10 +1,11 @@
-"""The chunk store: plain parquet, one partition folder per ingest run.
-
-A run writes its chunks, then its state rows. State rows name the run whose chunks are
-current for their document, so chunks become visible only with the state that points to
-them, replaced and deleted chunks drop out of every read at once, and a retried run
-overwrites its own folders only. Nothing already stored is rewritten; ``compact`` writes a
-trimmed copy.
+"""The chunk store: plain parquet, one folder per ingest run, and a log of commits.
+
+A run writes its chunks, then its state rows, then an empty file into the log, which makes it
+visible. State rows name the run whose chunks are current for their document, so chunks become
+visible only with the state that points to them, replaced and deleted chunks drop out of every
+read at once, and a retried run overwrites its own folders only. Which runs are live is read
+from one listing of the log, however many there were. ``fold`` writes all current rows as one
+run that replaces every run before it; ``compact`` writes a trimmed copy elsewhere.
 """
 
 from __future__ import annotations
@@ -38,22 +39,35 @@ class ChunkStore:
         """Held by each writer of this application: a store takes one run at a time."""
         return _writers.setdefault(self.root, threading.RLock())
 
-    def committed_runs(self) -> list[int]:
-        """Runs whose state folder is complete."""
-        jvm = self.spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.root}/state")
-        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def _path(self, *parts: str):
+        """A folder of the store and its file system."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.root, *parts]))
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _log(self) -> dict[int, str]:
+        """Kind of each live run: ``state`` without chunks of its own, ``chunks``, or ``base``.
+
+        A base holds everything before it, so the runs before the last base are not live.
+        """
+        fs, folder = self._path("commits")
         if not fs.exists(folder):
-            return []
-        runs = []
-        for status in fs.listStatus(folder):
-            path = status.getPath()
-            if path.getName().startswith("run=") and fs.exists(jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")):
-                runs.append(int(path.getName().removeprefix("run=")))
-        return sorted(runs)
+            return {}
+        names = [status.getPath().getName().split(".") for status in fs.listStatus(folder)]
+        runs = {int(run): kind for run, kind in names if run.isdigit()}
+        base = max((run for run, kind in runs.items() if kind == "base"), default=-1)
+        return {run: runs[run] for run in sorted(runs) if run >= base}
+
+    def committed_runs(self) -> list[int]:
+        """Live runs."""
+        return list(self._log())
+
+    def is_committed(self, run: int) -> bool:
+        """Whether a run is live or was folded into a later one."""
+        log = self._log()
+        return run in log or any(kind == "base" and run < other for other, kind in log.items())
 
     def next_run(self) -> int:
-        return max(self.committed_runs(), default=-1) + 1
+        return max(self._log(), default=-1) + 1
 
     def _read(self, table: str, schema: T.StructType, runs: list[int]) -> DataFrame:
         schema = T.StructType([*schema.fields, T.StructField("run", T.LongType())])
@@ -83,16 +97,12 @@ class ChunkStore:
         state = self._versions()
         if status is not None:
             state = state.filter(F.col("status") == status)
-        runs = [r for r in self.committed_runs() if self._has_chunks(r)]
+        runs = [run for run, kind in self._log().items() if kind != "state"]
         rows = self._read("chunks", CHUNKS, runs).withColumn("_at", F.struct("doc_id", "run"))
         current = state.select(F.struct("doc_id", F.col("chunk_run").alias("run")).alias("_at"))
         kept = sizing.lookup_join(rows, current, "_at", "left_semi", spread="id", measure=True)
         return kept.select(*SCHEMAS["chunks"].fieldNames())
 
-    def _has_chunks(self, run: int) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/chunks/run={run}")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
-
     def write_chunks(self, run: int, chunks: DataFrame) -> DataFrame:
         """Store the chunks of a run and read them back, errors included."""
         from folioseek.sources.tables import conform
@@ -101,11 +111,33 @@ class ChunkStore:
         conform(chunks, CHUNKS).write.mode("overwrite").parquet(path)
         return self.spark.read.schema(CHUNKS).parquet(path)
 
-    def commit(self, run: int, state: DataFrame) -> None:
+    def commit(self, run: int, state: DataFrame, base: bool = False) -> None:
         """Store the state rows of a run, which makes the run visible."""
         from folioseek.sources.tables import conform
 
         conform(state, STATE).write.mode("overwrite").parquet(f"{self.root}/state/run={run}")
+        fs, chunks = self._path("chunks", f"run={run}")
+        kind = "base" if base else "chunks" if fs.exists(chunks) else "state"
+        fs.createNewFile(self._path("commits", f"{run}.{kind}")[1])
+
+    def fold(self) -> int:
+        """Rewrite all current rows as one run, and remove the folders of the runs it replaces.
+
+        A reader that began before may still read removed folders and fail; it reads again.
+        """
+        with self.writing():
+            old, run = self.committed_runs(), self.next_run()
+            self.write_chunks(run, self.chunks())
+            held = F.when(F.col("chunk_run").isNotNull(), F.lit(run))
+            self.commit(run, self.sources().withColumns({"chunk_run": held, "deleted": F.lit(False)}), base=True)
+            for done in old:
+                for parts in (("chunks", f"run={done}"), ("state", f"run={done}")):
+                    fs, folder = self._path(*parts)
+                    fs.delete(folder, True)
+                for kind in ("state", "chunks", "base"):
+                    fs, entry = self._path("commits", f"{done}.{kind}")
+                    fs.delete(entry, False)
+            return run
 
     def compact(self, root: str) -> ChunkStore:
         """A copy below a new root that holds current rows only, in one run."""

@@ -265,3 +265,27 @@ def test_a_call_that_fails_once_is_made_again(spark):
     df = spark.range(10).select("id", F.lit("text").alias("t")).coalesce(1)
     rows = embedding.model_embedder(shaky, dim=2, wait=0.0)(df, "t").collect()
     assert {r.embedding_error for r in rows} == {None}
+
+
+def test_folded_stores_read_one_run(spark, tables):
+    store = ChunkStore(spark, sizing.work_path(spark, "folded"))
+    options = {"splitter": lambda text: text.split("\n\n"), "embedder": embedding.hashing_embedder(8)}
+    for day in range(1, 9):
+        edited = tables.documents.withColumns(
+            {"content": F.lit(f"text of day {day}"), "modified": F.lit(datetime(2024, 3, day))}
+        )
+        ingest.ingest(replace(tables, documents=edited), store, as_of=datetime(2024, 3, day, 1), **options)
+    ingest.remove_orphans(replace(tables, documents=tables.documents.filter("id <> 4")), store)
+    before = values(store.chunks()), values(store.sources().drop("chunk_run"))
+    assert len(store.committed_runs()) == 9
+    run = store.fold()
+    assert store.committed_runs() == [run] and store.next_run() == run + 1
+    assert (values(store.chunks()), values(store.sources().drop("chunk_run"))) == before
+    assert all(f"run={run}/" in f for f in store.chunks().inputFiles() + store.sources().inputFiles())
+    assert all(store.is_committed(old) for old in range(run + 1)) and not store.is_committed(run + 1)
+    # replaying a run from before the fold changes nothing, later runs go on
+    assert ingest.ingest(tables, store, run=0, **options) == 0
+    newest = tables.documents.filter("id = 1").withColumns({"content": F.lit("new"), "modified": F.lit(datetime(2024, 4, 1))})
+    ingest.ingest(replace(tables, documents=newest), store, as_of=datetime(2024, 4, 2), **options)
+    assert values(store.chunks().filter("doc_id = 1 AND chunk_index = 1"), "content") == [("new",)]
+    assert store.fold() == run + 2
