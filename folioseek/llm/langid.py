@@ -163,14 +163,20 @@ def train(docs: DataFrame, per_language: int = ROWS_PER_LANGUAGE) -> LanguageMod
     total = df[-1]
     idf = np.log((1 + total) / (1 + df[:-1])) + 1
 
+    sizes = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).limit(LANGUAGES + 1).toArrow()
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    # a hash threshold leaves about four times the rows wanted of each language, whatever its size; of those the first count
+    draw = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 30))
+    names, n = (sizes.column(i).to_pylist() for i in range(2))
+    limit = F.element_at(F.create_map(*[F.lit(x) for p in zip(names, n) for x in p]), F.col("lang")) if n else F.lit(1)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "lang"), "doc_id")
     chosen = (
-        docs.select("doc_id", "lang").where("doc_id is not null").distinct()
+        docs.select("doc_id", "lang").where("doc_id is not null")
+        .where(draw * limit < F.lit(4 * per_language * (1 << 30)))
+        .distinct()
         .withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= per_language)
     )
-    names = [r[0] for r in chosen.select("lang").distinct().limit(LANGUAGES + 1).collect()]
-    if len(names) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
 
     @F.arrow_udf("binary")
     def counts(texts: pa.Array) -> pa.Array:
