@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 #: ASCII white space, odd multipliers of the hashes.
 WHITE = (9, 10, 11, 12, 13, 32)
@@ -33,19 +33,21 @@ def table(members, value: bool = True) -> np.ndarray:
 SPACES = table(WHITE)
 
 
-def _values(fold: bool) -> np.ndarray:
-    values = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.int64).astype(_U64) | _U64(1)
+def _values(fold: bool, seed: int = 20240607) -> np.ndarray:
+    values = np.random.default_rng(seed).integers(1, 2**63, 256, dtype=np.int64).astype(_U64) | _U64(1)
     if fold:
         values[65:91] = values[97:123]
     return values
 
 
-FOLDED, EXACT = _values(True), _values(False)
+#: Byte values for hashes that see ASCII letters alike, as they are, and a second time independently.
+FOLDED, EXACT, OTHER = _values(True), _values(False), _values(False, 77)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts one after another, and where each begins; null counts as empty."""
-    column = column.fill_null("")
+    if column.null_count:
+        column = column.fill_null("")
     if pa.types.is_large_string(column.type):
         offsets = np.frombuffer(column.buffers()[1], np.int64)
     else:
@@ -107,11 +109,15 @@ def word_hashes(
     if not len(data):
         return np.zeros(0, _U64), np.zeros(len(offsets), np.int64)
     begin, end = word_spans(data, offsets, separators)
+    return span_hashes(data, begin, end, values), np.searchsorted(begin, offsets)
+
+
+def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """64-bit hash of every span of bytes."""
     _grow(len(data) + 1)
     sums = np.zeros(len(data) + 1, _U64)
     np.cumsum(values[data] * _powers[: len(data)], out=sums[1:])
-    hashes = mixed((sums[end] - sums[begin]) * _inverses[begin])
-    return hashes, np.searchsorted(begin, offsets)
+    return mixed((sums[end] - sums[begin]) * _inverses[begin])
 
 
 def one_hash(word: bytes, values: np.ndarray = FOLDED) -> int:

@@ -25,15 +25,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioseek.llm import batches
+from folioseek.llm.joins import lookup
 from folioseek.plans.shipping import ship_package
-from folioseek.plans.sizing import lookup_join
 
 MAGIC = b"EFTOKEN1"
 SAMPLE = 256
 #: A segment is closed once it holds so many ids; one document is never split.
 SEGMENT_IDS = 1 << 20
 #: Distinct pieces of text whose ids a worker remembers.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 20
+#: Bytes of text encoded at a time; more makes fewer insertions into what is remembered.
+ENCODED_TOGETHER = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -149,63 +151,153 @@ class Segment:
 class Encoder:
     """Token ids of texts by a tokenizer file, encoding each distinct piece of text once.
 
-    A byte-level tokenizer of this kind cuts texts into pieces before it merges bytes, and a
-    space before a word belongs to the word. So a text without two white-space characters in a
-    row may be cut before each space and around each line end; its ids are those of the pieces
-    one after another. Other texts are encoded whole.
+    A byte-level tokenizer of this kind cuts texts into pieces before it merges bytes, a space
+    belongs to the word after it, and a line end between two words is a piece. So a text in
+    which no two white-space characters meet may be cut before each space and around each line
+    end; its ids are those of the pieces one after another. Other texts are encoded whole.
+    Known pieces are found by two 64-bit hashes.
     """
 
     def __init__(self, path: str):
-        import re
+        import os
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.uneven = re.compile(r"\s\s|\A\s|\s\Z|\x01")
-        self.known: dict[str, int] = {}
+        self.line_end = self._whole("\n")
+        if len(self.line_end) != 1:
+            raise ValueError("this tokenizer does not encode a line end as one id")
         self.start_over()
 
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
     def start_over(self) -> None:
-        self.known.clear()
-        self.flat = np.zeros(0, np.uint32)
-        self.first = np.zeros(1, np.int64)
-
-    def _learn(self, pieces: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        for piece in pieces:
-            self.known[piece] = len(self.known)
-        more = np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))
-        self.flat = np.concatenate([self.flat, more])
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
-
-    def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
-        """Ids of each text, with ``end`` appended."""
-        if len(self.known) > REMEMBERED:
+        self.keys, self.checks, self.places = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        # place 0 is the line end, then the tails
+        known = [self.line_end, *(self._whole(chr(t)) for t in TAILS)]
+        self.flat = np.array([i for ids in known for i in ids], np.uint32)
+        self.first = np.concatenate([[0], np.cumsum([len(ids) for ids in known])])
+
+    def _learn(self, pieces: list[str]) -> np.ndarray:
+        """Encode pieces, which hold no line end, and return their places."""
+        for low in range(0, len(pieces), 20_000):
+            group = pieces[low : low + 20_000]
+            ids = np.array(self._whole("\n".join(group)), np.uint32)
+            cut = np.flatnonzero(ids == self.line_end[0])
+            if len(cut) == len(group) - 1:
+                sizes = np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1
+                ids = np.delete(ids, cut)
+            else:
+                found = [e.ids for e in self.tokenizer.encode_batch_fast(group, add_special_tokens=False)]
+                sizes = np.array([len(f) for f in found])
+                ids = np.array([i for f in found for i in f], np.uint32)
+            self.flat = np.concatenate([self.flat, ids])
+            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
+        return np.arange(len(self.first) - 1 - len(pieces), len(self.first) - 1)
+
+    def _places(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, spaced: np.ndarray) -> np.ndarray:
+        """Place of each word's piece, learning the new ones."""
+        mark = np.where(spaced, np.uint64(batches.STEPS[0]), np.uint64(batches.STEPS[1]))
+        keys = batches.mixed(batches.span_hashes(data, begin, end, batches.EXACT) ^ mark)
+        checks = batches.span_hashes(data, begin, end, batches.OTHER) ^ mark
+        own, at, back = np.unique(keys, return_index=True, return_inverse=True)
+        if np.any(checks != checks[at][back]):  # two pieces with one key in one chunk: tell them apart by hand
+            pieces = [self._piece(data, *x) for x in zip(begin, end, spaced, strict=True)]
+            return self._learn(pieces)
+        where = np.minimum(np.searchsorted(self.keys, own), max(0, len(self.keys) - 1))
+        known = (self.keys[where] == own) & (self.checks[where] == checks[at]) if len(self.keys) else np.zeros(len(own), bool)
+        places = np.empty(len(own), np.int64)
+        places[known] = self.places[where[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            places[new] = self._learn([self._piece(data, begin[i], end[i], spaced[i]) for i in at[new].tolist()])
+            clash = self.keys[where[new]] == own[new] if len(self.keys) else np.zeros(len(new), bool)
+            new = new[~clash]
+            to = np.searchsorted(self.keys, own[new])
+            self.keys = np.insert(self.keys, to, own[new])
+            self.checks = np.insert(self.checks, to, checks[at][new])
+            self.places = np.insert(self.places, to, places[new])
+        return places[back]
+
+    @staticmethod
+    def _piece(data: np.ndarray, begin: int, end: int, spaced: bool) -> str:
+        return (" " if spaced else "") + data[begin:end].tobytes().decode("utf-8", "replace")
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, end: int) -> list[np.ndarray]:
+        """Ids of each text of a chunk, with ``end`` appended."""
+        if len(self.keys) > REMEMBERED:
             self.start_over()
-        cut = [
-            None if not t or self.uneven.search(t) else t.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01")
-            for t in texts
-        ]
-        known = self.known
-        new = {p for pieces in cut if pieces for p in pieces if p not in known}
-        if new:
-            self._learn(sorted(new))
-        found = []
-        for text, pieces in zip(texts, cut, strict=True):
-            if pieces is None:
-                ids = self.tokenizer.encode(text, add_special_tokens=False).ids if text else []
-                found.append(np.array([*ids, end], np.uint32))
-                continue
-            at = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
-            begin, size = self.first[at], self.first[at + 1] - self.first[at]
-            stop = np.cumsum(size)
-            ids = np.empty(int(stop[-1]) + 1, np.uint32)
-            ids[:-1] = self.flat[np.arange(stop[-1]) + np.repeat(begin - stop + size, size)]
-            ids[-1] = end
-            found.append(ids)
+        uneven = uneven_texts(data, offsets)
+        found: list[np.ndarray] = []
+        begin, stop = batches.word_spans(data, offsets, BREAKS) if len(data) else (np.zeros(0, np.int64),) * 2
+        first = np.searchsorted(begin, offsets)
+        rows = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+        kept = ~uneven[rows]
+        begin, stop, rows = begin[kept], stop[kept], rows[kept]
+        opens = np.ones(len(begin), bool)
+        opens[1:] = rows[1:] != rows[:-1]
+        before = data[np.maximum(begin - 1, 0)] if len(data) else np.zeros(0, np.uint8)
+        spaced = ~opens & (before == 32)
+        broken = ~opens & (before == 10)
+        # a point or comma after an ASCII letter or digit at the end of a word is a piece
+        tail = np.searchsorted(TAILS, data[stop - 1]) if len(stop) else np.zeros(0, np.int64)
+        tailed = (stop - begin > 1) & TAIL[data[stop - 1]] & ALNUM[data[np.maximum(stop - 2, 0)]] if len(stop) else tail > 0
+        behind = np.cumsum(1 + broken + tailed)
+        units = np.zeros(int(behind[-1]) if len(behind) else 0, np.int64)
+        units[behind - 1 - tailed] = self._places(data, begin, stop - tailed, spaced)
+        units[behind[tailed] - 1] = 1 + tail[tailed]
+        sizes = self.first[units + 1] - self.first[units]
+        ends = np.cumsum(sizes)
+        ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[units] - ends + sizes, sizes)]
+        words = np.searchsorted(rows, np.arange(len(offsets) - 1), "right")  # up to each text's end
+        upto = np.concatenate([[0], ends])[np.concatenate([[0], behind])[words]]
+        low = 0
+        for i, high in enumerate(upto.tolist()):
+            if uneven[i]:
+                own = self._whole(data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace"))
+                found.append(np.array([*own, end], np.uint32))
+            else:
+                found.append(np.append(ids[low:high], np.uint32(end)))
+            low = high
+        return found
+
+
+#: Bytes that texts are cut at, those that are cut off words, ASCII letters and digits, white space.
+BREAKS = batches.table((10, 32))
+TAILS = np.array([44, 46], np.uint8)
+TAIL = batches.table(TAILS.tolist())
+ALNUM = batches.table((*range(48, 58), *range(65, 91), *range(97, 123)))
+WHITE = batches.table((*range(9, 14), *range(28, 33)))
+
+
+def uneven_texts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Texts that begin or end with white space, hold two in a row, or white space beyond ASCII."""
+    texts = len(offsets) - 1
+    found = np.zeros(texts, bool)
+    if not len(data):
         return found
+    white = WHITE[data]
+    twice = np.flatnonzero(white[1:] & white[:-1])
+    lead = np.flatnonzero((data == 0xC2) | ((data >= 0xE1) & (data <= 0xE3)))
+    lead = lead[lead + 2 < len(data) + (data[lead] == 0xC2)]
+    a, b = data[lead], data[lead + 1]
+    c = data[np.minimum(lead + 2, len(data) - 1)]
+    wide = lead[
+        ((a == 0xC2) & ((b == 0x85) | (b == 0xA0)))
+        | ((a == 0xE1) & (b == 0x9A) & (c == 0x80))
+        | ((a == 0xE2) & (b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF)))
+        | ((a == 0xE2) & (b == 0x81) & (c == 0x9F))
+        | ((a == 0xE3) & (b == 0x80) & (c == 0x80))
+    ]
+    for at in (twice, wide):
+        row = np.searchsorted(offsets, at, "right") - 1
+        found[row] = True
+    some = offsets[:-1] < offsets[1:]
+    found[some] |= white[offsets[:-1][some]] | white[offsets[1:][some] - 1]
+    return found
 
 
 _encoders: dict[str, Encoder] = {}
@@ -213,9 +305,6 @@ _encoders: dict[str, Encoder] = {}
 
 def encoder(path: str) -> Encoder:
     if path not in _encoders:
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         _encoders[path] = Encoder(path)
     return _encoders[path]
 
@@ -227,7 +316,7 @@ def width_of(path: str, end: int) -> int:
 def write(docs: DataFrame, path: str, tokenizer: str, end: int, partitions: int | None = None) -> None:
     """Write the documents (doc_id, text) as segments into the folder ``path``.
 
-    Documents come in ascending id, null ids first, equal ids by their token ids. A null text
+    Documents come in ascending id, null ids first, equal ids by their text. A null text
     is empty and has the end id alone. ``tokenizer`` is a file that every executor can read.
     """
     spark = docs.sparkSession
@@ -235,14 +324,6 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int, partitions: int
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     width = width_of(tokenizer, end)
 
-    @F.arrow_udf("binary")
-    def encoded(texts: pa.Array) -> pa.Array:
-        found, own = [], encoder(tokenizer)
-        for low, high, _, _ in batches.chunks(texts, 1 << 19):
-            part = texts.slice(low, high - low).fill_null("").to_pylist()
-            found += [ids.astype(f"<u{width}").tobytes() for ids in own.encode(part, end)]
-        return pa.array(found, pa.binary())
-
     def packed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
         keys: list[int | None] = []
@@ -258,21 +339,24 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int, partitions: int
                 {"segment": [part << 32 | seq], "n_docs": [len(keys)], "n_ids": [len(ids)], "data": [segment.to_bytes()]}
             )
 
+        own = encoder(tokenizer)
         for batch in parts:
-            for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                keys.append(key)
-                raw.append(value)
-                size += len(value) // width
-                if size >= SEGMENT_IDS:
-                    yield flush()
-                    keys, raw, size, seq = [], [], 0, seq + 1
+            ids = batch.column(0).to_pylist()
+            for low, high, data, offsets in batches.chunks(batch.column(1), ENCODED_TOGETHER):
+                for key, found in zip(ids[low:high], own.encode(data, offsets, end), strict=True):
+                    keys.append(key)
+                    raw.append(found.astype(f"<u{width}").tobytes())
+                    size += len(found)
+                    if size >= SEGMENT_IDS:
+                        yield flush()
+                        keys, raw, size, seq = [], [], 0, seq + 1
         if keys:
             yield flush()
 
     (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), encoded("text").alias("ids"))
-        .repartitionByRange(n, "doc_id", "ids")
-        .sortWithinPartitions("doc_id", "ids")
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        .repartitionByRange(n, "doc_id")
+        .sortWithinPartitions("doc_id", "text")
         .mapInArrow(packed, "segment bigint, n_docs bigint, n_ids bigint, data binary")
         .write.parquet(path)
     )
@@ -318,6 +402,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     rows = segments.select("segment", "data").mapInArrow(
         unpacked, "segment bigint, doc_id bigint, _local bigint, n_tokens bigint, ids_crc32 bigint"
     )
-    return lookup_join(rows, starts, "segment", "inner", spread="doc_id", measure=True).select(
+    return lookup(rows, starts, "segment", "inner").select(
         "doc_id", (F.col("_base") + F.col("_local")).alias("start"), "n_tokens", "ids_crc32", "segment"
     )
