@@ -11,8 +11,8 @@ A leaf's budget is whole epochs over its documents plus a token prefix of one mo
 epoch has its own order, by a hash of seed, epoch and document.
 
 Everything is DataFrame functions. Only counts per node are ranked; the place where the prefix
-of a leaf ends is found from sums per hash range and then inside the one range it falls into,
-so no leaf is sorted as a whole.
+of a leaf ends is found from sums per hash range, then per range inside the one it falls into, so
+no leaf is sorted as a whole.
 """
 
 from __future__ import annotations
@@ -20,11 +20,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioseek.plans.sizing import lookup_join, materialize
+from folioseek.llm.joins import lookup
+from folioseek.plans.sizing import materialize
 
 PATH = ("domain", "lang", "source")
-#: Hexadecimal digits of the hash that make a range.
-RANGE_DIGITS = 4
+#: Hexadecimal digits of the hash that make a range, in turn: a leaf has 4,096 ranges at most in each.
+RANGE_DIGITS = (3, 6)
 
 
 def word_count(text: Column | str) -> Column:
@@ -102,21 +103,28 @@ def mix(
     )
 
     last = plan.where("_rest > 0")
-    keyed = lookup_join(sized.select("_leaf", "_doc", "_tokens"), last, "_leaf", "inner", spread="_doc", measure=True).select(
+    keyed = lookup(sized.select("_leaf", "_doc", "_tokens"), last, "_leaf", "inner").select(
         "_leaf", "_rest", "_tokens", _key(seed, F.col("_full") + 1, "_doc").alias("_k")
     )
-    ranged = keyed.withColumn("_range", F.substring("_k", 1, RANGE_DIGITS))
-    sums = ranged.groupBy("_leaf", "_rest", "_range").agg(F.sum("_tokens").alias("_n"))
+    # the range of hashes in which the prefix ends, first by a few digits, then by more
+    ends = last.select("_leaf", F.lit("").alias("_end"), F.lit(0).cast("long").alias("_before"))
     running = Window.partitionBy("_leaf").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    ends = materialize(
-        sums.withColumn("_before", F.coalesce(F.sum("_n").over(running), F.lit(0)))
-        .where("_before < _rest and _rest <= _before + _n")
-        .select("_leaf", F.col("_range").alias("_end"), "_before"),
-        "ends",
-    )
+    for digits in RANGE_DIGITS:
+        sums = (
+            lookup(keyed, ends, "_leaf", "inner")
+            .where(F.startswith("_k", "_end"))
+            .groupBy("_leaf", "_rest", "_before", F.substring("_k", 1, digits).alias("_range"))
+            .agg(F.sum("_tokens").alias("_n"))
+        )
+        ends = materialize(
+            sums.withColumn("_before", F.col("_before") + F.coalesce(F.sum("_n").over(running), F.lit(0)))
+            .where("_before < _rest and _rest <= _before + _n")
+            .select("_leaf", F.col("_range").alias("_end"), "_before"),
+            "ends",
+        )
     inside = (
-        lookup_join(ranged, ends, "_leaf", "inner", spread="_k", measure=True)
-        .where("_range = _end")
+        lookup(keyed, ends, "_leaf", "inner")
+        .where(F.startswith("_k", "_end"))
         .groupBy("_leaf", "_rest", "_before", "_k")
         .agg(F.sum("_tokens").alias("_n"))
     )
@@ -131,7 +139,7 @@ def mix(
         plan.join(cuts, "_leaf", "left").select("_leaf", "_full", "_cut._k", "_cut._left"), "limits"
     )
     added = ("epoch", "n_tokens", "take_tokens")
-    chosen = lookup_join(docs.drop(*added), limits, "_leaf", "inner", spread="_doc", measure=True)
+    chosen = lookup(docs.drop(*added), limits, "_leaf", "inner")
     mine = _key(seed, F.col("_full") + 1, "_doc")
     epochs = F.col("_full") + F.when(mine <= F.col("_k"), 1).otherwise(0)
     chosen = chosen.withColumn("_n", epochs).where("_n > 0")
