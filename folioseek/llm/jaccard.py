@@ -10,8 +10,8 @@ nearly the whole range of every count. So a tree is built per rare shingle. Unde
 all shingles, frequent ones last, two linked sets share one among their first
 ``n - ceil(t n) + 1`` shingles (a prefix); documents that share a prefix shingle form a bucket.
 
-Work on a bucket avoids its pairs. First every member is paired with the least and greatest
-member, which links most near copies; components of the verified links follow. Only members in
+Work on a bucket avoids its pairs. First every member is paired with a few of them, the least
+and greatest by some hashes of their keys, which links most near copies; components of the verified links follow. Only members in
 different components are then joined, by trees; very large buckets in blocks. Equal sets are
 one member from the beginning, so copies cost nothing. No link is lost: a link joins members
 of one component, or its pair meets in some bucket's trees.
@@ -32,13 +32,16 @@ from folioseek.llm.joins import lookup
 from folioseek.plans.shipping import ship_package
 from folioseek.plans.sizing import materialize
 
-COARSE = 16
+#: Groups of the points in a tree, and most groups of the points that its survivors are checked by.
+COARSE, WIDEST = 16, 256
 #: A shingle counts as frequent from so many documents on; at most so many frequent ones are
 #: sent to the tasks. These only move work between buckets: results do not depend on them.
 FREQUENT, FREQUENT_KEPT = 32, 1 << 19
 #: Shingles that a task counts at a time.
 COUNTED_TOGETHER = 1 << 21
 LEAF, FANOUT, BLOCK = 16, 8, 2048
+#: Members of a bucket, besides the least and the greatest, that all others are paired with.
+CENTERS = 2
 
 
 def signature(shingles: np.ndarray) -> int:
@@ -57,6 +60,38 @@ def point(shingles: np.ndarray, groups: int) -> np.ndarray:
     return np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
 
 
+def bucket_point(shingles: np.ndarray) -> bytes:
+    """The point that goes into buckets: about a group per shingle, ``WIDEST`` at most.
+
+    One byte per count, or two if a count needs them; the first two bytes tell which.
+    """
+    counts = point(shingles, min(WIDEST, max(COARSE, 1 << (len(shingles) - 1).bit_length())))
+    kind = "u1" if counts.max() < 256 else "<u2"
+    return bytes([len(counts).bit_length() - 1, np.dtype(kind).itemsize]) + counts.astype(kind).tobytes()
+
+
+def read_point(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "u1" if raw[1] == 1 else "<u2", offset=2).astype(np.int64)
+
+
+def fine_survivors(pairs: np.ndarray, raw: list[bytes], sizes: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Those pairs of places whose points, as fine as both have them, still reach the threshold."""
+    kept = np.zeros(len(pairs), bool)
+    width = np.array([1 << r[0] for r in raw])
+    groups = np.minimum(width[pairs[:, 0]], width[pairs[:, 1]]) if len(pairs) else np.zeros(0, np.int64)
+    for g in np.unique(groups).tolist():
+        at = np.flatnonzero(groups == g)
+        used, back = np.unique(pairs[at], return_inverse=True)
+        back = back.reshape(-1, 2)
+        points = np.array([folded(read_point(raw[i]), g) for i in used.tolist()], np.int32)
+        for low in range(0, len(at), 1 << 14):
+            some = slice(low, low + (1 << 14))
+            shared = np.minimum(points[back[some, 0]], points[back[some, 1]]).sum(axis=1)
+            i, j = pairs[at[some], 0], pairs[at[some], 1]
+            kept[at[some]] = shared * (num + den) >= num * (sizes[i] + sizes[j])
+    return pairs[kept]
+
+
 def folded(counts: np.ndarray, groups: int) -> np.ndarray:
     """A fine point as a coarser one: groups are low bits of the hash, so they nest."""
     return counts.reshape(-1, groups).sum(axis=0)
@@ -192,7 +227,7 @@ def _frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def describe(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """One row per document: doc_id, hash of its text, n (shingles), key of its set, coarse point, prefix."""
+    """One row per document: doc_id, hash of its text, n (shingles), key of its set, bucket point, prefix."""
     frequent, counts = _frequent(docs, width)
     sent = docs.sparkSession.sparkContext.broadcast((frequent, counts))
 
@@ -220,7 +255,7 @@ def describe(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
                 n = len(own)
                 keys.append(signature(own) if n else None)
                 sizes.append(n)
-                points.append(point(own, COARSE).astype(np.int32).tobytes() if n else None)
+                points.append(bucket_point(own) if n else None)
                 rank = np.zeros(n, np.int64)
                 if len(frequent) and n:
                     at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
@@ -319,7 +354,8 @@ def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, nu
 def _tree_pairs(num: int, den: int):
     """Candidate pairs of each cell; rows come sorted by cell."""
 
-    def of_cell(block: np.ndarray, keys, comps, sizes, points) -> np.ndarray:
+    def of_cell(block: np.ndarray, keys, comps, sizes, raw: list[bytes]) -> np.ndarray:
+        points = np.array([folded(read_point(r), COARSE) for r in raw], np.int64)
         pairs = []
         kinds = np.unique(block)
         trees = []
@@ -334,14 +370,14 @@ def _tree_pairs(num: int, den: int):
             found = surviving(tx, None, num, den)
         pairs = np.stack([x[found[:, 0]], y[found[:, 1]]], axis=1)
         pairs = pairs[comps[pairs[:, 0]] != comps[pairs[:, 1]]]
-        return keys[pairs]
+        return keys[fine_survivors(pairs, raw, sizes, num, den)]
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
 
         def out(table) -> Iterator[pa.RecordBatch]:
             shingle, block_a, block_b, block, keys, comps, sizes = (table.column(i).to_numpy() for i in range(7))
-            points = np.frombuffer(b"".join(table.column(7).to_pylist()), np.int32).reshape(-1, COARSE)
+            raw = table.column(7).to_pylist()
             new = (np.diff(shingle) != 0) | (np.diff(block_a) != 0) | (np.diff(block_b) != 0)
             cuts = [0, *(np.flatnonzero(new) + 1).tolist(), len(shingle)]
             found = []
@@ -350,7 +386,7 @@ def _tree_pairs(num: int, den: int):
                 mixed_blocks = block_a[low] != block_b[low]
                 if mixed_blocks and len(set(block[cell].tolist())) < 2:
                     continue  # pairs inside one block belong to its own cell
-                found.append(of_cell(block[cell], keys[cell], comps[cell], sizes[cell], points[cell]))
+                found.append(of_cell(block[cell], keys[cell], comps[cell], sizes[cell], raw[low:high]))
             pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
             pairs = np.unique(np.sort(pairs, axis=1), axis=0)
             for low in range(0, len(pairs), 1 << 16):
@@ -385,18 +421,34 @@ def links(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, D
     members = known.select("key", F.explode("prefix").alias("shingle"))
     buckets = materialize(
         members.groupBy("shingle")
-        .agg(F.min("key").alias("least"), F.max("key").alias("most"), F.count(F.lit(1)).alias("m"))
+        .agg(
+            F.min("key").alias("least"), F.max("key").alias("most"), F.count(F.lit(1)).alias("m"),
+            *[F.min_by("key", F.xxhash64("key", F.lit(i))).alias(f"center{i}") for i in range(CENTERS)],
+        )
         .where("least <> most"),
         "buckets",
     )
     shared = materialize(lookup(members, buckets, "shingle"), "shared")
-    stars = shared.select(F.explode(F.array(F.struct(*_pair("key", "least")), F.struct(*_pair("key", "most")))).alias("p"))
+    centers = ["least", "most", *[f"center{i}" for i in range(CENTERS)]]
+    stars = shared.select(F.explode(F.array(*[F.struct(*_pair("key", c)) for c in centers])).alias("p"))
     first = verify(docs, classes, stars.select("p.*").where("a <> b"), width, num, den)
 
-    labels = components(first)
-    inside = shared.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn(
-        "comp", F.coalesce("component", "key")
-    )
+    def placed(found: DataFrame) -> DataFrame:
+        labels = components(found).withColumnRenamed("node", "key")
+        return shared.join(labels, "key", "left").withColumn("comp", F.coalesce("component", "key")).drop("component")
+
+    # a second round, for those outside the largest component of a bucket, against a few of its members
+    inside = materialize(placed(first), "inside")
+    drawn = [F.min_by("key", F.xxhash64("key", "shingle", F.lit(i))).alias(f"d{i}") for i in range(CENTERS + 1)]
+    largest = (
+        inside.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("c"), *drawn)
+        .groupBy("shingle").agg(F.max(F.struct("c", "comp", *[f"d{i}" for i in range(CENTERS + 1)])).alias("top"))
+        .where("top.c > 2")
+    )
+    again = inside.select("shingle", "key", "comp").join(largest, "shingle").where("comp <> top.comp")
+    again = again.select(F.explode(F.array(*[F.struct(*_pair("key", f"top.d{i}")) for i in range(CENTERS + 1)])).alias("p"))
+    first = first.union(verify(docs, classes, again.select("p.*"), width, num, den))
+    inside = materialize(placed(first), "inside")
     # buckets in which some pair is open: more than one component, and more than the two ends
     open_buckets = (
         inside.groupBy("shingle")

@@ -104,7 +104,7 @@ def test_cells_may_span_batches():
     columns = {
         "shingle": [0] * 12, "block_a": [0] * 12, "block_b": [0] * 12, "block": [0] * 12,
         "key": [jaccard.signature(s) for s in sets], "comp": list(range(12)), "n": [len(s) for s in sets],
-        "point": [jaccard.point(s, jaccard.COARSE).astype(np.int32).tobytes() for s in sets],
+        "point": [jaccard.bucket_point(s) for s in sets],
     }
     whole = pa.RecordBatch.from_pydict(columns)
 
