@@ -154,7 +154,8 @@ class Encoder:
     A byte-level tokenizer of this kind cuts texts into pieces before it merges bytes, a space
     belongs to the word after it, and a line end between two words is a piece. So a text in
     which no two white-space characters meet may be cut before each space and around each line
-    end; its ids are those of the pieces one after another. Other texts are encoded whole.
+    end; its ids are those of the pieces one after another. Other texts are encoded whole, and
+    so are those that hold an added token of the file, which is one id by the library's default.
     Known pieces are found by two 64-bit hashes.
     """
 
@@ -165,7 +166,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if self.tokenizer.normalizer is not None and any(t.normalized for t in added):
+            raise ValueError("this tokenizer finds added tokens in changed text")
+        self.added = [t.content.encode() for t in added if t.content]
         self.line_end = self._whole("\n")
         if len(self.line_end) != 1:
             raise ValueError("this tokenizer does not encode a line end as one id")
@@ -230,7 +234,7 @@ class Encoder:
         """Ids of each text of a chunk, with ``end`` appended."""
         if len(self.keys) > REMEMBERED:
             self.start_over()
-        uneven = uneven_texts(data, offsets)
+        uneven = uneven_texts(data, offsets) | holding_texts(data, offsets, self.added)
         found: list[np.ndarray] = []
         begin, stop = batches.word_spans(data, offsets, BREAKS) if len(data) else (np.zeros(0, np.int64),) * 2
         first = np.searchsorted(begin, offsets)
@@ -300,6 +304,20 @@ def uneven_texts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return found
 
 
+def holding_texts(data: np.ndarray, offsets: np.ndarray, wanted: list[bytes]) -> np.ndarray:
+    """Texts that hold one of the wanted byte strings."""
+    found = np.zeros(len(offsets) - 1, bool)
+    raw = data.tobytes()
+    for own in wanted:
+        at = raw.find(own)
+        while at >= 0:
+            row = int(np.searchsorted(offsets, at, "right")) - 1
+            inside = at + len(own) <= offsets[row + 1]
+            found[row] |= inside
+            at = raw.find(own, int(offsets[row + 1]) if inside else at + 1)
+    return found
+
+
 _encoders: dict[str, Encoder] = {}
 
 

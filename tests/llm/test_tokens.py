@@ -83,3 +83,13 @@ def test_segment_reads_one_document(spark):
     assert tokens.encoder(PATH).tokenizer.decode(segment.document(2)[:-1].tolist()) == "c d e"
     with pytest.raises(ValueError):
         tokens.Segment.from_bytes(b"something else")
+
+
+def test_an_added_token_in_a_text_is_one_id():
+    mark = "<|endoftext|>"
+    texts = ["a b", f"one {mark} two", mark, f"x{mark}y {mark}", "<|endof", "text|>", None, f"\n{mark}"]
+    own = tokens.encoder(PATH)
+    found = [ids.tolist() for _, _, d, o in batches.chunks(pa.array(texts, pa.string())) for ids in own.encode(d, o, 2)]
+    plain = Tokenizer.from_file(PATH)
+    assert found == [[*plain.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    assert [ids.count(50256) for ids in found] == [0, 1, 1, 2, 0, 0, 0, 1]
