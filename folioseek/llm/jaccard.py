@@ -14,7 +14,9 @@ Work on a bucket avoids its pairs. First every member is paired with a few of th
 and greatest by some hashes of their keys, which links most near copies; components of the verified links follow. Only members in
 different components are then joined, by trees; very large buckets in blocks. Equal sets are
 one member from the beginning, so copies cost nothing. No link is lost: a link joins members
-of one component, or its pair meets in some bucket's trees.
+of one component, or its pair meets in some bucket's trees. The number of links is counted
+last: all links lie inside components, whose members meet in cells, where trees prune their
+pairs and whole sets verify them; only counts leave a cell.
 """
 
 from __future__ import annotations
@@ -42,6 +44,8 @@ COUNTED_TOGETHER = 1 << 21
 LEAF, FANOUT, BLOCK = 16, 8, 2048
 #: Members of a bucket, besides the least and the greatest, that all others are paired with.
 CENTERS = 2
+#: Members, and shingles of all members together, of a block of a component whose links are counted.
+COUNTED_SETS, COUNTED_SHINGLES = 512, 1 << 20
 
 
 def signature(shingles: np.ndarray) -> int:
@@ -477,6 +481,85 @@ def links(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, D
     return described, found, components(found)
 
 
+def _cell_links(num: int, den: int):
+    """Number of links that each set of a cell has in it, as far as it has any."""
+
+    def rows(table: pa.Table) -> pa.Table:
+        block_a, block_b, block = (table.column(c).to_numpy() for c in ("block_a", "block_b", "block"))
+        keys, sets = table.column("key").to_numpy(), [np.frombuffer(v.as_py(), "<u8") for v in table.column("v")]
+        sizes = np.array([len(own) for own in sets])
+        points = np.array([point(own, COARSE) for own in sets], np.int64)
+        degree = np.zeros(len(keys), np.int64)
+        if block_a[0] == block_b[0]:
+            pairs = surviving(CountTree(points, sizes), None, num, den)
+        else:
+            x, y = np.flatnonzero(block == block_a[0]), np.flatnonzero(block == block_b[0])
+            pairs = np.zeros((0, 2), np.int64)
+            if len(x) and len(y):
+                pairs = surviving(CountTree(points[x], sizes[x]), CountTree(points[y], sizes[y]), num, den)
+                pairs = np.stack([x[pairs[:, 0]], y[pairs[:, 1]]], axis=1)
+        shingle = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        begins = np.concatenate([[0], np.cumsum(sizes)])
+        pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+        firsts, low = np.unique(pairs[:, 0], return_index=True)
+        before = np.zeros(len(shingle) + 1, np.int64)
+        for i, a, b in zip(firsts.tolist(), low.tolist(), [*low[1:].tolist(), len(pairs)], strict=True):
+            held = np.zeros(len(shingle), bool)
+            held[shingle[begins[i] : begins[i + 1]]] = True
+            np.cumsum(held[shingle], out=before[1:])
+            others = pairs[a:b, 1]
+            shared = before[begins[others + 1]] - before[begins[others]]
+            linked = others[shared * (num + den) >= num * (sizes[i] + sizes[others])]
+            degree[i] += len(linked)
+            degree[linked] += 1
+        some = degree > 0
+        return pa.table({"key": pa.array(keys[some], pa.int64()), "n": pa.array(degree[some], pa.int64())})
+
+    return rows
+
+
+def degrees(docs: DataFrame, described: DataFrame, labels: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Number of other sets that each set key links with: key, n_links; ``labels`` are the components of all links."""
+    known = described.where("key is not null and doc_id is not null")
+    classes = known.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
+    members = materialize(labels.withColumnRenamed("node", "key").join(classes, "key"), "members")
+    texts = lookup(
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), members.select("doc_id").distinct(), "doc_id", "left_semi"
+    )
+
+    def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(keys, values):
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(values, pa.binary())], ["key", "v"])
+
+        for batch in parts:
+            keys, values = [], []
+            for _, own in _sets(batch.column(0), width):
+                if len(own):
+                    keys.append(signature(own))
+                    values.append(own.astype("<u8").tobytes())
+                if len(keys) == 1024:
+                    yield out(keys, values)
+                    keys, values = [], []
+            yield out(keys, values)
+
+    # the texts of one id may differ, so sets are looked up by their key
+    sets = materialize(texts.select("text").mapInArrow(rows, "key bigint, v binary"), "sets").dropDuplicates(["key"])
+    blocks = materialize(
+        members.groupBy("component")
+        .agg(F.greatest(F.ceil(F.count(F.lit(1)) / COUNTED_SETS), F.ceil(F.sum("n") / COUNTED_SHINGLES)).cast("long").alias("blocks")),
+        "blocks",
+    )
+    cells = (
+        members.join(blocks, "component")
+        .withColumn("block", F.pmod(F.xxhash64("key"), "blocks"))
+        .join(sets, "key")
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        .select("component", F.least("block", "other").alias("block_a"), F.greatest("block", "other").alias("block_b"), "block", "key", "v")
+    )
+    counted = cells.groupBy("component", "block_a", "block_b").applyInArrow(_cell_links(num, den), "key bigint, n bigint")
+    return materialize(counted.groupBy("key").agg(F.sum("n").alias("n_links")), "degrees")
+
+
 def group(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row per document (doc_id, text): doc_id, text_hash, n_shingles, component_id, n_links.
 
@@ -486,8 +569,9 @@ def group(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> Dat
     empty texts have no shingles and link with nothing, nor do rows with a null id, whose
     component is null. Rows with one id and different texts are separate rows.
     """
-    described, found, labels = links(docs, width, num, den)
-    degree = found.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
+    described, _, labels = links(docs, width, num, den)
+    labels = materialize(labels, "labels")
+    degree = degrees(docs, described, labels, width, num, den)
     classes = described.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
     placed = classes.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn(
         "component", F.coalesce("component", "key")

@@ -123,3 +123,25 @@ def test_components_of_chains_and_stars(spark):
     assert {found[100 + k] for k in range(30)} == {100}
     assert found[300] == found[200] == 200
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def plain_links(rows, width, num, den):
+    """Number of other sets that each row's set links with."""
+    sets = [brute.shingles(t, width) for _, t in rows]
+    different = {s for s in sets if s}
+    return [
+        sum(s != o and den * len(s & o) >= num * len(s | o) for o in different) if s else 0
+        for s in sets
+    ]
+
+
+@pytest.mark.parametrize("block", [512, 7])
+def test_links_equal_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "COUNTED_SETS", block)
+    base = [f"b{i}" for i in range(200)]
+    near = [(1000 + i, " ".join([*base[: 5 * i], f"new{i}", *base[5 * i + 1 :]])) for i in range(40)]
+    rows = [*near, *random_rows(1)]
+    found = {r.doc_id: r.n_links for r in jaccard.group(brute.frame(spark, rows), 4, 85, 100).collect()}
+    want = plain_links(rows, 4, 85, 100)
+    assert min(want[:40]) == 39 and max(want[40:]) > 0
+    assert [found[k] for k, _ in rows] == want
