@@ -106,3 +106,21 @@ def test_skip_edges_carry_a_label_to_a_repeated_word():
         pii.marginals(pii.Graph(features, np.zeros((0, 2), int), g.skip), pii.Field(unary, np.zeros((5, 5)), s)) for s in (0.0, 3.0)
     )
     assert linked[1, 4] > 0.6 > alone[1, 4]
+
+
+def test_messages_reach_every_repeat_of_a_word():
+    """Along a chain of skip edges the marginals are those of a Markov chain."""
+    n, strength = 30, 6.0
+    features = np.zeros((n, pii.WIDTH), np.float32)
+    features[0, 0] = 1
+    unary = np.zeros((pii.WIDTH, pii.LABELS))
+    unary[0, 4] = 8.0
+    g = pii.Graph(features, np.zeros((0, 2), int), np.array([[i, i + 1] for i in range(n - 1)]))
+    step = np.exp(np.eye(pii.LABELS) * strength)
+    want = [np.exp(unary[0])]
+    for _ in range(n - 1):
+        want.append(want[-1] @ step)
+    want = np.array([w / w.sum() for w in want])
+    assert want[20, 4] > 0.7
+    found = pii.marginals(g, pii.Field(unary, np.zeros((5, 5)), strength))
+    assert np.allclose(found, want, atol=1e-4)
