@@ -10,6 +10,10 @@ from folioseek.operators import blocks
 
 
 def brute(ids, rows, queries, k, metric):
+    if metric == "bits":
+        differing = [[sum((int(a) ^ int(b)).bit_count() for a, b in zip(r, q)) for r in rows] for q in queries]
+        order = [sorted(range(len(ids)), key=lambda i: (d[i], ids[i]))[:k] for d in differing]
+        return [(j, int(ids[i])) for j, places in enumerate(order) for i in places]
     rows, queries = blocks.prepared(rows, metric), blocks.prepared(queries, metric)
     found = []
     for j, q in enumerate(queries):
@@ -36,12 +40,15 @@ def test_equals_brute_force(metric, seed, n, q, dim, k, batch, grid, scale):
     rng = np.random.default_rng(seed)
     rows = rng.standard_normal((n, dim))
     queries = rng.standard_normal((q, dim))
-    if grid:  # many ties and zero vectors
+    if metric == "bits":
+        most = 4 if grid else 2**63
+        rows, queries = (rng.integers(0, most, x.shape).astype(np.uint64) for x in (rows, queries))
+    elif grid:  # many ties and zero vectors
         rows, queries = np.round(rows), np.round(queries)
     if metric == "spherical":
         rows = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
         queries = queries / np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-12)
-    else:
+    elif metric != "bits":
         rows, queries = rows * scale, queries * scale
     ids = rng.permutation(n)
     assert answer(ids, rows, queries, k, metric, batch) == brute(ids, rows, queries, k, metric)

@@ -60,9 +60,13 @@ def test_load_tables_prunes_and_renames(spark, tables):
 def test_scan_reads_needed_columns_and_pushes_filters(spark, sf_dir):
     from folioseek.plans.catalog import QUERIES
 
-    plan = QUERIES["src_1_table_scan"].job(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
-    assert "EqualTo(lang,de)" in plan
-    assert "ReadSchema: struct<doc_id:bigint,lang:string,source:string,n_chars:bigint>" in plan
+    def plan(name):
+        return QUERIES[name].job(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+    assert "ReadSchema: struct<doc_id:bigint,lang:string,source:string,n_chars:bigint>" in plan("src_1_table_scan")
+    filtered = plan("flt_2_condition_list")
+    assert "EqualTo(lang,en)" in filtered and "GreaterThan(n_chars,1000)" in filtered
+    assert "text" not in filtered.split("ReadSchema")[1]
 
 
 def test_missing_columns_are_errors_but_for_optional_ones(spark):
