@@ -195,3 +195,26 @@ def gram_buckets(points: np.ndarray, offsets: np.ndarray, width: int, bits: int)
         whole[at[at >= offsets[:-1]]] = False
     runs = np.maximum(np.diff(offsets) - width + 1, 0)
     return buckets[whole[:count]], np.concatenate([[0], np.cumsum(runs)])
+
+
+def joined_words(
+    data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACES, fold: bool = False
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all words, one space after each; where each word begins and ends; words before each text.
+
+    With ``fold`` ASCII capitals become small letters.
+    """
+    if not len(data):
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint8), none, none, np.zeros(len(offsets), np.int64)
+    begin, end = word_spans(data, offsets, separators)
+    length = end - begin
+    new_end = np.cumsum(length + 1) - 1
+    new_begin = new_end - length
+    joined = np.full(int(new_end[-1]) + 1 if len(end) else 0, 32, np.uint8)
+    inside = np.flatnonzero(~separators[data])
+    own = data[inside]
+    if fold:
+        own = np.where((own >= 65) & (own <= 90), own + 32, own).astype(np.uint8)
+    joined[inside + np.repeat(new_begin - begin, length)] = own
+    return joined, new_begin, new_end, np.searchsorted(begin, offsets)

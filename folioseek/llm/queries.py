@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioseek.llm import fingerprint, jaccard, langid, native_queries, pii, quality, suffix_tree, tokens  # noqa: F401
+from folioseek.llm import fingerprint, importance, jaccard, langid, native_queries, pii, quality, sql, suffix_tree, tokens, vectors  # noqa: F401
 from folioseek.llm.registry import QUERIES, SQL, query, read
 from folioseek.plans.sizing import work_path
 
@@ -83,3 +83,16 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's component under links of 85 % of 4-word shingles."""
     return jaccard.group(read(spark, sf_dir, "documents", "doc_id", "text"), width=4, num=85, den=100).drop("text_hash")
+
+
+@query("op12_importance_resampling", sql.OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight towards the benchmark's words, and the quarter that is drawn."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    return importance.resample(docs, read(spark, sf_dir, "benchmark", "text"), seed=7, num=25, den=100)
+
+
+@query("op13_embedding_near_dedup", sql.OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links of cosine 0.98 within its label, and its component."""
+    return vectors.near_copies(read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"), least=0.98)
