@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioseek.llm import fingerprint, importance, jaccard, langid, native_queries, pii, quality, sql, suffix_tree, tokens, vectors  # noqa: F401
+from folioseek.llm import fingerprint, importance, jaccard, langid, native_queries, periodic, pii, quality, sql, suffix_tree, tokens, vectors  # noqa: F401
 from folioseek.llm.registry import QUERIES, SQL, query, read
 from folioseek.plans.sizing import work_path
 
@@ -96,3 +96,33 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector's links of cosine 0.98 within its label, and its component."""
     return vectors.near_copies(read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"), least=0.98)
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Documents of which a tenth, by the hash of the id, repeat one stretch of their words to the end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    cut = docs.select("doc_id", "text", F.regexp_extract_all("text", F.lit("[^\\x20\\x09-\\x0D]+"), 0).alias("w"), h.alias("h"))
+    n, g = F.size("w"), F.floor(F.col("h") / 10)
+    at = cut.withColumn("a", g % F.greatest(n, F.lit(1))).withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + g % 8)))
+    word = lambda i: F.get("w", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))
+    planted = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1), word), " ")
+    return at.select("doc_id", F.when((F.col("h") % 10 == 0) & (n > 0), planted).otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's runs of words, the longest of them, and its text without the repeats."""
+    found = periodic.collapse(with_planted_runs(read(spark, sf_dir, "documents", "doc_id", "text")))
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("back"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    length = -F.col("best.back")
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        length.alias("length"),
+        F.col("best.period").alias("period"),
+        F.floor(1000 * length / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
