@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -113,12 +115,46 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's own setting to remove a query's shuffle files as soon as the query has ended.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffle_files_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside leave no shuffle files behind; the session's own setting comes back afterwards."""
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write ``df`` as a table in the shared folder and read it back."""
+    """Cut lineage: write ``df`` as a table in the shared folder and read it back.
+
+    The shuffle files of the write are removed at its end, as nothing reads them again. ``release``
+    removes the table.
+    """
     spark = df.sparkSession
     path = work_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with shuffle_files_removed(spark):
+        df.write.parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._work_path = path
+    return stored
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder and all below it, wherever Spark's paths lead."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
+def release(*stored: DataFrame) -> None:
+    """Remove tables that ``materialize`` wrote; nothing may read them, or what was derived from them, again."""
+    for df in stored:
+        remove_path(df.sparkSession, df._work_path)
 
 
 def dense_ids(

@@ -109,3 +109,14 @@ def test_shared_dir_is_the_configured_one(spark):
         conf = Conf()
 
     assert sizing.shared_dir(Session()) == "hdfs://folder/checkpoints"
+
+
+def test_stored_tables_are_released_and_shuffles_removed(spark):
+    before = spark.conf.get(sizing.SHUFFLE_CLEANUP, None)
+    kept = sizing.materialize(spark.range(50).repartition(3, "id"), "kept")
+    gone = sizing.materialize(spark.range(50).repartition(3, "id"), "gone")
+    assert spark.conf.get(sizing.SHUFFLE_CLEANUP, None) == before
+    sizing.release(gone)
+    assert kept.count() == 50
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        spark.read.parquet(gone._work_path)
