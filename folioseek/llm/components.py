@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioseek.plans.sizing import materialize
+from folioseek.plans.sizing import materialize, release
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``node``, ``component`` (its smallest node) of every node of the edges (``a``, ``b``).
 
     Each round takes the smallest label among a node and its neighbours, then follows labels
-    once, so distances halve; labels are written to the shared folder after each round. Only a
+    once, so distances halve; labels are written to the shared folder after each round and those before removed. Only a
     count of changed labels comes to the driver.
     """
     both = materialize(
@@ -36,9 +36,12 @@ def components(edges: DataFrame) -> DataFrame:
             ),
             "lowered",
         )
+        release(labels)
         onward = lowered.select(F.col("node").alias("component"), F.col("component").alias("next"))
         labels = materialize(
             lowered.join(onward, "component").select("node", "old", F.col("next").alias("component")), "labels"
         )
+        release(lowered)
         if labels.where("old <> component").limit(1).count() == 0:
+            release(both)
             return labels.select("node", "component")

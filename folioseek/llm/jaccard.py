@@ -22,6 +22,7 @@ pairs and whole sets verify them; only counts leave a cell.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from folioseek.llm import batches
 from folioseek.llm.components import components
 from folioseek.llm.joins import lookup
 from folioseek.plans.shipping import ship_package
-from folioseek.plans.sizing import materialize
+from folioseek.plans.sizing import materialize, release
 
 #: Groups of the points in a tree, and most groups of the points that its survivors are checked by.
 COARSE, WIDEST = 16, 256
@@ -67,15 +68,18 @@ def point(shingles: np.ndarray, groups: int) -> np.ndarray:
 def bucket_point(shingles: np.ndarray) -> bytes:
     """The point that goes into buckets: about a group per shingle, ``WIDEST`` at most.
 
-    One byte per count, or two if a count needs them; the first two bytes tell which.
+    One byte per count, or two or four if a count needs them; the first two bytes tell which.
     """
-    counts = point(shingles, min(WIDEST, max(COARSE, 1 << (len(shingles) - 1).bit_length())))
-    kind = "u1" if counts.max() < 256 else "<u2"
+    return stored_point(point(shingles, min(WIDEST, max(COARSE, 1 << (len(shingles) - 1).bit_length()))))
+
+
+def stored_point(counts: np.ndarray) -> bytes:
+    kind = next(k for k in ("u1", "<u2", "<u4") if counts.max() < 1 << 8 * np.dtype(k).itemsize)
     return bytes([len(counts).bit_length() - 1, np.dtype(kind).itemsize]) + counts.astype(kind).tobytes()
 
 
 def read_point(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, "u1" if raw[1] == 1 else "<u2", offset=2).astype(np.int64)
+    return np.frombuffer(raw, f"<u{raw[1]}", offset=2).astype(np.int64)
 
 
 def fine_survivors(pairs: np.ndarray, raw: list[bytes], sizes: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -223,8 +227,10 @@ def _frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(-n)
     fitting = n[order][np.cumsum(m[order]) <= FREQUENT_KEPT]
     if not len(fitting):
+        release(counted)
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     rows = counted.where(F.col("n") >= int(fitting[-1])).toArrow()
+    release(counted)
     keys, counts = rows.column(0).to_numpy().view(np.uint64), rows.column(1).to_numpy()
     order = np.argsort(keys)
     return keys[order], counts[order]
@@ -272,12 +278,14 @@ def describe(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
             if keys:
                 yield flush(batch.num_rows)
 
-    return materialize(
+    described = materialize(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text")).mapInArrow(
             rows, "doc_id bigint, text_hash bigint, n bigint, key bigint, point binary, prefix array<bigint>"
         ),
         "described",
     )
+    sent.destroy()
+    return described
 
 
 def _pair(a: Column | str, b: Column | str) -> list[Column]:
@@ -325,14 +333,14 @@ def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, nu
         return pairs.select("a", "b", "va", "vb")
 
     def fine(own: np.ndarray) -> bytes:
-        return len(own).to_bytes(8, "little") + point(own, fine_groups(len(own))).astype("<u2").tobytes()
+        return len(own).to_bytes(8, "little") + stored_point(point(own, fine_groups(len(own))))
 
     def enough(shared: int, na: int, nb: int) -> bool:
         return shared * (num + den) >= num * (na + nb)
 
     def may_link(x: bytes, y: bytes) -> bool:
         na, nb = int.from_bytes(x[:8], "little"), int.from_bytes(y[:8], "little")
-        p, q = (np.frombuffer(v, "<u2", offset=8).astype(np.int64) for v in (x, y))
+        p, q = read_point(x[8:]), read_point(y[8:])
         groups = min(len(p), len(q))
         return enough(int(np.minimum(folded(p, groups), folded(q, groups)).sum()), na, nb)
 
@@ -350,9 +358,12 @@ def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, nu
         return rows
 
     points = of_documents(left, fine, "points")
-    left = materialize(both(left, points).mapInArrow(passed(may_link), "a bigint, b bigint").distinct(), "pairs")
-    sets = of_documents(left, lambda own: own.astype("<u8").tobytes(), "sets")
-    return materialize(both(left, sets).mapInArrow(passed(link), "a bigint, b bigint").distinct(), "links")
+    near = materialize(both(left, points).mapInArrow(passed(may_link), "a bigint, b bigint").distinct(), "pairs")
+    release(left, points)
+    sets = of_documents(near, lambda own: own.astype("<u8").tobytes(), "sets")
+    found = materialize(both(near, sets).mapInArrow(passed(link), "a bigint, b bigint").distinct(), "links")
+    release(near, sets)
+    return found
 
 
 def _tree_pairs(num: int, den: int):
@@ -414,8 +425,8 @@ def _tree_pairs(num: int, den: int):
     return rows
 
 
-def links(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Described documents, verified links between set keys, and component of each linked key."""
+def links(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Described documents, and the component of each key of a set that links with another."""
     ship_package(docs.sparkSession)
     described = describe(docs, width, num, den)
     known = described.where("key is not null and doc_id is not null")
@@ -433,6 +444,7 @@ def links(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, D
         "buckets",
     )
     shared = materialize(lookup(members, buckets, "shingle"), "shared")
+    release(buckets)
     centers = ["least", "most", *[f"center{i}" for i in range(CENTERS)]]
     stars = shared.select(F.explode(F.array(*[F.struct(*_pair("key", c)) for c in centers])).alias("p"))
     first = verify(docs, classes, stars.select("p.*").where("a <> b"), width, num, den)
@@ -451,8 +463,10 @@ def links(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, D
     )
     again = inside.select("shingle", "key", "comp").join(largest, "shingle").where("comp <> top.comp")
     again = again.select(F.explode(F.array(*[F.struct(*_pair("key", f"top.d{i}")) for i in range(CENTERS + 1)])).alias("p"))
-    first = first.union(verify(docs, classes, again.select("p.*"), width, num, den))
-    inside = materialize(placed(first), "inside")
+    second = verify(docs, classes, again.select("p.*"), width, num, den)
+    release(inside)
+    inside = materialize(placed(first.union(second)), "inside")
+    release(shared)
     # buckets in which some pair is open: more than one component, and more than the two ends
     open_buckets = (
         inside.groupBy("shingle")
@@ -460,10 +474,11 @@ def links(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, D
         .where("x <> y and more")
         .select("shingle")
     )
+    open_buckets = materialize(open_buckets, "open")
     points = known.select("key", "n", "point").dropDuplicates(["key"])
     blocks = F.ceil(F.col("m") / BLOCK)
     cells = (
-        lookup(inside, materialize(open_buckets, "open"), "shingle", "left_semi")
+        lookup(inside, open_buckets, "shingle", "left_semi")
         .select("shingle", "m", "key", "comp")
         .distinct()
         .join(points, "key")
@@ -477,8 +492,9 @@ def links(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, D
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = cells.repartition(n, "shingle", "block_a", "block_b").sortWithinPartitions("shingle", "block_a", "block_b")
     more = ordered.mapInArrow(_tree_pairs(num, den), "a bigint, b bigint")
-    found = first.union(verify(docs, classes, more, width, num, den))
-    return described, found, components(found)
+    found = reduce(DataFrame.union, [first, second, verify(docs, classes, more, width, num, den)])
+    release(inside, open_buckets, classes)
+    return described, components(found)
 
 
 def _cell_links(num: int, den: int):
@@ -543,7 +559,7 @@ def degrees(docs: DataFrame, described: DataFrame, labels: DataFrame, width: int
             yield out(keys, values)
 
     # the texts of one id may differ, so sets are looked up by their key
-    sets = materialize(texts.select("text").mapInArrow(rows, "key bigint, v binary"), "sets").dropDuplicates(["key"])
+    sets = materialize(texts.select("text").mapInArrow(rows, "key bigint, v binary"), "sets")
     blocks = materialize(
         members.groupBy("component")
         .agg(F.greatest(F.ceil(F.count(F.lit(1)) / COUNTED_SETS), F.ceil(F.sum("n") / COUNTED_SHINGLES)).cast("long").alias("blocks")),
@@ -552,39 +568,39 @@ def degrees(docs: DataFrame, described: DataFrame, labels: DataFrame, width: int
     cells = (
         members.join(blocks, "component")
         .withColumn("block", F.pmod(F.xxhash64("key"), "blocks"))
-        .join(sets, "key")
+        .join(sets.dropDuplicates(["key"]), "key")
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         .select("component", F.least("block", "other").alias("block_a"), F.greatest("block", "other").alias("block_b"), "block", "key", "v")
     )
     counted = cells.groupBy("component", "block_a", "block_b").applyInArrow(_cell_links(num, den), "key bigint, n bigint")
-    return materialize(counted.groupBy("key").agg(F.sum("n").alias("n_links")), "degrees")
+    found = materialize(counted.groupBy("key").agg(F.sum("n").alias("n_links")), "degrees")
+    release(sets, blocks, members)
+    return found
 
 
-def group(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def group(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, count_links: bool = True) -> DataFrame:
     """One row per document (doc_id, text): doc_id, text_hash, n_shingles, component_id, n_links.
 
     Documents link when the Jaccard similarity of their shingle sets is at least ``num / den``;
     words are lower-cased in ASCII and split at ASCII white space. ``component_id`` is the least
-    doc_id that links lead to, its own included; ``n_links`` counts linked other sets. Null and
-    empty texts have no shingles and link with nothing, nor do rows with a null id, whose
-    component is null. Rows with one id and different texts are separate rows.
+    doc_id that links lead to, its own included; ``n_links`` counts linked other sets and is left out
+    without ``count_links``. Null and empty texts have no shingles and link with nothing, nor do rows
+    with a null id, whose component is null. Rows with one id and different texts are separate rows.
     """
-    described, _, labels = links(docs, width, num, den)
+    described, labels = links(docs, width, num, den)
     labels = materialize(labels, "labels")
-    degree = degrees(docs, described, labels, width, num, den)
     classes = described.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
     placed = classes.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn(
         "component", F.coalesce("component", "key")
     )
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = placed.join(least, "component").join(degree, "key", "left").select("key", "component_id", "n_links")
-    return described.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "key").join(named, "key", "left").select(
-        "doc_id",
-        "text_hash",
-        "n_shingles",
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
-        F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
-    )
+    named = placed.join(least, "component").select("key", "component_id")
+    columns = ["doc_id", "text_hash", F.col("n").alias("n_shingles")]
+    columns.append(F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    if count_links:
+        named = named.join(degrees(docs, described, labels, width, num, den), "key", "left")
+        columns.append(F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    return described.drop("point", "prefix").join(named, "key", "left").select(*columns)
 
 
 def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -593,7 +609,7 @@ def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100)
     All columns stay as they are. Documents without shingles and rows with a null id stay. Of
     rows repeated with id and text one stays.
     """
-    grouped = materialize(group(docs, width, num, den).where("doc_id is not null and n_shingles > 0"), "grouped")
+    grouped = materialize(group(docs, width, num, den, count_links=False).where("doc_id is not null and n_shingles > 0"), "grouped")
     row = F.concat_ws(":", "doc_id", "text_hash").alias("_row")
     going = grouped.where("doc_id <> component_id").select(row).distinct()
     again = grouped.where("doc_id = component_id").select(row).groupBy("_row").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
