@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioseek.operators import blocks
-from folioseek.operators.search import by_grid, exact_top_k, per_query_top, queries_within, query_block
+from folioseek.operators import blocks, query_blocks
+from folioseek.operators.search import by_grid, exact_top_k, many_tasks, per_query_top, queries_within, query_block
 from folioseek.plans import sizing
 from folioseek.plans.shipping import ship_package
 
@@ -104,16 +104,10 @@ def search_index(
 
 
 def nearest_lists(queries: DataFrame, centroids: DataFrame, probes: int, metric: str = "l2") -> DataFrame:
-    """``(query_id, list_id)`` of the ``probes`` nearest centroids of each query."""
+    """``(query_id, list_id, place)`` of the ``probes`` nearest centroids of each query."""
     lists = centroids.select(F.col("list_id").cast("long").alias("id"), F.col("centroid").alias("embedding"))
-    return exact_top_k(lists, queries, probes, metric).select("query_id", F.col("id").cast("int").alias("list_id"))
-
-
-def _queries_per_list(block: blocks.QueryBlock, centroids: blocks.QueryBlock, probes: int) -> dict[int, np.ndarray]:
-    """Which queries probe which list; both sides are bounded and already on the driver."""
-    nearest = blocks.QueryBlock(block.ids, block.vectors, probes, block.metric)
-    query, list_id, _ = blocks.top_k(iter([(centroids.ids, centroids.vectors)]), nearest).rows()
-    return {int(one): query[list_id == one] for one in np.unique(list_id)}
+    found = exact_top_k(lists, queries, probes, metric)
+    return found.select("query_id", F.col("id").cast("int").alias("list_id"), F.col("rank").alias("place"))
 
 
 def ivf_search(
@@ -128,37 +122,24 @@ def ivf_search(
 ) -> DataFrame:
     """k nearest among the rows of the ``probes`` nearest lists of each query.
 
-    Only probed list folders are scanned. With every list probed the result equals the exact
-    search. ``metric`` is the one the lists were assigned by. Queries within ``max_query_bytes`` go to every task; a larger set meets the rows
-    list by list, hot lists cut into blocks.
+    The probed lists of all queries are a table; its lists prune the folders that are scanned, while
+    the job runs. The queries of each list are stored as blocks of ``max_query_bytes`` in a folder
+    of their own, which the tasks that hold rows of that list lead past them, so neither rows nor
+    probes pass through the driver or a shuffle by list. With every list probed the result equals the
+    exact search. ``metric`` is the one the lists were assigned by.
     """
     queries = queries.select("query_id", "q").filter(F.col("q").isNotNull())
-    rows = queries_within(queries, max_query_bytes)
     stored = spark.read.parquet(path).select("id", "embedding", "list_id")
-    if rows is None:
-        probed = nearest_lists(queries, centroids, probes, metric)
-        local = by_grid(stored, queries.join(probed, "query_id"), k, metric, max_query_bytes, on="list_id")
-        return per_query_top(local, "query_id", k)
-
-    block = query_block(rows, k, metric)
-    asked = _queries_per_list(block, _centroid_block(centroids, metric), probes)
-    ship_package(spark)
-    held = spark.sparkContext.broadcast((block, asked))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, asked = held.value
-        best = blocks.Best(len(block.ids), block.k)
-        for batch in batches:
-            list_ids = batch.column("list_id").to_numpy()
-            ids = batch.column("id").to_numpy()
-            vectors = blocks.matrix(batch.column("embedding"), block.vectors.shape[1])
-            for list_id in np.unique(list_ids):
-                here, at = list_ids == list_id, asked[int(list_id)]
-                blocks.offer(best, vectors[here], ids[here], block.vectors[at], block.metric, at)
-        yield blocks.result_batch(best, block)
-
-    local = stored.filter(F.col("list_id").isin(sorted(asked))).mapInArrow(scan, blocks.RESULT_SCHEMA)
-    return per_query_top(local, "query_id", k)
+    probed = sizing.materialize(nearest_lists(queries, centroids, probes, metric), "probed")
+    asked = queries.join(probed, "query_id").withColumn("k", F.lit(k))
+    folder = query_blocks.work_folder(spark)
+    if not query_blocks.readable(folder):
+        return per_query_top(by_grid(stored, asked, k, metric, max_query_bytes, on="list_id"), "query_id", k)
+    query_blocks.write(asked, folder, metric, max_query_bytes, by="list_id")
+    # one row per list, of which there are as many as centroids within their own bound
+    lists = probed.filter(F.col("place") <= probes).select("list_id").distinct()
+    pruned = stored.join(F.broadcast(lists), "list_id", "left_semi")
+    return per_query_top(query_blocks.scan(pruned, folder, metric, by="list_id"), "query_id", k, many_tasks(stored))
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioseek.functions import bits, text
-from folioseek.operators import blocks
+from folioseek.operators import blocks, query_blocks
 from folioseek.plans import sizing
 from folioseek.plans.shipping import ship_package
 from folioseek.sources.store import ChunkStore
@@ -25,6 +25,10 @@ MAX_TOP_K = 20
 FEW_QUERIES = 256
 HIT_BYTES = 64
 SNIPPET_BYTES = 8192
+#: Hits that a task holds at most for queries that were sent to it; past it queries are stored as blocks.
+STATE_BYTES = 256 * 1024 * 1024
+#: Tasks whose hits are merged together before those of all tasks are.
+FAN_IN = 256
 
 
 def validate_requests(requests: DataFrame) -> DataFrame:
@@ -56,13 +60,27 @@ def searchable(
     return sizing.lookup_join(kept, done, "doc_id", "left_semi", limit, spread="id", measure=True)
 
 
-def per_query_top(scored: DataFrame, query: str, k: Column | int) -> DataFrame:
-    """The ``k`` smallest scores of each query; Spark trims every task before the shuffle."""
-    window = Window.partitionBy(query).orderBy(*oldest_first("score", "id"))
-    ranked = scored.withColumn("rank", F.row_number().over(window))
+def per_query_top(scored: DataFrame, query: str, k: Column | int, fan_in: int | None = None) -> DataFrame:
+    """The ``k`` smallest scores of each query; Spark trims every task before the shuffle.
+
+    With ``fan_in`` the hits of so many tasks are merged first, and what is left of them per query, so
+    that no task receives the hits of all tasks for one query. ``scored`` must not be shuffled yet.
+    """
+    order = oldest_first("score", "id")
+    if fan_in is not None:
+        scored = scored.withColumn("_group", F.floor(F.spark_partition_id() / fan_in))
+        first = F.row_number().over(Window.partitionBy(query, "_group").orderBy(*order))
+        scored = scored.withColumn("_place", first).filter(F.col("_place") <= k).drop("_place", "_group")
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(*order)))
     return ranked.filter(F.col("rank") <= k)
 
 
+def many_tasks(vectors: DataFrame) -> int | None:
+    """``FAN_IN`` where reading ``vectors`` takes more tasks than that, by their estimated size."""
+    split = int(vectors.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return FAN_IN if sizing.estimated_bytes(vectors) > FAN_IN * split else None
+
+
 def query_block(rows: pa.Table, k: int, metric: str) -> blocks.QueryBlock:
     ids = rows.column("query_id").to_numpy().astype("int64")
     return blocks.QueryBlock(ids, blocks.rows_of(rows.column("q"), metric), k, metric)
@@ -76,19 +94,6 @@ def _arrow_batches(batches: Iterator[pa.RecordBatch], block: blocks.QueryBlock):
             yield batch.column("id").to_numpy(zero_copy_only=False), rows
 
 
-def _by_query_block(vectors: DataFrame, block: blocks.QueryBlock) -> DataFrame:
-    """One pass over ``vectors``; the block travels as a broadcast variable, fetched once per executor."""
-    ship_package(vectors.sparkSession)
-    held = vectors.sparkSession.sparkContext.broadcast(block)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = held.value
-        best = blocks.top_k(_arrow_batches(batches, block), block)
-        yield blocks.result_batch(best, block)
-
-    return vectors.select("id", "embedding").mapInArrow(scan, blocks.RESULT_SCHEMA)
-
-
 def by_grid(
     vectors: DataFrame, queries: DataFrame, k: int, metric: str, cell_bytes: int, on: str | None = None
 ) -> DataFrame:
@@ -96,7 +101,8 @@ def by_grid(
 
     Rows repeat once per query block and queries once per row block; a cell emits at most
     ``k`` rows per query. With ``on``, a column of both sides, only equal values meet, and
-    each value is cut by its own size, so a hot value becomes many cells.
+    each value is cut by its own size, so a hot value becomes many cells. This is the way for
+    shared folders that tasks cannot open themselves; otherwise queries are stored as blocks.
     """
     ship_package(vectors.sparkSession)
 
@@ -108,7 +114,7 @@ def by_grid(
         """``df`` with the block counts of both sides for its value of ``on``."""
         if on is None:
             return df.withColumns({"rbs": F.lit(row_blocks), "qbs": F.lit(query_blocks)})
-        return df.join(F.broadcast(counts), on)  # one small row per value
+        return df.join(F.broadcast(counts) if sizing.fits_broadcast(counts, measure=True) else counts, on)
 
     if on is None:
         row_blocks = vectors.agg(block_count("embedding")).first()[0]
@@ -153,16 +159,30 @@ def queries_within(queries: DataFrame, max_bytes: int) -> pa.Table | None:
 def _exact(
     vectors: DataFrame, queries: DataFrame, k: int, metric: str, max_query_bytes: int
 ) -> tuple[DataFrame, int | None]:
-    """Hits, and the most rows they can have where that is known."""
+    """Hits, and the most rows they can have where that is known.
+
+    ``queries`` may carry their own numbers of hits in ``_k``; hits beyond a query's own are among
+    those returned.
+    """
     if metric not in blocks.METRICS:
         raise ValueError(f"unknown metric {metric!r}; one of {', '.join(blocks.METRICS)}")
-    queries = queries.filter(F.col("q").isNotNull()).select("query_id", "q")
+    own = F.col("_k") if "_k" in queries.columns else F.lit(k)
+    queries = queries.filter(F.col("q").isNotNull()).select("query_id", "q", own.cast("int").alias("k"))
     vectors = vectors.filter(F.col("embedding").isNotNull())
+    fan_in = many_tasks(vectors)
     rows = queries_within(queries, max_query_bytes)
-    if rows is None:
+    if rows is not None:
+        held = query_blocks.of_table(rows, metric, max_query_bytes)
+        most = sum(len(block.ids) * block.k for block in held)
+        if query_blocks.HIT_STATE * most <= STATE_BYTES:
+            found = query_blocks.scan_sent(vectors, held)
+            return per_query_top(found, "query_id", k, fan_in), most
+    spark = vectors.sparkSession
+    path = query_blocks.work_folder(spark)
+    if not query_blocks.readable(path):
         return per_query_top(by_grid(vectors, queries, k, metric, max_query_bytes), "query_id", k), None
-    found = per_query_top(_by_query_block(vectors, query_block(rows, k, metric)), "query_id", k)
-    return found, k * len(rows)
+    query_blocks.write(queries, path, metric, max_query_bytes)
+    return per_query_top(query_blocks.scan(vectors, path, metric), "query_id", k, fan_in), None
 
 
 def broadcast_within(df: DataFrame, rows: int | None, row_bytes: int) -> DataFrame:
@@ -180,7 +200,8 @@ def exact_top_k(
     """Exact k nearest of ``vectors(id, embedding)`` for ``queries(query_id, q)``.
 
     Result ``(query_id, id, score, rank)``. A query set within ``max_query_bytes`` is sent to
-    every task; a larger one is hash-partitioned against the rows, with equal results.
+    every task; a larger one is stored as blocks of that size, which every task leads past its own
+    rows. ``vectors`` are not shuffled either way, and results are equal.
     """
     found, bound = _exact(vectors, queries, k, metric, max_query_bytes)
     return broadcast_within(found, bound, HIT_BYTES)
@@ -293,10 +314,11 @@ def quantised_search(
     rows = codes.select("id", F.col("code").alias("embedding"))
     found, bound = _exact(rows, asked_codes, k * oversample, "bits", sizing.COLLECT_BYTES)
     short = found.select("query_id", "id", F.col("score").alias("hamming"))
+    # the floats of the queries are 32 times their codes, so their own size decides
     scored = (
         vectors.select("id", "embedding")
         .join(broadcast_within(short, bound, HIT_BYTES), "id")
-        .join(F.broadcast(queries) if bound is not None else queries, "query_id")
+        .join(F.broadcast(queries) if sizing.fits_broadcast(queries, measure=True) else queries, "query_id")
         .select("query_id", "id", "hamming", l2_distance("embedding", "q").alias("score"))
     )
     return per_query_top(scored, "query_id", k)

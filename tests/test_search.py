@@ -3,12 +3,13 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pytest
 from conftest import values
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from folioseek.operators import ann, search
+from folioseek.operators import ann, query_blocks, search
 from folioseek.plans import sizing
 
 DIM = 6
@@ -223,3 +224,73 @@ def test_packed_codes_rank_as_sign_bits_do(spark):
     with pytest.raises(Exception, match="different numbers of words"):
         short = spark.createDataFrame([(1, [1.0])], "query_id long, q array<float>")
         search.quantised_search(vectors, short, 4, 3, codes).collect()
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stored_query_blocks_leave_the_vectors_where_they_are(spark, vectors, queries):
+    stored = sizing.materialize(vectors, "vectors")
+    found = search.exact_top_k(stored, queries, 4, max_query_bytes=2000)
+    assert values(found, "query_id", "rank", "id") == brute(vectors, queries, 4)
+    # the one exchange merges hits; below the job that makes hits, rows come straight from the scan
+    above, below = plan_of(found).split("MapInArrow")
+    assert above.count("Exchange hashpartitioning(query_id") == 1 and "Exchange" not in below
+
+
+def test_pieces_of_rows_and_blocks_may_be_small(spark, vectors, queries, monkeypatch):
+    path = query_blocks.work_folder(spark)
+    query_blocks.write(queries.withColumn("k", F.lit(4)), path, "l2", 300)
+    many = query_blocks.scan(vectors, path, "l2", held=200)
+    assert values(search.per_query_top(many, "query_id", 4), "query_id", "rank", "id") == brute(vectors, queries, 4)
+    held = list(query_blocks.stored(path, "l2"))
+    assert len(held) > 50 and sum(len(b.ids) for b in held) == 300
+
+
+def test_hits_are_merged_in_two_steps(spark, vectors, queries):
+    dealt = vectors.repartition(12)
+    scanned = query_blocks.scan_sent(dealt, query_blocks.of_table(queries.withColumn("k", F.lit(4)).toArrow(), "l2", 1 << 20))
+    found = search.per_query_top(scanned, "query_id", 4, fan_in=3)
+    assert values(found, "query_id", "rank", "id") == brute(vectors, queries, 4)
+    steps = [line for line in plan_of(found).splitlines() if "Exchange hashpartitioning" in line]
+    assert len(steps) == 2 and "_group" in steps[1] and "_group" not in steps[0]
+    # of the 12 tasks' 4 hits a query, one task of the first step receives those of 3 at most, the last those of 4 groups
+    groups = scanned.withColumn("g", F.floor(F.spark_partition_id() / 3)).groupBy("query_id", "g").count()
+    assert groups.agg(F.max("count")).first()[0] <= 12
+    assert groups.select("g").distinct().count() == 4
+
+
+def test_queries_with_many_hits_stand_apart(spark):
+    ids, k = np.arange(100), np.array([3] * 98 + [4000, 100_000])
+    split = list(query_blocks.split(ids, np.ones((100, 2)), k, "l2", 1 << 16))
+    assert sorted(i for b in split for i in b.ids.tolist()) == ids.tolist()
+    assert all(len(b.ids) == 1 or len(b.ids) * (16 + 24 * b.k) <= 1 << 16 for b in split)
+    assert [b.k for b in split] == [3, 4000, 100_000]
+
+
+@pytest.mark.parametrize("state", [1 << 28, 100])
+def test_hits_that_do_not_fit_a_task_go_by_blocks(spark, vectors, queries, monkeypatch, state):
+    monkeypatch.setattr(search, "STATE_BYTES", state)
+    found = search.exact_top_k(vectors, queries, 7)
+    assert values(found, "query_id", "rank", "id") == brute(vectors, queries, 7)
+
+
+def test_folders_that_tasks_cannot_open(spark, vectors, queries, monkeypatch):
+    assert not query_blocks.readable("viewfs://store/x") and query_blocks.readable("/tmp/x") and query_blocks.readable("file:///tmp/x")
+    monkeypatch.setattr(query_blocks, "readable", lambda path: False)
+    assert values(search.exact_top_k(vectors, queries, 4, max_query_bytes=2000), "query_id", "rank", "id") == brute(vectors, queries, 4)
+
+
+def test_probed_lists_prune_the_scan(spark, vectors, queries, lists):
+    path, centroids = lists
+    one = queries.filter("query_id IN (1, 4)")
+    found = ann.ivf_search(spark, path, centroids, one, 3, probes=2, max_query_bytes=100)
+    assert "dynamicpruning" in plan_of(found)
+    probed = ann.nearest_lists(one, centroids, 2).select("query_id", "list_id")
+    rows = spark.read.parquet(path).select("id", "embedding", "list_id")
+    want = []
+    for q in one.collect():
+        mine = rows.join(probed.filter(F.col("query_id") == q.query_id), "list_id").select("id", "embedding")
+        want += brute(mine, one.filter(F.col("query_id") == q.query_id), 3)
+    assert values(found, "query_id", "rank", "id") == sorted(want, key=repr)
