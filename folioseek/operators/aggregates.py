@@ -2,40 +2,30 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioseek.plans import sizing
 
 
-def _per_element(df: DataFrame, group: str, vector: str, combine, into: str) -> DataFrame:
-    """Aggregate each (group, position) with map-side partials, then put the vector together.
+def _summary(df: DataFrame, group: str, vector: str, metric: str, into: str) -> DataFrame:
+    """Aggregate whole vectors of each group in the JVM, with map-side partials of one vector per group and task.
 
-    A task sends one row per group and position, however large the group is; the collected
-    part is one vector. Vectors of unequal width are an error.
+    Null vectors are left out. Vectors of unequal width in a group, and null elements, are an error.
     """
-    elements = df.filter(F.col(vector).isNotNull()).select(
-        F.col(group), F.posexplode(vector).alias("pos", "x")
-    )
-    folded = elements.groupBy(group, "pos").agg(
-        combine(F.col("x").cast("double")).alias("x"), F.count(F.lit(1)).alias("n")
-    )
-    vectors = folded.groupBy(group).agg(
-        F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("v"),
-        F.min("n").alias("least"),
-        F.max("n").alias("most"),
-    )
-    wrong = F.raise_error(F.lit("different vector dimensions in a group")).cast("array<double>")
-    values = F.transform("v", lambda e: e["x"])
-    return vectors.select(group, F.when(F.col("least") != F.col("most"), wrong).otherwise(values).alias(into))
+    total = Summarizer.metrics(metric).summary(array_to_vector(vector)).alias("_s")
+    kept = df.filter(F.col(vector).isNotNull()).groupBy(group).agg(total)
+    return kept.select(group, vector_to_array(f"_s.{metric}").alias(into))
 
 
 def vector_avg(df: DataFrame, group: str, vector: str = "embedding", into: str = "centroid") -> DataFrame:
-    return _per_element(df, group, vector, F.avg, into)
+    return _summary(df, group, vector, "mean", into)
 
 
 def vector_sum(df: DataFrame, group: str, vector: str = "embedding", into: str = "total") -> DataFrame:
-    return _per_element(df, group, vector, F.sum, into)
+    return _summary(df, group, vector, "sum", into)
 
 
 def chunk_counts(chunks: DataFrame, condition: Column | None = None) -> DataFrame:
