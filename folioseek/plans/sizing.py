@@ -1,7 +1,8 @@
 """Size checks and skew-safe joins.
 
 A side is broadcast only after its estimated size has been looked at; past the bound the
-same join runs as a salted shuffle join, so one hot (or null) key never lands in one task.
+same join is a shuffle whose hot keys, counted first, and null keys are cut into parts, so none
+lands in one task.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 32 * 1024 * 1024
 COLLECT_BYTES = 64 * 1024 * 1024
-SALTS = 16
+#: Hot keys that a join looks for at most; beyond so many, each holds less than a thousandth of the rows.
+MOST_HOT = 1000
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -52,28 +54,58 @@ def lookup_join(
     key: str,
     how: str = "left",
     limit: int = BROADCAST_BYTES,
-    salts: int = SALTS,
+    salts: int | None = None,
     spread: str | None = None,
     measure: bool = False,
 ) -> DataFrame:
     """Join ``big`` to a lookup table on the shared column ``key``.
 
-    ``dim`` must hold each key once. Within ``limit`` it is broadcast and ``big`` is not
-    shuffled. Past it ``dim`` is repeated once per salt and ``big`` is spread over the salts
-    by a hash of ``spread`` (or of every column but the key), which also spreads null keys.
+    ``dim`` must hold each key once for a join that keeps the number of rows. Within ``limit`` it is broadcast
+    and ``big`` is not shuffled. Past it ``skew_join`` spreads hot and null keys.
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"lookup_join does not support {how!r}")
     added = [] if how in ("left_semi", "left_anti") else [c for c in dim.columns if c != key]
-    columns = [*big.columns, *added]
     if fits_broadcast(dim, limit, measure):
-        return big.join(F.broadcast(dim), key, how).select(*columns)
+        return big.join(F.broadcast(dim), key, how).select(*big.columns, *added)
+    return skew_join(big, dim, key, how, spread, salts).select(*big.columns, *added)
+
+
+def hot_keys(df: DataFrame, key: str, tasks: int) -> dict[int, int]:
+    """Hashes of the keys that hold more than twice an even task's rows, and the parts to cut them into.
+
+    One pass over the key column with a sketch of the most frequent keys; counts are upper bounds, which only
+    moves rows between tasks. A part is about a quarter of an even task's rows.
+    """
+    most = min(MOST_HOT, tasks)  # no more keys can hold that much
+    hashed = df.filter(F.col(key).isNotNull()).select(F.xxhash64(key).alias("h"))
+    rows, top = hashed.agg(F.count(F.lit(1)), F.expr(f"approx_top_k(h, {most}, {8 * most})")).first()
+    even = rows / tasks
+    return {item["item"]: min(4 * tasks, -(-4 * item["count"] // max(1, int(even)))) for item in top or [] if item["count"] > 2 * even}
+
+
+def skew_join(big: DataFrame, dim: DataFrame, key: str, how: str, spread: str | None = None, salts: int | None = None) -> DataFrame:
+    """Shuffle join in which no key's rows of ``big`` stay together if they are too many for a task.
+
+    Hot keys are counted first and cut by a hash of ``spread`` (or of every column but the key) into as
+    many parts as they need, ``salts`` at most; only their rows of ``dim`` are repeated, once per part. Rows
+    with a null key match nothing and are dealt out evenly.
+    """
+    spark = big.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hot = [(h, n if salts is None else min(n, salts)) for h, n in hot_keys(big, key, tasks).items()]
+    parts = F.broadcast(spark.createDataFrame(hot, "_hash long, _parts int"))  # MOST_HOT rows at most
     hashed = [spread] if spread else [c for c in big.columns if c != key]
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*hashed), F.lit(salts)))
-    copies = dim.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
-    )
-    return salted.join(copies, [key, "_salt"], how).select(*columns)
+    part = F.xxhash64(*hashed)
+
+    def marked(df: DataFrame) -> DataFrame:
+        return df.withColumn("_hash", F.xxhash64(key)).join(parts, "_hash", "left").drop("_hash") if hot else df.withColumn("_parts", F.lit(1))
+
+    cut = F.when(F.col(key).isNull(), F.pmod(part, F.lit(4 * tasks))).otherwise(F.pmod(part, F.coalesce("_parts", F.lit(1))))
+    left = marked(big).withColumn("_salt", cut.cast("int")).drop("_parts")
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
+    right = marked(dim.filter(F.col(key).isNotNull())).withColumn("_salt", copies).drop("_parts")
+    return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
 def fill_cores(df: DataFrame, *keys: str) -> DataFrame:

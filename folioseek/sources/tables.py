@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from folioseek.plans.sizing import BROADCAST_BYTES
 from folioseek.sources.schemas import SCHEMAS
 
 
@@ -113,13 +114,15 @@ def load_tables(spark: SparkSession, root: str, names: dict[str, str] | None = N
     })
 
 
-def join_path(tables: Tables, start: str, *path: str, how: str = "left") -> DataFrame:
+def join_path(tables: Tables, start: str, *path: str, how: str = "left", limit: int = BROADCAST_BYTES) -> DataFrame:
     """Follow foreign keys by name, e.g. ``join_path(t, "documents", "document_tags", "tag")``.
 
-    Columns come out prefixed with the path name (the start table with its own name).
+    Columns come out prefixed with the path name (the start table with its own name). A table within
+    ``limit`` is broadcast; past it hot and null keys are spread over the tasks.
     """
     from pyspark.sql import functions as F
 
+    from folioseek.plans import sizing
     from folioseek.sources.schemas import FOREIGN_KEYS
 
     def prefixed(name: str, prefix: str) -> DataFrame:
@@ -131,7 +134,7 @@ def join_path(tables: Tables, start: str, *path: str, how: str = "left") -> Data
         if step not in FOREIGN_KEYS.get(table, {}):
             raise ValueError(f"no path {step!r} from {table}")
         here, other, there = FOREIGN_KEYS[table][step]
-        right = prefixed(other, step)
-        joined = joined.join(right, F.col(f"{prefix}_{here}") == F.col(f"{step}_{there}"), how)
+        right = prefixed(other, step).withColumn("_key", F.col(f"{step}_{there}"))
+        joined = sizing.lookup_join(joined.withColumn("_key", F.col(f"{prefix}_{here}")), right, "_key", how, limit).drop("_key")
         table, prefix = other, step
     return joined

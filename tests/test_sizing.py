@@ -120,3 +120,53 @@ def test_stored_tables_are_released_and_shuffles_removed(spark):
     assert kept.count() == 50
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
         spark.read.parquet(gone._work_path)
+
+
+def task_shares(spark, make):
+    """Rows of each task of the joined table, without adaptive help."""
+    changed = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8"}
+    before = {key: spark.conf.get(key) for key in changed}
+    try:
+        for key, value in changed.items():
+            spark.conf.set(key, value)
+        sizes = [r["count"] for r in make().groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    return max(sizes) / sum(sizes)
+
+
+def test_only_hot_keys_are_cut_and_as_far_as_they_need(spark):
+    rows = spark.range(8000).select("id", F.expr("CASE WHEN id % 2 = 0 THEN -7 WHEN id % 10 = 1 THEN -8 ELSE id END AS k").alias("k"))
+    found = sizing.hot_keys(rows, "k", 16)
+    named = {r.h: r.k for r in spark.sql("SELECT xxhash64(k) AS h, k FROM VALUES (-7L), (-8L) t(k)").collect()}
+    assert {named[h]: n for h, n in found.items()} == {-7: 32}  # half of all rows; a tenth is below two tasks' share of 16
+    found = sizing.hot_keys(rows, "k", 40)
+    assert {named[h] for h in found} == {-7, -8} and found[next(h for h in found if named[h] == -8)] == 16
+    assert sizing.hot_keys(spark.range(500).withColumnRenamed("id", "k"), "k", 8) == {}
+    assert sizing.hot_keys(spark.range(5).select(F.lit(None).cast("long").alias("k")), "k", 8) == {}
+
+
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_keys_of_many_rows_on_both_sides(spark, how):
+    rows = spark.range(400).select("id", F.expr("CASE WHEN id % 4 = 0 THEN 1 WHEN id % 4 = 1 THEN NULL ELSE id END AS k").alias("k"))
+    other = spark.range(60).select(F.expr("CASE WHEN id < 5 THEN 1 WHEN id < 9 THEN NULL ELSE id END AS k").alias("k"), F.col("id").alias("o"))
+    found = sizing.skew_join(rows, other, "k", how)
+    assert values(found, "id", "k", "o") == values(rows.join(other, "k", how), "id", "k", "o")
+
+
+def test_paths_over_hot_and_null_keys(spark, tables):
+    from dataclasses import replace
+
+    from folioseek.sources.tables import join_path
+
+    notes = spark.range(6000).select(
+        F.col("id").cast("long"), F.lit("n").alias("note"), F.expr("CASE WHEN id % 3 = 0 THEN 1 WHEN id % 3 = 1 THEN NULL ELSE id END").cast("long").alias("document_id")
+    )
+    docs = tables.documents.limit(0).union(tables.documents.where("id = 1")).unionByName(
+        spark.range(2, 6000).select("id"), allowMissingColumns=True
+    )
+    many = replace(tables, notes=notes, documents=docs)
+    plain = join_path(many, "notes", "document")
+    assert values(join_path(many, "notes", "document", limit=-1), "notes_id", "document_id") == values(plain, "notes_id", "document_id")
+    assert task_shares(spark, lambda: join_path(many, "notes", "document", limit=-1)) < 0.25
