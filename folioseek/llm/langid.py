@@ -18,14 +18,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioseek.llm import batches
+from folioseek.llm.joins import lookup
+from folioseek.llm.samples import one_text_each
 from folioseek.plans.shipping import ship_package
+from folioseek.plans.sizing import materialize
 
 BITS = 15
 WIDTHS = (1, 2, 3)
 UNKNOWN = "und"
-#: Bound of the learning texts read per language, and of languages told apart.
-ROWS_PER_LANGUAGE = 300
-LANGUAGES = 200
+#: Bounds of the learning texts read per language, and in all; many languages share the latter evenly.
+ROWS_PER_LANGUAGE, ROWS = 300, 24_000
 EPOCHS = 3
 CHUNK_BYTES = 1 << 18
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.002, 0.05
@@ -128,11 +130,13 @@ def calibrate(logits: np.ndarray, truth: np.ndarray) -> float:
     return float(np.exp((low + high) / 2))
 
 
-def train(docs: DataFrame, per_language: int = ROWS_PER_LANGUAGE) -> LanguageModel:
+def train(docs: DataFrame, per_language: int = ROWS_PER_LANGUAGE, rows: int = ROWS) -> LanguageModel:
     """Learn from ``text`` and non-null ``lang`` of ``docs``; ``doc_id`` only orders the sample.
 
-    Texts without a letter teach nothing. Raises when more than ``LANGUAGES`` languages occur;
-    with none, every text is later called ``und``.
+    Every value of ``lang`` is learned, from at most ``per_language`` documents each and about ``rows`` in all,
+    but always from some. Fitting takes half a megabyte a language on the driver, the model an eighth. Of
+    repeated ids of a language the least text is read. Texts without a letter teach nothing; with no
+    language, every text is later called ``und``.
     """
     ship_package(docs.sparkSession)
     docs = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -163,18 +167,15 @@ def train(docs: DataFrame, per_language: int = ROWS_PER_LANGUAGE) -> LanguageMod
     total = df[-1]
     idf = np.log((1 + total) / (1 + df[:-1])) + 1
 
-    sizes = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).limit(LANGUAGES + 1).toArrow()
-    if len(sizes) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+    sizes = materialize(docs.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")), "languages")
+    per_language = min(per_language, max(5, rows // max(1, sizes.count())))
     # a hash threshold leaves about four times the rows wanted of each language, whatever its size; of those the first count
-    draw = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 30))
-    names, n = (sizes.column(i).to_pylist() for i in range(2))
-    limit = F.element_at(F.create_map(*[F.lit(x) for p in zip(names, n) for x in p]), F.col("lang")) if n else F.lit(1)
+    draw = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 30)).cast("double")
+    drawn = docs.select("doc_id", "lang").where("doc_id is not null").transform(lambda d: lookup(d, sizes, "lang"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "lang"), "doc_id")
     chosen = (
-        docs.select("doc_id", "lang").where("doc_id is not null")
-        .where(draw * limit < F.lit(4 * per_language * (1 << 30)))
-        .distinct()
+        drawn.where(draw < F.lit(4.0 * per_language * (1 << 30)) / F.col("_n"))
+        .select("doc_id", "lang").distinct()
         .withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= per_language)
     )
 
@@ -189,7 +190,7 @@ def train(docs: DataFrame, per_language: int = ROWS_PER_LANGUAGE) -> LanguageMod
         )
 
     sample = (
-        docs.join(F.broadcast(chosen.drop("_at")), ["doc_id", "lang"])
+        one_text_each(docs, chosen.drop("_at"), "lang", "doc_id")
         .select("doc_id", "lang", counts("text").alias("c"))
         .where("c is not null")
         .toArrow()
@@ -205,7 +206,11 @@ def train(docs: DataFrame, per_language: int = ROWS_PER_LANGUAGE) -> LanguageMod
         vectors.append((bucket, _weighted(bucket, count, idf)))
         truth.append(at[name])
     truth = np.array(truth)
-    aside = np.arange(len(truth)) % 5 == 4
+    # every fifth of each language, so that all are fitted however the rows alternate
+    order = np.argsort(truth, kind="stable")
+    place = np.empty(len(truth), np.int64)
+    place[order] = np.arange(len(truth)) - np.searchsorted(truth[order], truth[order])
+    aside = place % 5 == 4
     fitted = [v for v, a in zip(vectors, aside, strict=True) if not a]
     weights, bias = fit(fitted, truth[~aside], len(languages))
     logits = np.array([x @ weights[b] + bias for (b, x), a in zip(vectors, aside, strict=True) if a])

@@ -24,11 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioseek.llm import batches
+from folioseek.llm.samples import collected, one_text_each
 from folioseek.plans.shipping import ship_package
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = 1 + len(KINDS)
-#: Bound of the documents that training reads, and of their labelled words.
+#: Bounds of the documents that training reads, and of their words with a digit or ``@`` together.
 TRAIN_ROWS, TRAIN_WORDS = 4000, 200_000
 SURE = 0.95
 DAMPING = 0.5
@@ -285,37 +286,38 @@ def labels_of(words: list[tuple[int, int]], spans: list[Span]) -> list[int]:
     return found
 
 
-def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Field:
-    """Fit on the base spans of at most ``rows`` documents (doc_id, text), chosen by a hash of the id."""
+def train(docs: DataFrame, rows: int = TRAIN_ROWS, words: int = TRAIN_WORDS) -> Field:
+    """Fit on the base spans of at most ``rows`` documents (doc_id, text), chosen by a hash of the id.
+
+    In the order of the hash, documents are read as far as they have ``words`` words with a digit or ``@``
+    together, whether one holds few or many of them; a document with more by itself is passed over. Of
+    repeated ids the least text is read, null ids and texts teach nothing.
+    """
     ship_package(docs.sparkSession)
     chosen = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
     def examples(parts):
         for batch in parts:
-            for text, words in marked_words(batch.column(0)):
-                if words:
-                    spans = base_spans(text, words)
-                    g = graph([(text, words)])
+            ids = batch.column(0).to_pylist()
+            for key, (text, marked) in zip(ids, marked_words(batch.column(1)), strict=True):
+                if marked:
+                    spans = base_spans(text, marked)
+                    g = graph([(text, marked)])
                     yield pa.RecordBatch.from_pydict({
+                        "doc_id": pa.array([key], pa.int64()),
+                        "n": pa.array([len(marked)], pa.int64()),
                         "features": [np.packbits(g.features.astype(np.uint8)).tobytes()],
                         "chain": [g.chain.astype(np.int32).tobytes()],
                         "skip": [g.skip.astype(np.int32).tobytes()],
-                        "labels": [bytes(labels_of(words, spans))],
+                        "labels": [bytes(labels_of(marked, spans))],
                     })
 
-    found = (
-        docs.select("doc_id", "text")
-        .join(F.broadcast(chosen), "doc_id")
-        .select("text")
-        .mapInArrow(examples, "features binary, chain binary, skip binary, labels binary")
-        .toArrow()
-        .to_pylist()
-    )
+    texts = one_text_each(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), chosen, "doc_id")
+    made = texts.mapInArrow(examples, "doc_id bigint, n bigint, features binary, chain binary, skip binary, labels binary")
+    found = collected(made, "n", words, F.xxhash64("doc_id"), "doc_id").to_pylist()
     feats, chains, skips, truth, n = [], [], [], [], 0
-    for row in sorted(found, key=lambda r: (len(r["labels"]), r["features"], r["labels"])):
-        m = len(row["labels"])
-        if n + m > TRAIN_WORDS:
-            break
+    for row in found:
+        m = row["n"]
         feats.append(np.unpackbits(np.frombuffer(row["features"], np.uint8), count=m * WIDTH).reshape(m, WIDTH))
         chains.append(np.frombuffer(row["chain"], np.int32).reshape(-1, 2) + n)
         skips.append(np.frombuffer(row["skip"], np.int32).reshape(-1, 2) + n)

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioseek.llm import batches
+from folioseek.llm.samples import collected, one_text_each
 from folioseek.plans.shipping import ship_package
 
 BITS = 18
@@ -26,8 +27,8 @@ WIDTHS = (3, 4)
 DIM = 8
 EPOCHS = 8
 RATE = 0.5
-#: Bound of the labelled rows that training reads; each gives at most 2 ** BITS counts.
-TRAIN_ROWS = 2000
+#: Bounds of the labelled documents that training reads, and of their distinct features together (8 bytes each).
+TRAIN_ROWS, TRAIN_FEATURES = 2000, 1 << 25
 SEED = 7
 
 
@@ -111,11 +112,15 @@ def scores(texts: pa.Array, model: QualityModel) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(found, -500, 500)))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, bits: int = BITS) -> QualityModel:
+def train(
+    docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, bits: int = BITS, features: int = TRAIN_FEATURES
+) -> QualityModel:
     """Fit on at most ``rows`` labelled documents, chosen by a hash of their id.
 
     ``docs``: doc_id, text; ``labels``: doc_id, quality. Rows with a null id or label do not
-    count, nor do documents with two different labels; of repeated documents one is read.
+    count, nor do documents with two different labels or without a text; of repeated documents the one with the
+    least text is read. In the order of the hash, documents are read as far as they have ``features``
+    distinct features together.
     """
     ship_package(docs.sparkSession)
     known = (
@@ -132,18 +137,12 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, bits: int
     def counted(texts: pa.Array) -> pa.Array:
         return counts_of(texts, bits)
 
-    sample = (
-        docs.select("doc_id", "text")
-        .join(F.broadcast(known), "doc_id")
-        .select("doc_id", "_label", counted("text").alias("_counts"))
-        .toArrow()
-    )
-    seen: dict[int, tuple] = {}
-    for key, label, raw in zip(*(sample.column(i).to_pylist() for i in range(3)), strict=True):
-        if key not in seen or raw < seen[key][1]:
-            seen[key] = (label, raw)
+    texts = one_text_each(docs.select("doc_id", "text"), known, "doc_id")
+    counts = texts.select("doc_id", "_label", counted("text").alias("_counts"))
+    sized = counts.withColumn("_size", F.octet_length("_counts") / 8)
+    sample = collected(sized, "_size", features, F.xxhash64("doc_id"), "doc_id").sort_by("doc_id")
     chosen, truth = [], []
-    for _, (label, raw) in sorted(seen.items()):
+    for label, raw in zip(sample.column("_label").to_pylist(), sample.column("_counts").to_pylist(), strict=True):
         half = len(raw) // 2
         chosen.append((np.frombuffer(raw[:half], np.int32), np.frombuffer(raw[half:], np.int32)))
         truth.append(label)
