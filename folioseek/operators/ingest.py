@@ -60,15 +60,16 @@ def ingest(
     only. A run that is already committed is left alone, so a replay changes nothing; when
     nothing is due no run is committed.
     """
-    run = store.next_run() if run is None else run
-    if store.is_committed(run):
+    if run is not None and store.is_committed(run):
         return run
     embedder = embedder or hashing_embedder()
     known = store.sources()
     due = sync.ingest_candidates(replace(tables, sources=known), limit, staleness)
     candidates = sizing.materialize(due, "candidates")
     if candidates.isEmpty():
-        return run
+        sizing.release(candidates)
+        return store.next_run() if run is None else run
+    run = store.claim_run() if run is None else run
 
     ids = candidates.select(F.col("doc_id").alias("id"))
     note_join = "fk_first" if note_join == "fk" else note_join
@@ -92,6 +93,7 @@ def ingest(
         "deleted": F.lit(False),
     })
     store.commit(run, state)
+    sizing.release(candidates)
     return run
 
 
@@ -100,13 +102,15 @@ def remove_orphans(tables: Tables, store: ChunkStore, run: int | None = None) ->
 
     When nothing is gone no run is committed.
     """
-    run = store.next_run() if run is None else run
-    if store.is_committed(run):
+    if run is not None and store.is_committed(run):
         return run
     gone = sizing.materialize(sync.orphans(store.sources(), tables.documents), "orphans")
     if gone.isEmpty():
-        return run
-    store.commit(run, gone.withColumn("deleted", F.lit(True)))
+        run = store.next_run() if run is None else run
+    else:
+        run = store.claim_run() if run is None else run
+        store.commit(run, gone.withColumn("deleted", F.lit(True)))
+    sizing.release(gone)
     return run
 
 
@@ -125,7 +129,11 @@ def drain(tables: Tables, store: ChunkStore, batch: int = sync.INGEST_BATCH, **o
         run = ingest(replace(tables, documents=due), store, limit=batch, **options)
         ended = store.run_state(run)
         if ended.isEmpty():
+            if tried is not None:
+                sizing.release(tried)
             return runs
         runs += 1
         failed = ended.filter("status = 'ERROR'").select(F.col("doc_id").alias("id"))
-        tried = sizing.materialize(failed if tried is None else tried.union(failed), "tried")
+        before, tried = tried, sizing.materialize(failed if tried is None else tried.union(failed), "tried")
+        if before is not None:
+            sizing.release(before)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folioseek.operators import embedding, ingest, search, sync
 from folioseek.plans import sizing
-from folioseek.sources.store import ChunkStore
+from folioseek.sources.store import CHUNKS, STATE, ChunkStore, RunTaken
 
 START = datetime(2024, 2, 1)
 
@@ -289,3 +289,52 @@ def test_folded_stores_read_one_run(spark, tables):
     ingest.ingest(replace(tables, documents=newest), store, as_of=datetime(2024, 4, 2), **options)
     assert values(store.chunks().filter("doc_id = 1 AND chunk_index = 1"), "content") == [("new",)]
     assert store.fold() == run + 2
+
+
+def test_current_chunks_are_joined_by_bucket_without_an_exchange(spark, tables):
+    store = ChunkStore(spark, sizing.work_path(spark, "bucketed"), buckets=3)
+    run(tables, store)
+    run(with_text(tables, 1, "new text", START + timedelta(days=1)), store, START + timedelta(days=2))
+    for status in (None, "DONE"):
+        far = store.chunks(status, limit=-1)
+        plan = far._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "SortMergeJoin" in plan and "SelectedBucketsCount: 3 out of 3" in plan
+        assert values(far) == values(store.chunks(status))
+    # a catalog that knows nothing of the store finds it by its folder
+    for table in ("chunks", "state"):
+        spark.sql(f"DROP TABLE {store._table(table, CHUNKS if table == 'chunks' else STATE, 3)}")
+    other = ChunkStore(spark.newSession(), store.root, buckets=7)
+    assert values(other.chunks()) == values(store.chunks()) and other._bucket_count(create=True) == 3
+
+
+def test_two_writers_on_one_store(spark, tables):
+    """Two applications, as their own objects and without the lock of one process."""
+    root = sizing.work_path(spark, "shared")
+    mine, theirs = ChunkStore(spark, root), ChunkStore(spark.newSession(), root)
+    a, b = mine.claim_run(), theirs.claim_run()
+    assert (a, b) == (0, 1)
+    half = replace(tables, documents=tables.documents.filter("id < 3")), replace(tables, documents=tables.documents.filter("id >= 3"))
+    for one, number, part in ((theirs, b, half[1]), (mine, a, half[0])):  # the later number commits first
+        run(part, one, run=number)
+    assert mine.committed_runs() == theirs.committed_runs() == [0, 1]
+    assert values(theirs.sources(), "doc_id") == [(1,), (2,), (4,), (5,)]
+    assert values(mine.chunks(), "id") == values(theirs.chunks(), "id") and mine.chunks().count() == 12
+    with pytest.raises(RunTaken):
+        theirs.commit(a, theirs.sources().withColumns({"chunk_run": F.lit(0), "deleted": F.lit(False)}))
+    assert mine.claim_run() == 2 and theirs.claim_run() == 3
+
+
+def test_runs_leave_no_work_folders(spark, tables, store):
+    from pathlib import Path
+
+    def folders():
+        return {p.name for p in Path(sizing.shared_dir(spark).removeprefix("file:")).iterdir()}
+
+    run(tables, store)
+    before = folders()
+    for day in range(1, 4):
+        run(with_text(tables, 1, f"text {day}", START + timedelta(days=day)), store, START + timedelta(days=day, hours=1))
+        run(tables, store, START + timedelta(days=day, hours=2))
+    ingest.remove_orphans(replace(tables, documents=tables.documents.filter("id <> 4")), store)
+    ingest.drain(tables, store, batch=2, splitter=paragraphs(), embedder=embedding.hashing_embedder(16))
+    assert folders() == before
