@@ -16,8 +16,26 @@ HOST_RULES = (
     ("block", "net/es/"),
     ("block", "net/fr/"),
 )
-#: Words that block an address where no rule above decides.
-BLOCKED_WORDS = ("casino", "poker", "betting", "viagra", "porn", "xxx", "adult", "warez")
+#: Patterns of the query for addresses that no rule above decides: each form with each word in place of W. The longest fits.
+PATTERN_WORDS = ("casino", "poker", "bets", "betting", "viagra", "porn", "xxx", "adult", "warez", "ads", "track", "loan")
+PATTERN_FORMS = (
+    ("block", "^W^"), ("block", "^free^W^"), ("block", "^W^*^x^"), ("block", "^m.W^"), ("block", "^W^*^page^"),
+    ("block", "*://*W*/login^"), ("block", "^blog^*^W^"), ("allow", "^W^*^help^"), ("allow", "^W^example.org^*^en^"),
+    ("allow", "^www.*^W^*^fr^"),
+)
+
+
+def pattern_regex(rule: str) -> str:
+    """The regular expression of a pattern, for the SQL."""
+    kinds = {"*": ".*", "^": urls.EDGE}
+    return "(?s)" + "".join(kinds.get(c) or (c if c.isalnum() else "\\" + c) for c in rule)
+
+
+PATTERN_SQL = ", ".join(
+    f"('{action}', '{form.replace('W', word)}', '{pattern_regex(form.replace('W', word))}')"
+    for action, form in PATTERN_FORMS
+    for word in PATTERN_WORDS
+)
 
 OP8_SQL = f"""
 WITH cut AS (
@@ -35,22 +53,42 @@ WITH cut AS (
         WHEN ('.' || host) LIKE '%.com' AND starts_with(path, '/') THEN 'com/'
     END AS rule
     FROM parts
+), patterns(action, pattern, regex) AS (VALUES {PATTERN_SQL}
+), best AS (
+    SELECT place, arg_max(action, (length(pattern), pattern)) AS action
+    FROM (SELECT DISTINCT host || path AS place FROM parts) JOIN patterns ON regexp_matches(place, regex) GROUP BY place
 )
 SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow'
     WHEN rule IS NOT NULL THEN 'block'
-    WHEN regexp_matches(host || path, '(?:^|[^A-Za-z0-9])(?:{"|".join(BLOCKED_WORDS)})(?:[^A-Za-z0-9]|$)') THEN 'block'
-    ELSE 'allow' END AS verdict
-FROM named
+    ELSE coalesce(action, 'allow') END AS verdict
+FROM named LEFT JOIN best ON host || path = place
 """
 
 
+def page_rules(spark: SparkSession) -> DataFrame:
+    """The query's rules as a table: those of hosts, and every form of a pattern with every word."""
+
+    def listed(values, i):
+        return F.element_at(F.array(*map(F.lit, values)), (i + 1).cast("int"))
+
+    hosts = spark.range(len(HOST_RULES)).select(
+        listed([a for a, _ in HOST_RULES], F.col("id")).alias("action"), F.lit("host").alias("kind"),
+        listed([t for _, t in HOST_RULES], F.col("id")).alias("rule"),
+    )
+    words = len(PATTERN_WORDS)
+    form, word = F.floor(F.col("id") / words), F.col("id") % words
+    patterns = spark.range(words * len(PATTERN_FORMS)).select(
+        listed([a for a, _ in PATTERN_FORMS], form).alias("action"), F.lit("pattern").alias("kind"),
+        F.replace(listed([f for _, f in PATTERN_FORMS], form), F.lit("W"), listed(PATTERN_WORDS, word)).alias("rule"),
+    )
+    return hosts.union(patterns)
+
+
 @query("op8_url_filter", OP8_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page's address judged by host rules, else by words that block."""
-    rules = [urls.Rule(action, text) for action, text in HOST_RULES]
-    rules += [urls.Rule("block", f"^{word}^", "pattern") for word in BLOCKED_WORDS]
-    judged = urls.judge(read(spark, sf_dir, "pages", "page_id", "url"), urls.rule_table(spark, rules))
+    """Every page's address judged by host rules, else by the longest pattern that fits."""
+    judged = urls.judge(read(spark, sf_dir, "pages", "page_id", "url"), page_rules(spark))
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 

@@ -7,15 +7,13 @@ tokens, whole runs of letters and digits. Each rule is indexed by that one of it
 is rarest among the addresses; the tokens of an address fetch candidate rules, and only those
 run their regular expression. A rule without a whole token is fetched by every address.
 
-Everything is DataFrame functions. Addresses are judged once per distinct host and path.
+Rules are a table, of any size: what they run and what they are found by is made from their text by DataFrame
+functions, as everything here is. Addresses are judged once per distinct host and path.
 """
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioseek.llm.joins import lookup
@@ -24,32 +22,32 @@ from folioseek.plans.sizing import materialize
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-@dataclass(frozen=True)
-class Rule:
-    """``text`` is ``host/path`` for ``kind`` host, a pattern for ``kind`` pattern."""
+#: What a ``^`` in a pattern stands for.
+EDGE = "(?:[^A-Za-z0-9]|^|$)"
 
-    action: str
-    text: str
-    kind: str = "host"
 
-    def regex(self) -> str:
-        """Java regular expression over host and path, which are joined as they are."""
-        if self.kind == "host":
-            host, _, path = self.text.partition("/")
-            return rf"^(?:[^/]*\.)?\Q{host}/{path}\E"
-        parts = {"*": ".*", "^": "(?:[^A-Za-z0-9]|^|$)"}
-        return "".join(parts.get(p) or rf"\Q{p}\E" for p in re.split(r"([*^])", self.text) if p)
+def compiled(rules: DataFrame) -> DataFrame:
+    """Rules (action, kind, rule) with their Java regular expression over host and path, and their tokens.
 
-    def tokens(self) -> list[str]:
-        """Runs of letters and digits that every fitting address has as whole runs, lower-cased."""
-        own = self.text.translate(str.maketrans(UPPER, LOWER))
-        found = []
-        for m in re.finditer("[a-z0-9]+", own):
-            opens = self.kind == "host" if m.start() == 0 else own[m.start() - 1] != "*"
-            closes = m.end() < len(own) and own[m.end()] != "*"
-            if opens and closes:
-                found.append(m.group())
-        return sorted(set(found)) or [""]
+    ``kind`` is host or pattern. Tokens are the runs of letters and digits, lower-cased, that every fitting address
+    has as whole runs: in a pattern those with something other than ``*`` on both sides, in a host rule the
+    first one too. A rule without any has the empty token. Rules with a null are left out, repeats count once.
+    """
+    text, is_host = F.col("rule"), F.col("kind") == "host"
+    with_path = F.when(F.instr("rule", "/") > 0, text).otherwise(F.concat(text, F.lit("/")))
+    plain = F.regexp_replace(with_path, "([^A-Za-z0-9])", r"\\$1")
+    edges = F.translate(F.regexp_replace(text, "([^A-Za-z0-9*^])", r"\\$1"), "^", "\x01")
+    pattern = F.replace(F.replace(edges, F.lit("*"), F.lit(".*")), F.lit("\x01"), F.lit(EDGE))
+    regex = F.when(is_host, F.concat(F.lit(r"(?s)^(?:[^/]*\.)?"), plain)).otherwise(F.concat(F.lit("(?s)"), pattern))
+    lower = F.translate(F.when(is_host, with_path).otherwise(text), UPPER, LOWER)
+    whole = F.when(is_host, F.regexp_extract_all(lower, F.lit("(?<![a-z0-9*])([a-z0-9]+)(?=[^a-z0-9*])"), 1)).otherwise(
+        F.regexp_extract_all(lower, F.lit("(?<=[^a-z0-9*])([a-z0-9]+)(?=[^a-z0-9*])"), 1)
+    )
+    tokens = F.array_sort(F.array_distinct(whole))
+    return (
+        rules.select("action", "kind", "rule").where("action is not null and kind is not null and rule is not null").distinct()
+        .withColumns({"regex": regex, "tokens": F.when(F.size(tokens) > 0, tokens).otherwise(F.array(F.lit("")))})
+    )
 
 
 def host(url: Column | str) -> Column:
@@ -68,60 +66,44 @@ def _after(url: Column | str) -> Column:
     return F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise("")
 
 
-def rule_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
-    """rule, kind, action, regex, tokens; one row per rule."""
-    rows = [
-        F.struct(
-            F.lit(r.text).alias("rule"), F.lit(r.kind).alias("kind"), F.lit(r.action).alias("action"),
-            F.lit(r.regex()).alias("regex"), F.array(*map(F.lit, r.tokens())).alias("tokens"),
-        )
-        for r in rules
-    ]
-    table = spark.range(1).select(F.explode(F.array(*rows)).alias("r")) if rows else None
-    if table is None:
-        return spark.sql(
-            "SELECT '' AS rule, '' AS kind, '' AS action, '' AS regex, array('') AS tokens WHERE false"
-        )
-    return table.select("r.*").distinct()
+def candidates(places: DataFrame, rules: DataFrame) -> DataFrame:
+    """Distinct places (host, path) with every compiled rule that one of their tokens fetches.
+
+    Each rule stands under one token, the rarest of its own among the places, so it is fetched once by a place.
+    The rules of a token are rows of their own, however many share it.
+    """
+    address = F.translate(F.concat("host", "path"), UPPER, LOWER)
+    runs = F.regexp_extract_all(address, F.lit("([a-z0-9]+)"), 1)
+    tokens = places.withColumn("token", F.explode(F.array_distinct(F.concat(runs, F.array(F.lit(""))))))
+    held = rules.withColumn("token", F.explode("tokens"))
+    wanted = held.select("token").distinct()
+    frequency = lookup(tokens.select("token"), wanted, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    rarest = (
+        held.join(frequency, "token", "left")
+        .groupBy("rule", "kind", "action", "regex")
+        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("t"))
+    )
+    index = materialize(rarest.select(F.col("t.token").alias("token"), "rule", "kind", "action", "regex"), "rule_index")
+    return lookup(tokens, index, "token", "inner").drop("token")
 
 
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str = "url") -> DataFrame:
     """Add ``host``, ``path``, ``rule`` and ``verdict``; columns of these names are replaced.
 
+    ``rules`` are a table (action, kind, rule), see ``compiled``.
+
     The longest fitting host rule wins and is named in ``rule`` (of equally long ones the last
     in text order). Without one, ``rule`` is null and the longest fitting pattern decides, with
     ``default`` where none fits. A null url, or one without ``://``, has empty host and path.
     One row comes out for each that goes in.
     """
     pages = pages.withColumns({"host": host(url), "path": path(url)})
-    places = pages.select("host", "path").distinct()
-    whole = F.concat("host", "path")
-    tokens = places.withColumn(
-        "token",
-        F.explode(F.array_distinct(F.concat(F.regexp_extract_all(F.translate(whole, UPPER, LOWER), F.lit("([a-z0-9]+)"), 1), F.array(F.lit(""))))),
-    )
-    wanted = rules.select(F.explode("tokens").alias("token")).distinct()
-    frequency = lookup(tokens.select("token"), wanted, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    rarest = (
-        rules.withColumn("token", F.explode("tokens"))
-        .join(frequency, "token", "left")
-        .groupBy("rule", "kind", "action", "regex")
-        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("t"))
-    )
-    index = materialize(
-        rarest.groupBy(F.col("t.token").alias("token")).agg(
-            F.collect_list(F.struct("rule", "kind", "action", "regex")).alias("rules")
-        ),
-        "rule_index",
-    )
+    fetched = candidates(pages.select("host", "path").distinct(), compiled(rules))
     fitting = (
-        lookup(tokens, index, "token", "inner")
-        .withColumn("r", F.explode("rules"))
-        .where(F.regexp_like(whole, F.col("r.regex")))
+        fetched.where(F.regexp_like(F.concat("host", "path"), F.col("regex")))
         .groupBy("host", "path")
         .agg(F.max(F.struct(
-            (F.col("r.kind") == "host").alias("named"), F.length("r.rule").alias("size"), F.col("r.rule").alias("rule"),
-            F.col("r.action").alias("action"),
+            (F.col("kind") == "host").alias("named"), F.length("rule").alias("size"), "rule", "action",
         )).alias("best"))
     )
     return pages.join(fitting, ["host", "path"], "left").select(

@@ -3,18 +3,32 @@ from __future__ import annotations
 import random
 import re
 
-from folioseek.llm import urls
+from typing import NamedTuple
+
+from folioseek.llm import native_queries, urls
 from folioseek.llm.native_queries import HOST_RULES
 
 SCHEMA = "page_id bigint, url string, host string, verdict int, token string"
-RULES = [urls.Rule(a, t) for a, t in HOST_RULES] + [
-    urls.Rule("block", "^ads^", "pattern"),
-    urls.Rule("block", "*track*", "pattern"),
-    urls.Rule("allow", "^ads^good^", "pattern"),
-    urls.Rule("block", "/x?y/", "pattern"),
+
+
+class Rule(NamedTuple):
+    action: str
+    text: str
+    kind: str = "host"
+
+
+RULES = [Rule(a, t) for a, t in HOST_RULES] + [
+    Rule("block", "^ads^", "pattern"),
+    Rule("block", "*track*", "pattern"),
+    Rule("allow", "^ads^good^", "pattern"),
+    Rule("block", "/x?y/", "pattern"),
 ]
 
 
+def table(spark, rules):
+    return spark.createDataFrame([(r.action, r.kind, r.text) for r in rules], "action string, kind string, rule string")
+
+
 def parts(url):
     if url is None or "://" not in url:
         return "", ""
@@ -53,24 +67,53 @@ def test_rules_against_every_rule_tried(spark):
     rows += [(900, None), (None, "http://x.net/fr/1"), (901, "no scheme"), (902, "://"), (903, "a://b://c.com/"), (904, "http://é.com/ü")]
     rows += rows[:5] + [(5000 + i, "http://hot.net/es/1") for i in range(50)] + [(6, "http://" + "a" * 40_000 + ".com/")]
     pages = spark.createDataFrame([(i, u, "h", 1, "t") for i, u in rows], SCHEMA)
-    found = urls.judge(pages, urls.rule_table(spark, RULES)).collect()
+    found = urls.judge(pages, table(spark, RULES)).collect()
     want = [(i, u, *plain(u, RULES)) for i, u in rows]
     key = ["page_id", "url", "host", "path", "rule", "verdict"]
     assert sorted(repr(tuple(r[k] for k in key)) for r in found) == sorted(map(repr, want))
     assert {r.token for r in found} == {"t"}
 
 
-def test_tokens_are_whole_runs():
-    assert urls.Rule("block", "Example.com/en/").tokens() == ["com", "en", "example"]
-    assert urls.Rule("block", "example.com/en").tokens() == ["com", "example"]
-    assert urls.Rule("block", "*bad*^word^x", "pattern").tokens() == ["word"]
-    assert urls.Rule("block", "*track*", "pattern").tokens() == [""]
-    assert urls.Rule("block", "ads^", "pattern").tokens() == [""]
+def test_tokens_are_whole_runs(spark):
+    want = {
+        ("Example.com/en/", "host"): ["com", "en", "example"],
+        ("example.com/en", "host"): ["com", "example"],
+        ("net", "host"): ["net"],
+        ("*bad*^word^x", "pattern"): ["word"],
+        ("*track*", "pattern"): [""],
+        ("ads^", "pattern"): [""],
+    }
+    rules = urls.compiled(table(spark, [Rule("block", text, kind) for text, kind in want])).collect()
+    assert {(r.rule, r.kind): r.tokens for r in rules} == want
+
+
+def test_patterns_of_many_tokens_run_few_regular_expressions(spark):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(120)]
+    rules = [Rule(rng.choice(["allow", "block"]), f"^{a}^*^{b}^{c}*", "pattern") for a, b, c in (rng.sample(words, 3) for _ in range(150))]
+    rules += [Rule("block", f"*{w}x*^{w}^", "pattern") for w in words[:20]] + RULES
+    rows = [(i, f"http://{rng.choice(words)}.org/{'/'.join(rng.choices(words, k=5))}-{rng.choice(words)}x.html") for i in range(300)]
+    for i, r in enumerate(rules[:60]):  # addresses that fit
+        rows.append((1000 + i, "http://a.org/" + r.text.replace("^", "/").replace("*", "/q/")))
+    pages = spark.createDataFrame(rows, "page_id bigint, url string")
+    found = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge(pages, table(spark, rules)).collect()}
+    assert all(found[i] == plain(u, rules) for i, u in rows)
+    assert sum(plain(u, rules)[3] == "block" for _, u in rows) > 20
+    places = pages.select(urls.host("url").alias("host"), urls.path("url").alias("path")).distinct()
+    run = urls.candidates(places, urls.compiled(table(spark, rules))).count()
+    assert run < places.count() * len(rules) / 20
+
+
+def test_rules_of_the_query(spark):
+    rules = urls.compiled(native_queries.page_rules(spark)).collect()
+    patterns = [r for r in rules if r.kind == "pattern"]
+    assert len(patterns) >= 100 and len(rules) == len(patterns) + len(HOST_RULES)
+    assert sum(len(r.tokens) > 1 for r in patterns) >= 50 and sum("*" in r.rule for r in patterns) >= 50
 
 
 def test_empty_tables(spark):
     pages = spark.createDataFrame([], SCHEMA)
-    assert urls.judge(pages, urls.rule_table(spark, RULES)).collect() == []
+    assert urls.judge(pages, table(spark, RULES)).collect() == []
     some = spark.createDataFrame([(1, "http://a.com/", "", 0, "")], SCHEMA)
-    (row,) = urls.judge(some, urls.rule_table(spark, []), default="block").collect()
+    (row,) = urls.judge(some, table(spark, []), default="block").collect()
     assert (row.host, row.rule, row.verdict) == ("a.com", None, "block")
