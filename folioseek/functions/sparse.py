@@ -61,21 +61,52 @@ def to_long(df: DataFrame, key: str, sparse: str) -> DataFrame:
     return df.select(key, F.explode(f"{sparse}.entries").alias("dim", "value"))
 
 
-def _merge(a, b, f) -> Column:
+SUMS = ("inner", "l2_squared", "l1", "left", "right")
+
+
+def sums(a, b) -> Column:
+    """What all distances of a pair are made of, from one merge and one pass over it; null if either is null.
+
+    A struct of the inner product, the squared L2 and the L1 distance, and the squared norms of both sides.
+    """
     zero = F.lit(0.0)
-    wrong = F.raise_error(F.lit("sparse vectors of different dimensions")).cast("double")
+    kind = f"struct<{','.join(f'{name}:double' for name in SUMS)}>"
+    wrong = F.raise_error(F.lit("sparse vectors of different dimensions")).cast(kind)
+    begin = F.struct(*[zero.alias(name) for name in SUMS])
+
+    def added(total: Column, e: Column) -> Column:
+        x, y = e["x"], e["y"]
+        gap = x - y
+        terms = (x * y, gap * gap, F.abs(gap), x * x, y * y)
+        return F.struct(*[(total[name] + term).alias(name) for name, term in zip(SUMS, terms, strict=True)])
 
     def merged(v: Column) -> Column:
         a, b = v["a"], v["b"]
-        both = F.map_zip_with(a["entries"], b["entries"], lambda k, x, y: f(F.coalesce(x, zero), F.coalesce(y, zero)))
-        total = F.aggregate(F.map_values(both), zero, lambda acc, v: acc + v)
-        return F.when(a.isNull() | b.isNull(), F.lit(None).cast("double")).when(a["dim"] == b["dim"], total).otherwise(wrong)
+        both = F.map_zip_with(
+            a["entries"], b["entries"], lambda k, x, y: F.struct(F.coalesce(x, zero).alias("x"), F.coalesce(y, zero).alias("y"))
+        )
+        total = F.aggregate(F.map_values(both), begin, added)
+        return F.when(a.isNull() | b.isNull(), F.lit(None).cast(kind)).when(a["dim"] == b["dim"], total).otherwise(wrong)
 
     return let(F.struct(_col(a).alias("a"), _col(b).alias("b")), merged)
 
 
+def distances(a, b) -> Column:
+    """All distances of a pair as a struct: l2, l2_squared, l1, inner_product, negative_inner, cosine."""
+
+    def named(t: Column) -> Column:
+        whole = F.struct(
+            F.sqrt(t["l2_squared"]).alias("l2"), t["l2_squared"].alias("l2_squared"), t["l1"].alias("l1"),
+            t["inner"].alias("inner_product"), (F.lit(0.0) - t["inner"]).alias("negative_inner"),
+            cosine_from(t["inner"], F.sqrt(t["left"]) * F.sqrt(t["right"])).alias("cosine"),
+        )
+        return F.when(t.isNotNull(), whole)
+
+    return let(sums(a, b), named)
+
+
 def inner_product(a, b) -> Column:
-    return _merge(a, b, lambda x, y: x * y)
+    return sums(a, b)["inner"]
 
 
 def negative_inner_product(a, b) -> Column:
@@ -83,7 +114,7 @@ def negative_inner_product(a, b) -> Column:
 
 
 def l2_squared_distance(a, b) -> Column:
-    return _merge(a, b, lambda x, y: (x - y) * (x - y))
+    return sums(a, b)["l2_squared"]
 
 
 def l2_distance(a, b) -> Column:
@@ -91,7 +122,7 @@ def l2_distance(a, b) -> Column:
 
 
 def l1_distance(a, b) -> Column:
-    return _merge(a, b, lambda x, y: F.abs(x - y))
+    return sums(a, b)["l1"]
 
 
 def norm(a) -> Column:
@@ -101,7 +132,7 @@ def norm(a) -> Column:
 
 def cosine_distance(a, b) -> Column:
     """One minus the cosine; NaN where a norm is zero."""
-    return cosine_from(inner_product(a, b), norm(a) * norm(b))
+    return distances(a, b)["cosine"]
 
 
 def normalize(a) -> Column:

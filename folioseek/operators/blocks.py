@@ -96,10 +96,10 @@ def _rough(rows: np.ndarray, queries: np.ndarray, metric: str) -> tuple[np.ndarr
     NaN where the score is undefined.
     """
     if metric == "bits":
-        scores = np.zeros((len(rows), len(queries)))
+        scores = np.zeros((len(rows), len(queries)), np.uint16 if rows.shape[1] < 1024 else np.uint32)
         for i in range(rows.shape[1]):
             scores += np.bitwise_count(rows[:, i][:, None] ^ queries[:, i][None, :])
-        return scores, np.zeros(len(queries))
+        return scores.astype(np.float64), np.zeros(len(queries))
     if metric == "l1":
         scores = np.empty((len(rows), len(queries)))
         for j, q in enumerate(queries):

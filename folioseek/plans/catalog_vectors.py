@@ -206,9 +206,10 @@ SPARSE = f"""WITH w AS (SELECT doc_id AS vec_id, unnest(string_split(text, ' '))
   s AS (SELECT vec_id, x, (SELECT x FROM n, k WHERE vec_id = least) AS q FROM n)"""
 
 
-def sparse_rows(spark, sf) -> DataFrame:
+def sparse_rows(spark, sf, docs: DataFrame | None = None) -> DataFrame:
     """``(vec_id, x)``: naturally sparse vectors, built from their entries without a dense form."""
-    words = base(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), F.explode(F.split("text", " ")).alias("w"))
+    docs = base(spark, sf, "documents") if docs is None else docs
+    words = docs.select(F.col("doc_id").alias("vec_id"), F.explode(F.split("text", " ")).alias("w"))
     slot = (1 + (F.length("w") * 7 + F.ascii("w")) % SPARSE_DIM).cast("int")
     counts = words.groupBy("vec_id", slot.alias("dim")).agg(F.count(F.lit(1)).cast("double").alias("value"))
     entries = counts.groupBy("vec_id").agg(F.map_from_entries(F.collect_list(F.struct("dim", "value"))).alias("m"))
@@ -216,9 +217,10 @@ def sparse_rows(spark, sf) -> DataFrame:
 
 
 def sparse_pairs(spark, sf) -> DataFrame:
-    rows = sparse_rows(spark, sf)
-    first = rows.agg(F.min_by("x", "vec_id")).scalar()
-    return rows.withColumn("q", first)
+    """Every vector beside that of the first document with a text, which alone is read for it."""
+    docs = base(spark, sf, "documents").filter(F.col("text").isNotNull())
+    first = docs.filter(F.col("doc_id") == docs.agg(F.min("doc_id")).scalar())
+    return sparse_rows(spark, sf).withColumn("q", sparse_rows(spark, sf, first).agg(F.min_by("x", "vec_id")).scalar())
 
 
 @query(
@@ -245,18 +247,9 @@ def _(spark, sf):
       round(list_cosine_distance(x, q), 6) + 0.0 AS cosine FROM s""",
 )
 def _(spark, sf):
-    def six(column, name):
-        return (F.round(column, 6) + F.lit(0.0)).alias(name)
-
-    return sparse_pairs(spark, sf).select(
-        "vec_id",
-        six(sparse.l2_distance("x", "q"), "l2"),
-        six(sparse.l2_squared_distance("x", "q"), "l2_squared"),
-        six(sparse.l1_distance("x", "q"), "l1"),
-        six(sparse.inner_product("x", "q"), "inner_product"),
-        six(sparse.negative_inner_product("x", "q"), "negative_inner"),
-        six(sparse.cosine_distance("x", "q"), "cosine"),
-    )
+    found = sparse_pairs(spark, sf).select("vec_id", sparse.distances("x", "q").alias("d"))
+    names = ("l2", "l2_squared", "l1", "inner_product", "negative_inner", "cosine")
+    return found.select("vec_id", *[(F.round(F.col(f"d.{name}"), 6) + F.lit(0.0)).alias(name) for name in names])
 
 
 @query(
