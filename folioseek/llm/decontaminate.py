@@ -18,8 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioseek.llm.joins import lookup
-from folioseek.plans.sizing import materialize
+from folioseek.llm.joins import BROADCAST_BYTES, lookup
+from folioseek.plans.sizing import fits_broadcast, materialize
 
 WINDOW, GRAM = 13, 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -106,17 +106,28 @@ def contaminated(
 
     texts = lookup(keyed.select("_key", "text"), suspects, "_key", "left_semi").dropDuplicates(["_key"])
     texts = materialize(texts.select("_key", hashes("text").alias("h")), "suspect_words")
-    hits = None
+    # windows that the same items have are of one class, so a place carries a number and not the items
+    windows = None
     for n in lengths:
         own = items.where(F.size("h") >= n) if n == window else items.where(F.size("h") == n)
-        wanted = own.select("item", F.explode(F.array_distinct(runs(F.col("h"), n))).alias("w"))
-        wanted = wanted.groupBy("w").agg(F.collect_set("item").alias("items"))
+        made = own.select("item", F.explode(F.array_distinct(runs(F.col("h"), n))).alias("w"), F.lit(n).alias("n"))
+        windows = made if windows is None else windows.union(made)
+    windows = materialize(windows.distinct(), "windows")
+    of_items = F.xxhash64(F.bit_xor(F.xxhash64("item")), F.count(F.lit(1)), F.min("item"), F.max("item"))
+    classes = materialize(windows.groupBy("n", "w").agg(of_items.alias("class")), "window_classes")
+    first = classes.groupBy("class").agg(F.min(F.struct("n", "w")).alias("one")).select("class", "one.n", "one.w")
+    members = materialize(windows.join(first, ["n", "w"]).select("class", "item"), "class_items")
+
+    hits = None
+    for n in lengths:
         places = texts.select("_key", F.posexplode(runs(F.col("h"), n)).alias("at", "w"))
-        hit = lookup(places, wanted, "w", "inner").select(
-            "_key", F.struct("at", F.lit(n).alias("n")).alias("span"), "items"
+        hit = lookup(places, classes.where(F.col("n") == n).select("w", "class"), "w", "inner").select(
+            "_key", F.struct("at", F.lit(n).alias("n")).alias("span"), "class"
         )
         hits = hit if hits is None else hits.union(hit)
-    spans = hits.groupBy("_key").agg(F.collect_set("span").alias("spans"), F.collect_set("items").alias("items"))
+    spans = materialize(hits.groupBy("_key").agg(F.collect_set("span").alias("spans"), F.collect_set("class").alias("classes")), "spans")
+    held = spans.select("_key", F.explode("classes").alias("class")).join(_small(members), "class").select("_key", "item").distinct()
+    named = held.groupBy("_key").agg(F.sort_array(F.collect_list("item")).alias("item_ids"))
     # spans in order of their begin; each adds what reaches beyond the ones before it
     covered = F.aggregate(
         F.sort_array("spans"),
@@ -126,17 +137,14 @@ def contaminated(
             F.greatest(a["upto"], s["at"] + s["n"]).alias("upto"),
         ),
     )
-    judged = materialize(
-        spans.select(
-            "_key",
-            covered["hit"].cast("long").alias("n_hit"),
-            F.sort_array(F.array_distinct(F.flatten("items"))).alias("item_ids"),
-        ),
-        "hits",
-    )
+    judged = materialize(spans.select("_key", covered["hit"].cast("long").alias("n_hit")).join(named, "_key"), "hits")
     return _finished(keyed, judged, num, den)
 
 
+def _small(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if fits_broadcast(table, BROADCAST_BYTES, measure=True) else table
+
+
 def _finished(keyed: DataFrame, judged: DataFrame | None, num: int, den: int) -> DataFrame:
     names = ["n_words", "n_hit", "n_items", "item_ids", "contaminated"]
     docs = keyed.drop(*names).withColumn("n_words", F.size(words("text")).cast("long"))
