@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioseek.functions import vectors
 from folioseek.functions.vectors import DISTANCES
 from folioseek.operators import aggregates, ann, search
 from folioseek.plans import sizing
@@ -205,6 +206,23 @@ def _(spark, sf):
     return ann.assign_lists(emb, ann.train_centroids(emb, lists=20)).select("id", "list_id", "list_distance")
 
 
+@query(
+    "knn_7_vectors_in_another_list",
+    "SELECT count(*) AS vectors, CAST(0 AS BIGINT) AS elsewhere FROM embeddings WHERE embedding IS NOT NULL",
+)
+def _(spark, sf):
+    """Of all vectors those whose k-means list is not the nearest, by distances to every centroid as expressions."""
+    emb = base(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    centroids = sizing.materialize(ann.train_centroids(emb, lists=20), "centroids")
+    every = centroids.agg(F.collect_list(F.struct("list_id", "centroid"))).scalar()  # 20 rows
+    away = F.transform(F.col("every"), lambda c: vectors.l2_distance("embedding", c["centroid"]))
+    judged = ann.assign_lists(emb, centroids).withColumn("every", every).withColumn("nearest", F.array_min(away))
+    return judged.agg(
+        F.count(F.lit(1)).alias("vectors"),
+        F.count(F.when(F.col("list_distance") > F.col("nearest") + 1e-9, 1)).alias("elsewhere"),
+    )
+
+
 def stored_lists(spark, sf, lists: int = ann.LISTS) -> str:
     """Searchable chunks stored by list in the shared folder."""
     t = document_tables(spark, sf)

@@ -137,3 +137,24 @@ def test_drain_takes_all_in_limited_runs(spark, tables):
     assert drain(tables, store, 1, **options) == 4
     assert values(store.sources(), "doc_id", "status") == [(1, "DONE"), (2, "ERROR"), (4, "DONE"), (5, "DONE")]
     assert drain(tables, store, 3, **options) == 1  # only what failed
+
+
+def test_ten_batches_leave_no_work_folders(spark, tables, tmp_path):
+    from pathlib import Path
+
+    from folioseek.plans import sizing
+
+    root = Path(sizing.shared_dir(spark).removeprefix("file:"))
+    store = ChunkStore(spark, sizing.work_path(spark, "swept"))
+    source = tmp_path / "docs"
+    for i in range(10):
+        edited = tables.documents.filter("id = 1").withColumns({"content": F.lit(f"text {i}"), "modified": F.lit(datetime(2024, 5, 1 + i))})
+        edited.coalesce(1).write.mode("append").parquet(str(source))
+    before = {p.name for p in root.iterdir()}
+    stream = continuous.document_stream(spark, str(source), tables.documents.schema, files_per_batch=1)
+    options = {"splitter": lambda text: text.split("\n\n"), "embedder": embedding.hashing_embedder(8)}
+    query = continuous.start_ingest(stream, lambda: tables, store, str(tmp_path / "check"), {"availableNow": True}, cleanup_every=5, **options)
+    assert query.awaitTermination(240)
+    assert query.exception() is None and len(query.recentProgress) >= 10
+    left = {p.name for p in root.iterdir()} - before
+    assert left <= {Path(store.root).name}
