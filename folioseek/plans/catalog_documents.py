@@ -436,6 +436,7 @@ def _(spark, sf):
 
 # --- scalar functions ------------------------------------------------------------------
 
+# Fixed labels of the rendered text, as in the data model.
 RENDER_SQL = """concat('Title: ', title, chr(10),
   CASE WHEN correspondent_name IS NULL THEN '' ELSE concat('Correspondent: ', correspondent_name, chr(10)) END,
   'Date: ', CAST(document_date AS VARCHAR), chr(10), chr(10), content, chr(10), chr(10),
