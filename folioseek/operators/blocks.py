@@ -19,6 +19,10 @@ METRICS = ("l2", "l1", "cosine", "inner", "spherical", "hamming", "bits")
 CELLS = 2_000_000
 MARGIN = 1e-9
 CROWDED = 4
+#: Rows and queries whose scores are computed at once, so that they stay in a core's cache.
+TILE_ROWS, TILE_QUERIES, STRIP = 1024, 1024, 64
+#: Width from which products are made in single precision; narrower ones cost little and gain from the smaller bound.
+SINGLE = 16
 
 
 @dataclass(frozen=True)
@@ -90,35 +94,78 @@ def pair_scores(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
         return 1.0 - np.clip(dot / size, -1.0, 1.0)
 
 
-def _rough(rows: np.ndarray, queries: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
-    """A monotone stand-in for the score (rows by queries) and its error bound per query.
+def _rough(rows: np.ndarray, queries: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray, bool]:
+    """A monotone stand-in for the score (rows by queries), its error bound per query, and whether it may hold NaN.
 
-    NaN where the score is undefined.
+    Wide vectors are multiplied in single precision, with a bound to match. NaN where the score is undefined.
     """
     if metric == "bits":
         scores = np.zeros((len(rows), len(queries)), np.uint16 if rows.shape[1] < 1024 else np.uint32)
         for i in range(rows.shape[1]):
             scores += np.bitwise_count(rows[:, i][:, None] ^ queries[:, i][None, :])
-        return scores.astype(np.float64), np.zeros(len(queries))
+        return scores, np.zeros(len(queries)), False
+    row_sq = (rows * rows).sum(axis=1)
+    query_sq = (queries * queries).sum(axis=1)
     if metric == "l1":
+        return _rough_l1(rows, queries, bool(np.isfinite(row_sq).all() and np.isfinite(query_sq).all()))
+    if metric == "cosine":
+        with np.errstate(invalid="ignore", divide="ignore"):
+            rows, queries = rows / np.sqrt(row_sq)[:, None], queries / np.sqrt(query_sq)[:, None]
+        row_sq, query_sq = (rows * rows).sum(axis=1), (queries * queries).sum(axis=1)
+    width = rows.shape[1]
+    clean = bool(np.isfinite(row_sq).all() and np.isfinite(query_sq).all())
+    single = clean and width >= SINGLE and max(row_sq.max(initial=0.0), query_sq.max(initial=0.0)) < 1e30
+    kind, unit = (np.float32, (width + 8) * 2.0**-23) if single else (np.float64, MARGIN)
+    with np.errstate(invalid="ignore", over="ignore"):
+        if metric == "l2":
+            left = np.concatenate([rows * -2.0, row_sq[:, None], np.ones((len(rows), 1))], axis=1).astype(kind)
+            right = np.concatenate([queries, np.ones((len(queries), 1)), query_sq[:, None]], axis=1).astype(kind)
+            return left @ right.T, unit * 2 * (_largest(row_sq) + query_sq), not clean
+        least = 1e-12 if metric == "spherical" else 1e-300 if kind is np.float64 else 1e-30
+        bound = unit * np.sqrt(_largest(row_sq) * query_sq) + least
+        return (-rows).astype(kind) @ queries.astype(kind).T, bound, not clean
+
+
+def _rough_l1(rows: np.ndarray, queries: np.ndarray, clean: bool) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Sums of absolute differences, in 16-bit whole numbers where the values allow it.
+
+    ``|a - b|`` is ``2 max(a, b) - a - b``, and each rounded value is off by half a step at most.
+    """
+    width = rows.shape[1]
+    top, most = 16000 // max(1, width), max(np.abs(rows).max(initial=0.0), np.abs(queries).max(initial=0.0))
+    if not clean or top < 16 or not 1e-30 < most < 1e30:
         scores = np.empty((len(rows), len(queries)))
         for j, q in enumerate(queries):
             scores[:, j] = np.abs(rows - q).sum(axis=1)
-        return scores, MARGIN * (1.0 + np.array([_largest(column) for column in scores.T]))
-    row_sq = (rows * rows).sum(axis=1)
-    query_sq = (queries * queries).sum(axis=1)
-    dot = rows @ queries.T
+        return scores, MARGIN * (1.0 + np.array([_largest(column) for column in scores.T])), not clean
+    scale = top / most
+    left, right = (np.rint(part * scale).astype(np.int16) for part in (rows, queries))
+    down, across = np.ascontiguousarray(left.T), np.ascontiguousarray(right.T)
+    less, fewer = left.sum(axis=1, dtype=np.int16), right.sum(axis=1, dtype=np.int16)
+    scores = np.empty((len(rows), len(queries)), np.float32)
+    for low in range(0, len(rows), STRIP):
+        high = min(low + STRIP, len(rows))
+        larger = np.zeros((high - low, len(queries)), np.int16)
+        held = np.empty_like(larger)
+        for i in range(width):
+            np.maximum(down[i, low:high, None], across[i][None, :], out=held)
+            np.add(larger, held, out=larger)
+        part = scores[low:high]
+        np.subtract(larger, 0.5 * less[low:high, None].astype(np.float32), out=part)
+        part -= 0.5 * fewer.astype(np.float32)
+        part *= np.float32(2.0 / scale)
+    return scores, np.full(len(queries), (width + 1) * 1.01 / scale), False
+
+
+def _exact_rough(scores: np.ndarray, metric: str, width: int) -> np.ndarray:
+    """Exact scores in the measure of ``_rough``."""
     if metric == "l2":
-        bound = MARGIN * (_largest(row_sq) + query_sq)
-        return row_sq[:, None] + query_sq[None, :] - 2.0 * dot, bound
+        return scores * scores
     if metric == "cosine":
-        with np.errstate(invalid="ignore", divide="ignore"):
-            scores = -dot / np.sqrt(row_sq[:, None] * query_sq[None, :])
-        return scores, np.full(len(queries), MARGIN)
+        return scores - 1.0
     if metric == "spherical":
-        dot = np.clip(dot, -1.0, 1.0)
-    bound = MARGIN * np.sqrt(_largest(row_sq) * query_sq) + 1e-300
-    return -dot, bound
+        return -np.cos(scores * np.pi)
+    return 2.0 * scores - width if metric == "hamming" else scores
 
 
 def _largest(values: np.ndarray) -> float:
@@ -135,11 +182,11 @@ class Best:
         self.rough = np.full((queries, k), np.inf)
         self.row_id = np.full((queries, k), -1, dtype="int64")
         self.count = np.zeros(queries, dtype="int64")
+        self.worst = np.full(queries, np.inf)
 
-    def ceiling(self) -> np.ndarray:
+    def ceiling(self, which: np.ndarray) -> np.ndarray:
         """Rough score beyond which a row cannot enter, infinite until ``k`` rows are held."""
-        worst = self.rough.max(axis=1, initial=-np.inf)
-        return np.where(self.count == self.k, worst, np.inf)
+        return self.worst[which]
 
     def merge(self, query: np.ndarray, score: np.ndarray, rough: np.ndarray, row_id: np.ndarray) -> None:
         touched = np.unique(query)
@@ -155,14 +202,15 @@ class Best:
         keep = place < self.k
         at, order = (query[keep], place[keep]), order[keep]
         self.score[at], self.rough[at], self.row_id[at] = score[order], rough[order], row_id[order]
-        self.count[touched] = np.bincount(query[keep], minlength=len(self.count))[touched]
+        self.count[touched] = np.searchsorted(at[0], touched, "right") - np.searchsorted(at[0], touched, "left")
+        self.worst[touched] = np.where(self.count[touched] == self.k, self.rough[touched].max(axis=1), np.inf)
 
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         query, place = np.nonzero(np.arange(self.k)[None, :] < self.count[:, None])
         return query, self.row_id[query, place], self.score[query, place]
 
 
-def _lowest_copies(rows: np.ndarray, row_ids: np.ndarray, k: int) -> np.ndarray:
+def lowest_copies(rows: np.ndarray, row_ids: np.ndarray, k: int) -> np.ndarray:
     """Marks the ``k`` lowest ids of each group of equal rows; no other copy can be among the best."""
     rows = rows if rows.dtype == np.uint64 else rows + 0.0  # -0.0 is 0.0
     keys = np.ascontiguousarray(rows).view(np.dtype((np.void, rows.shape[1] * 8))).ravel()
@@ -174,43 +222,88 @@ def _lowest_copies(rows: np.ndarray, row_ids: np.ndarray, k: int) -> np.ndarray:
     return wanted
 
 
+def near_order(vectors: np.ndarray, leaf: int) -> np.ndarray:
+    """An order in which rows near each other stand together: halved by the widest coordinate down to ``leaf`` rows."""
+    order, open_parts = np.arange(len(vectors)), [(0, len(vectors))]
+    while open_parts:
+        low, high = open_parts.pop()
+        if high - low <= leaf:
+            continue
+        part = vectors[order[low:high]]
+        with np.errstate(invalid="ignore"):
+            spread = part.max(axis=0) - part.min(axis=0)
+        if not spread.size or not np.nanmax(np.where(np.isnan(spread), 0.0, spread)) > 0:
+            continue
+        middle = -(-(high - low) // (2 * leaf)) * leaf
+        order[low:high] = order[low:high][np.argpartition(part[:, int(np.nanargmax(spread))], min(middle, high - low - 1))]
+        open_parts += [(low, low + middle), (low + middle, high)]
+    return order
+
+
+def _gaps(boxes: tuple[np.ndarray, np.ndarray], queries: np.ndarray, metric: str) -> np.ndarray:
+    """Least rough score that a row of each box can have for any of the queries."""
+    with np.errstate(invalid="ignore", over="ignore"):
+        apart = np.maximum(np.maximum(boxes[0] - queries.max(axis=0), queries.min(axis=0) - boxes[1]), 0.0)
+        least = (apart * apart).sum(axis=1) if metric == "l2" else apart.sum(axis=1)
+    return np.where(np.isfinite(least), least, -np.inf)
+
+
 def offer(
     best: Best, rows: np.ndarray, row_ids: np.ndarray, queries: np.ndarray, metric: str, which: np.ndarray | None = None
 ) -> None:
     """Give ``best`` every (query, row) that may enter it, scored exactly.
 
     ``queries`` are those numbered ``which`` in ``best`` (all of them by default); both sides
-    are already prepared for the metric.
+    are already prepared for the metric. Tiles of rows whose box is farther from a group of queries than what
+    all of these hold are left out, nearest tiles first; that pays where near rows stand together.
     """
+    if not len(rows):
+        return
     which = np.arange(len(queries)) if which is None else np.asarray(which)
-    step = max(1, CELLS // max(1, len(queries)))
-    for i in range(0, len(rows), step):
-        _offer(best, rows[i : i + step], row_ids[i : i + step], queries, metric, which)
+    cuts = list(range(0, len(rows), TILE_ROWS))
+    boxed = metric in ("l2", "l1")
+    boxes = (np.minimum.reduceat(rows, cuts, axis=0), np.maximum.reduceat(rows, cuts, axis=0)) if boxed else None
+    for first in range(0, len(queries), TILE_QUERIES):
+        group, own = queries[first : first + TILE_QUERIES], which[first : first + TILE_QUERIES]
+        gaps = _gaps(boxes, group, metric) if boxed else np.full(len(cuts), -np.inf)
+        for tile in np.argsort(gaps, kind="stable").tolist():
+            if gaps[tile] * (1 - MARGIN) > best.ceiling(own).max():
+                break
+            part = slice(cuts[tile], cuts[tile] + TILE_ROWS)
+            _offer(best, rows[part], row_ids[part], group, metric, own)
 
 
 def _offer(best: Best, rows, row_ids, queries, metric, which) -> None:
-    rough, bound = _rough(rows, queries, metric)
-    rough[np.isnan(rough)] = np.inf  # ranked last, not lost
-    bound[np.isnan(bound)] = np.inf
-    cut = best.ceiling()[which] + 2 * bound
-    if len(rows) > best.k:
+    rough, bound, undefined = _rough(rows, queries, metric)
+    if undefined:
+        rough[np.isnan(rough)] = np.inf  # ranked last, not lost
+        bound[np.isnan(bound)] = np.inf
+    held = best.ceiling(which)
+    cut = held + bound
+    if len(rows) > best.k and not np.isfinite(held).all():
         cut = np.minimum(cut, np.partition(rough, best.k - 1, axis=0)[best.k - 1] + 2 * bound)
-    at, query = np.nonzero(rough <= cut[None, :])
+    if metric == "spherical":  # all products past 1 or -1 score alike
+        cut = np.where(cut >= 1.0 - bound, np.inf, np.maximum(cut, bound - 1.0))
+    if rough.dtype.kind == "u":
+        cut = np.minimum(cut, np.iinfo(rough.dtype).max).astype(rough.dtype)
+    elif rough.dtype == np.float32:
+        cut = np.nextafter(cut.astype(np.float32), np.float32(np.inf))
+    at, query = np.divmod(np.flatnonzero(rough <= cut[None, :]), len(queries))
     if len(at) > CROWDED * best.k * len(queries):
-        wanted = _lowest_copies(rows, row_ids, best.k)[at]
+        wanted = lowest_copies(rows, row_ids, best.k)[at]
         at, query = at[wanted], query[wanted]
     if len(at) == 0:
         return
-    if metric in ("hamming", "bits"):  # whole numbers: the rough score is exact
-        exact = rough[at, query] if metric == "bits" else (rows.shape[1] + rough[at, query]) / 2
-        best.merge(which[query], exact, rough[at, query], row_ids[at])
-        return
-    scores = np.empty(len(at))
-    step = max(1, CELLS // max(1, rows.shape[1]))
-    for i in range(0, len(at), step):
-        part = slice(i, i + step)
-        scores[part] = pair_scores(rows[at[part]], queries[query[part]], metric)
-    best.merge(which[query], scores, rough[at, query], row_ids[at])
+    if metric == "bits":  # whole numbers: the rough score is exact
+        scores = rough[at, query].astype(np.float64)
+    else:
+        scores = np.empty(len(at))
+        step = max(1, CELLS // max(1, rows.shape[1]))
+        for i in range(0, len(at), step):
+            part = slice(i, i + step)
+            scores[part] = pair_scores(rows[at[part]], queries[query[part]], metric)
+    exact = _exact_rough(scores, metric, rows.shape[1])
+    best.merge(which[query], scores, np.where(np.isnan(exact), np.inf, exact), row_ids[at])
 
 
 def top_k(batches: Iterator[tuple[np.ndarray, np.ndarray]], block: QueryBlock) -> Best:

@@ -1,12 +1,15 @@
 """Query sets of any size, stored once as blocks that every scan task takes one after another.
 
-The vectors searched are neither moved nor repeated. Each task holds a bounded piece of its own rows and leads
+The smaller side is stored. Where that is the queries, the vectors searched are neither moved nor repeated. Each task holds a bounded piece of its own rows and leads
 all stored blocks past it, one at a time, so its memory is one piece of rows, one block of
 queries and that block's hits. Queries that want like numbers of hits stand together in a block, and a block's
 size counts its hits, so a few queries with many hits do not make room for as many in all others.
 
 Blocks lie in the shared folder as Parquet, a row per block; with a folder per list they serve
 clustered search, where a task opens the blocks of its rows' lists alone.
+
+Where the queries are many, the rows are stored (``write_rows``) and every task leads them past its own queries
+(``meet``): each query's hits are then found in one task, by the best of all rows before, and not merged.
 """
 
 from __future__ import annotations
@@ -28,6 +31,10 @@ from folioseek.plans.shipping import ship_package
 HIT_STATE = 24
 #: Bytes of a task's own rows that are held while the blocks go past.
 HELD_ROWS = 64 * 1024 * 1024
+#: Bytes of a task's own queries and their hits that are held while stored rows go past.
+HELD_QUERIES = 64 * 1024 * 1024
+#: Parts into which the queries are dealt per core, and queries of a part that are taken up at once.
+TASKS_PER_CORE, SLICE = 2, 1000
 
 LAYOUT = "k int, width int, ids binary, q binary"
 
@@ -81,6 +88,80 @@ def write(queries: DataFrame, path: str, metric: str, max_bytes: int, by: str |
         (made.write.partitionBy(by) if by else made.write).parquet(path)
 
 
+def write_rows(vectors: DataFrame, path: str, metric: str, most: int, held: int = HELD_ROWS) -> None:
+    """Store vectors (id, embedding) as blocks in which near rows stand together.
+
+    Of equal rows in a piece only the ``most`` lowest ids are stored, as no other can be among that many hits.
+    """
+    ship_package(vectors.sparkSession)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, ids, rows in _pieces(batches, metric, None, held):
+            kept = blocks.lowest_copies(rows, ids, most)
+            ids, rows = ids[kept], rows[kept]
+            if metric in ("l2", "l1"):
+                order = blocks.near_order(rows, blocks.TILE_ROWS)
+                ids, rows = ids[order], rows[order]
+            step = max(1, held // 8 // max(1, 8 * rows.shape[1]) // blocks.TILE_ROWS) * blocks.TILE_ROWS
+            for low in range(0, len(ids), step):
+                part = slice(low, low + step)
+                kind = "<u8" if metric == "bits" else "<f8"
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "k": [1], "width": [rows.shape[1]], "ids": [ids[part].astype("<i8").tobytes()],
+                        "q": [np.ascontiguousarray(rows[part].astype(kind)).tobytes()],
+                    },
+                    pa.schema([("k", pa.int32()), ("width", pa.int32()), ("ids", pa.binary()), ("q", pa.binary())]),
+                )
+
+    with sizing.shuffle_files_removed(vectors.sparkSession):
+        vectors.select("id", "embedding").mapInArrow(packed, LAYOUT).write.parquet(path)
+
+
+def meet(queries: DataFrame, path: str, metric: str, held: int = HELD_QUERIES) -> DataFrame:
+    """Hits of queries (query_id, q, k) among the rows stored by ``write_rows``: ``query_id, id, score``.
+
+    Queries are stored once, dealt over all cores; a task leads the stored rows past bounded pieces of its own.
+    """
+    ship_package(queries.sparkSession)
+    dealt = queries.select("query_id", "q", F.col("k").cast("int").alias("k"))
+    dealt = dealt.repartition(TASKS_PER_CORE * queries.sparkSession.sparkContext.defaultParallelism)
+    dealt = sizing.materialize(dealt, "asked")
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        taken, size = [], 0
+        for batch in batches:
+            for low in range(0, batch.num_rows, SLICE):
+                part = batch.slice(low, SLICE)
+                own = part.nbytes * 2 + 3 * HIT_STATE * int(part.column("k").to_numpy().astype("int64").sum())
+                if taken and size + own > held:
+                    yield pa.Table.from_batches(taken)
+                    taken, size = [], 0
+                taken.append(part)
+                size += own
+        if taken:
+            yield pa.Table.from_batches(taken)
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches):
+            asked = []
+            for block in of_table(piece, metric, held):
+                if metric in ("l2", "l1"):
+                    order = blocks.near_order(block.vectors, blocks.TILE_QUERIES)
+                    block = blocks.QueryBlock(block.ids[order], block.vectors[order], block.k, metric)
+                asked.append((block, blocks.Best(len(block.ids), block.k), blocks.prepared(block.vectors, metric)))
+            for rows in stored(path, metric):
+                ready = blocks.prepared(rows.vectors, metric)
+                for block, best, prepared in asked:
+                    if rows.vectors.shape[1] != block.vectors.shape[1]:
+                        raise ValueError(f"different vector dimensions {block.vectors.shape[1]} and {rows.vectors.shape[1]}")
+                    blocks.offer(best, ready, rows.ids, prepared, metric)
+            for block, best, _ in asked:
+                yield blocks.result_batch(best, block)
+
+    return dealt.mapInArrow(found, blocks.RESULT_SCHEMA)
+
+
 def readable(path: str) -> bool:
     """Whether tasks can open the shared folder themselves: local and network folders, HDFS and object stores can be."""
     try:

@@ -26,7 +26,11 @@ FEW_QUERIES = 256
 HIT_BYTES = 64
 SNIPPET_BYTES = 8192
 #: Hits that a task holds at most for queries that were sent to it; past it queries are stored as blocks.
-STATE_BYTES = 256 * 1024 * 1024
+STATE_BYTES = 64 * 1024 * 1024
+#: Queries and hits that are always sent to the rows. Past it the rows are stored and led past the queries, unless they
+#: take more than ``ROWS_PER_QUERY`` times the bytes of the queries and their hits.
+SENT_BYTES = 1024 * 1024
+ROWS_PER_QUERY = 64
 #: Tasks whose hits are merged together before those of all tasks are.
 FAN_IN = 256
 
@@ -170,15 +174,25 @@ def _exact(
     queries = queries.filter(F.col("q").isNotNull()).select("query_id", "q", own.cast("int").alias("k"))
     vectors = vectors.filter(F.col("embedding").isNotNull())
     fan_in = many_tasks(vectors)
-    rows = queries_within(queries, max_query_bytes)
+    spark = vectors.sparkSession
+    path = query_blocks.work_folder(spark)
+    rows = queries_within(queries, min(max_query_bytes, SENT_BYTES))
+    if rows is None and query_blocks.readable(path):
+        asked, most, largest = queries.agg(
+            F.sum(F.size("q").cast("long") * 8), F.sum(F.col("k").cast("long")), F.max("k")
+        ).first()
+        searched = vectors.agg(F.sum(F.size("embedding").cast("long") * 8)).first()[0] or 0
+        if searched <= ROWS_PER_QUERY * (asked + query_blocks.HIT_STATE * most):
+            query_blocks.write_rows(vectors, path, metric, largest)
+            return per_query_top(query_blocks.meet(queries, path, metric), "query_id", k), most
+    if rows is None:
+        rows = queries_within(queries, max_query_bytes)
     if rows is not None:
         held = query_blocks.of_table(rows, metric, max_query_bytes)
         most = sum(len(block.ids) * block.k for block in held)
         if query_blocks.HIT_STATE * most <= STATE_BYTES:
             found = query_blocks.scan_sent(vectors, held)
             return per_query_top(found, "query_id", k, fan_in), most
-    spark = vectors.sparkSession
-    path = query_blocks.work_folder(spark)
     if not query_blocks.readable(path):
         return per_query_top(by_grid(vectors, queries, k, metric, max_query_bytes), "query_id", k), None
     query_blocks.write(queries, path, metric, max_query_bytes)
@@ -199,9 +213,9 @@ def exact_top_k(
 ) -> DataFrame:
     """Exact k nearest of ``vectors(id, embedding)`` for ``queries(query_id, q)``.
 
-    Result ``(query_id, id, score, rank)``. A query set within ``max_query_bytes`` is sent to
-    every task; a larger one is stored as blocks of that size, which every task leads past its own
-    rows. ``vectors`` are not shuffled either way, and results are equal.
+    Result ``(query_id, id, score, rank)``. A few queries are sent to every task. Of more, the smaller side is
+    stored as blocks: mostly ``vectors``, which every task leads past its own queries; next to very many rows the
+    queries (sent within ``max_query_bytes``). ``vectors`` are not shuffled either way, and results are equal.
     """
     found, bound = _exact(vectors, queries, k, metric, max_query_bytes)
     return broadcast_within(found, bound, HIT_BYTES)

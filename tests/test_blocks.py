@@ -90,3 +90,50 @@ def test_bad_arguments():
         blocks.QueryBlock(np.arange(1), np.ones((1, 2)), 0, "l2")
     with pytest.raises(ValueError):
         blocks.QueryBlock(np.arange(1), np.ones((1, 2)), 1, "nearest")
+
+
+@pytest.mark.parametrize("metric", blocks.METRICS)
+@pytest.mark.parametrize("grid", [False, True])
+def test_wide_vectors_in_many_tiles_equal_brute_force(metric, grid, monkeypatch):
+    monkeypatch.setattr(blocks, "TILE_ROWS", 64)
+    monkeypatch.setattr(blocks, "TILE_QUERIES", 16)
+    monkeypatch.setattr(blocks, "STRIP", 24)
+    rng = np.random.default_rng(5)
+    rows, queries, ids = rng.standard_normal((700, 33)), rng.standard_normal((40, 33)), rng.permutation(700)
+    if metric == "bits":
+        rows, queries = (rng.integers(0, 8 if grid else 2**63, (n, 2)).astype(np.uint64) for n in (700, 40))
+    elif grid:
+        rows, queries = np.round(rows / 3), np.round(queries / 3)
+    elif metric == "spherical":
+        rows, queries = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (rows, queries))
+    assert answer(ids, rows, queries, 9, metric, 300) == brute(ids, rows, queries, 9, metric)
+
+
+@pytest.mark.parametrize("metric", ["l2", "l1"])
+@pytest.mark.parametrize("scale", [1e-200, 1e-35, 1e6, 1e38])
+def test_sizes_of_values_do_not_matter(metric, scale):
+    rng = np.random.default_rng(6)
+    rows, queries, ids = rng.standard_normal((90, 20)) * scale, rng.standard_normal((5, 20)) * scale, np.arange(90)
+    if metric == "l1" or scale > 1e-100:  # squares of the smallest are 0
+        assert answer(ids, rows, queries, 4, metric, 50) == brute(ids, rows, queries, 4, metric)
+
+
+@pytest.mark.parametrize("metric", ["l2", "l1"])
+def test_far_tiles_are_left_out(metric, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = rng.integers(0, 300, (20_000, 2)).astype(float)
+    queries = rng.integers(0, 300, (2000, 2)).astype(float)
+    ids = np.arange(len(rows))
+    want = answer(ids, rows, queries[:50], 5, metric, len(rows))
+    scored = []
+    rough = blocks._rough
+    monkeypatch.setattr(blocks, "_rough", lambda a, b, m: scored.append(len(a) * len(b)) or rough(a, b, m))
+    monkeypatch.setattr(blocks, "TILE_ROWS", 256)
+    monkeypatch.setattr(blocks, "TILE_QUERIES", 64)
+    near, asked = blocks.near_order(rows, 256), blocks.near_order(queries, 64)
+    assert sorted(near.tolist()) == list(range(len(rows)))
+    block = blocks.QueryBlock(asked, queries[asked], 5, metric)
+    query, row, _ = blocks.top_k(iter([(ids[near], rows[near])]), block).rows()
+    found = sorted((int(asked[q]), place, int(r)) for place, (q, r) in enumerate(zip(query, row)) if asked[q] < 50)
+    assert [(q, r) for q, _, r in found] == want
+    assert sum(scored) < len(rows) * len(queries) / 5

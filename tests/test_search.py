@@ -294,3 +294,19 @@ def test_probed_lists_prune_the_scan(spark, vectors, queries, lists):
         mine = rows.join(probed.filter(F.col("query_id") == q.query_id), "list_id").select("id", "embedding")
         want += brute(mine, one.filter(F.col("query_id") == q.query_id), 3)
     assert values(found, "query_id", "rank", "id") == sorted(want, key=repr)
+
+
+def test_many_queries_find_their_hits_in_one_task(spark, vectors, queries):
+    path = query_blocks.work_folder(spark)
+    query_blocks.write_rows(vectors.repartition(7), path, "l2", 9, held=400)
+    hits = query_blocks.meet(queries.withColumn("k", F.when(F.col("query_id") % 2 == 0, 9).otherwise(4)), path, "l2", held=3000)
+    assert hits.groupBy("query_id").count().agg(F.max("count")).first()[0] == 9  # of 7 tasks with rows, 63 before
+    assert values(search.per_query_top(hits, "query_id", 4), "query_id", "rank", "id") == brute(vectors, queries, 4)
+
+
+def test_stored_rows_keep_the_lowest_of_equal_ones(spark):
+    copies = spark.range(5000).select((F.lit(5000) - F.col("id")).alias("id"), F.array(F.lit(1.5), F.lit(2.0)).alias("embedding"))
+    others = spark.range(6000, 6003).select("id", F.array(F.col("id").cast("double"), F.lit(0.0)).alias("embedding"))
+    path = query_blocks.work_folder(spark)
+    query_blocks.write_rows(copies.coalesce(1).union(others.coalesce(1)), path, "l2", 3)
+    assert sorted(i for b in query_blocks.stored(path, "l2") for i in b.ids.tolist()) == [1, 2, 3, 6000, 6001, 6002]
