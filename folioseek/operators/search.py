@@ -177,7 +177,8 @@ def _exact(
     spark = vectors.sparkSession
     path = query_blocks.work_folder(spark)
     rows = queries_within(queries, min(max_query_bytes, SENT_BYTES))
-    if rows is None and query_blocks.readable(path):
+    many = rows is None or query_blocks.HIT_STATE * (pc.sum(rows.column("k")).as_py() or 0) > SENT_BYTES
+    if many and query_blocks.readable(path):
         asked, most, largest = queries.agg(
             F.sum(F.size("q").cast("long") * 8), F.sum(F.col("k").cast("long")), F.max("k")
         ).first()

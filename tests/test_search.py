@@ -310,3 +310,12 @@ def test_stored_rows_keep_the_lowest_of_equal_ones(spark):
     path = query_blocks.work_folder(spark)
     query_blocks.write_rows(copies.coalesce(1).union(others.coalesce(1)), path, "l2", 3)
     assert sorted(i for b in query_blocks.stored(path, "l2") for i in b.ids.tolist()) == [1, 2, 3, 6000, 6001, 6002]
+
+
+def test_short_queries_with_many_hits_are_dealt_over_the_tasks(spark, vectors, monkeypatch):
+    monkeypatch.setattr(search, "SENT_BYTES", 50_000)  # the queries are 14,400 bytes, their hits 144,000
+    asked = vectors.select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))
+    stored = []
+    monkeypatch.setattr(query_blocks, "write_rows", lambda *a, write=query_blocks.write_rows: stored.append(a) or write(*a))
+    found = search.exact_top_k(vectors, asked, 20)
+    assert len(stored) == 1 and values(found, "query_id", "rank", "id") == brute(vectors, asked, 20)
