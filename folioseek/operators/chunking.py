@@ -15,7 +15,7 @@ from folioseek.plans.shipping import ship_package
 
 CHUNK_SIZE = 1000
 CHUNK_OVERLAP = 200
-FLUSH_CHARS = 8_000_000
+FLUSH_CHARS = 2_000_000
 
 # What joins the pieces of each level back.
 GLUES = ("\n\n", "\n", " ", " ")
@@ -126,7 +126,7 @@ def chunk_documents(
             return [(None, None, str(failure) or type(failure).__name__)]
 
     def flushed(batch: pa.RecordBatch, rows: list[int], found: list[tuple]) -> pa.RecordBatch:
-        source = batch.take(pa.array(rows, pa.int64()))
+        source = batch.select([key, *carry]).take(pa.array(rows, pa.int64()))  # not the text once per chunk
         index, content, error = zip(*found)
         return pa.RecordBatch.from_arrays(
             [

@@ -146,3 +146,10 @@ def test_runs_of_blanks_take_linear_time():
     started = time.perf_counter()
     assert chunking.split_text("a" + " " * 1_000_000 + "b" + blank + "c") == ["a b", "a b\n\nc"]
     assert time.perf_counter() - started < 1
+
+
+def test_a_long_text_is_not_held_once_per_chunk(spark):
+    # 2,500 chunks; the text 2,500 times would be 5 GB, past what one column holds
+    docs = spark.createDataFrame([(1, "m", "x" * 2_000_000), (2, "n", "y")], "doc_id long, metadata string, text string")
+    found = chunking.chunk_documents(docs, split_windows, carry=("metadata",)).groupBy("doc_id", "metadata").count()
+    assert values(found, "doc_id", "metadata", "count") == [(1, "m", 2500), (2, "n", 1)]
