@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 import pytest
 from conftest import values
 from hypothesis import given, settings
@@ -148,8 +149,18 @@ def test_runs_of_blanks_take_linear_time():
     assert time.perf_counter() - started < 1
 
 
-def test_a_long_text_is_not_held_once_per_chunk(spark):
-    # 2,500 chunks; the text 2,500 times would be 5 GB, past what one column holds
-    docs = spark.createDataFrame([(1, "m", "x" * 2_000_000), (2, "n", "y")], "doc_id long, metadata string, text string")
-    found = chunking.chunk_documents(docs, split_windows, carry=("metadata",)).groupBy("doc_id", "metadata").count()
-    assert values(found, "doc_id", "metadata", "count") == [(1, "m", 2500), (2, "n", 1)]
+def test_a_long_text_is_not_held_once_per_chunk(spark, monkeypatch):
+    class Caught:
+        schema = spark.createDataFrame([], "doc_id long, metadata string, text string").schema
+
+        def mapInArrow(self, job, schema):
+            return job
+
+    monkeypatch.setattr(chunking.sizing, "fill_cores", lambda df, *keys: Caught())
+    docs = spark.createDataFrame([], Caught.schema)
+    job = chunking.chunk_documents(docs, split_windows, carry=("metadata",))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "metadata": ["m"], "text": ["x" * 800_000]})
+    pool = pa.default_memory_pool()
+    peak, held = pool.max_memory(), pool.bytes_allocated()
+    assert sum(b.num_rows for b in job(iter([batch]))) == 1000
+    assert pool.max_memory() <= max(peak, held + 50_000_000)  # 800 MB before
