@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from folioseek.operators.ingest import ingest, remove_orphans
 from folioseek.operators.sync import latest_versions
+from folioseek.plans import sizing
 from folioseek.sources.store import ChunkStore
 from folioseek.sources.tables import Tables
 
@@ -54,9 +55,13 @@ def start_ingest(
             now = tables()
             arrived = newest_documents(batch)
             failed = store.sources().filter("status = 'ERROR'").select(F.col("doc_id").alias("id"))
-            again = now.documents.join(failed, "id", "left_semi").join(arrived.select("id"), "id", "left_anti")
-            due = arrived.unionByName(again.select(*arrived.columns))
+            waiting = sizing.materialize(failed.join(arrived.select("id"), "id", "left_anti"), "waiting")
+            due = arrived
+            if not waiting.isEmpty():  # else the other documents are not read at all
+                ids = F.broadcast(waiting) if sizing.fits_broadcast(waiting) else waiting
+                due = arrived.unionByName(now.documents.join(ids, "id", "left_semi").select(*arrived.columns))
             ingest(replace(now, documents=due), store, **options)
+            sizing.release(waiting)
             if cleanup_every and (batch_id + 1) % cleanup_every == 0:
                 remove_orphans(now, store)
 
@@ -65,7 +70,24 @@ def start_ingest(
 
 
 def newest_documents(batch: DataFrame) -> DataFrame:
-    """The newest version of each document; versions are folded without the document's text."""
+    """The newest version of each document; rows without an id are left out.
+
+    A document that came once is its own newest version, so only the ids are counted for it. Those that came
+    more often are picked out within the broadcast bound and folded alone; past it all are folded.
+    """
+    known = batch.filter(F.col("id").isNotNull())
+    repeated = known.groupBy("id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("id")
+    if repeated.isEmpty():
+        return known
+    if not sizing.fits_broadcast(repeated, measure=True):
+        return _folded(known)
+    several = F.broadcast(repeated)
+    once = known.join(several, "id", "left_anti").select(*batch.columns)
+    return once.unionByName(_folded(known.join(several, "id", "left_semi").select(*batch.columns)))
+
+
+def _folded(batch: DataFrame) -> DataFrame:
+    """The newest of all versions of each document; versions are folded without the document's text."""
     wide = [c for c in batch.columns if c not in ("id", "modified")]
     marked = batch.withColumn("_mark", F.xxhash64(*wide))
     newest = latest_versions(marked.select("id", "modified", "_mark"), "id", "modified", "_mark")

@@ -158,3 +158,31 @@ def test_ten_batches_leave_no_work_folders(spark, tables, tmp_path):
     assert query.exception() is None and len(query.recentProgress) >= 10
     left = {p.name for p in root.iterdir()} - before
     assert left <= {Path(store.root).name}
+
+
+def test_texts_of_documents_that_came_once_are_not_shuffled(spark, tables):
+    rows = tables.documents
+    newest = continuous.newest_documents(rows.unionByName(rows.limit(0)))
+    assert "Exchange" not in newest._jdf.queryExecution().executedPlan().toString()
+    assert values(newest) == values(rows)
+    nameless = rows.limit(1).withColumn("id", F.lit(None).cast(rows.schema["id"].dataType))
+    assert values(continuous.newest_documents(rows.unionByName(nameless))) == values(rows)
+    older = rows.filter("id = 2").withColumns({"content": F.lit("old"), "modified": F.col("modified") - F.expr("INTERVAL 1 DAY")})
+    assert values(continuous.newest_documents(older.unionByName(rows))) == values(rows)
+
+
+def test_folding_past_the_broadcast_bound(spark, tables, monkeypatch):
+    rows = tables.documents
+    older = rows.filter("id IN (2, 3)").withColumns({"content": F.lit("old"), "modified": F.col("modified") - F.expr("INTERVAL 1 DAY")})
+    monkeypatch.setattr(sizing, "fits_broadcast", lambda *a, **b: False)
+    assert values(continuous.newest_documents(older.unionByName(rows))) == values(rows)
+
+
+def test_documents_that_did_not_arrive_are_read_only_when_some_failed(spark, tables):
+    folder = sizing.work_path(spark, "arriving")
+    store = ChunkStore(spark, sizing.work_path(spark, "stream-store"))
+    ingest(tables, store, **batch_options(as_of=datetime(2024, 2, 1)))
+    tables.documents.filter("id = 1").withColumn("modified", F.lit(datetime(2024, 5, 1))).write.parquet(folder)
+    unread = tables.documents.withColumn("content", F.raise_error(F.lit("read")).cast("string"))
+    paragraphs(tables, spark, store, sizing.work_path(spark, "c"), folder, unread)
+    assert values(store.run_state(1), "doc_id") == [(1,)]
