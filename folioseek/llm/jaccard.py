@@ -449,9 +449,11 @@ def links(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, D
     stars = shared.select(F.explode(F.array(*[F.struct(*_pair("key", c)) for c in centers])).alias("p"))
     first = verify(docs, classes, stars.select("p.*").where("a <> b"), width, num, den)
 
-    def placed(found: DataFrame) -> DataFrame:
+    def placed(found: DataFrame, *beside: str) -> DataFrame:
+        """Members with their component, and of their buckets only what is read later, as all of it is shuffled."""
         labels = components(found).withColumnRenamed("node", "key")
-        return shared.join(labels, "key", "left").withColumn("comp", F.coalesce("component", "key")).drop("component")
+        members = shared.select("shingle", "key", *beside).join(labels, "key", "left")
+        return members.withColumn("comp", F.coalesce("component", "key")).drop("component")
 
     # a second round, for those outside the largest component of a bucket, against a few of its members
     inside = materialize(placed(first), "inside")
@@ -465,7 +467,7 @@ def links(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, D
     again = again.select(F.explode(F.array(*[F.struct(*_pair("key", f"top.d{i}")) for i in range(CENTERS + 1)])).alias("p"))
     second = verify(docs, classes, again.select("p.*"), width, num, den)
     release(inside)
-    inside = materialize(placed(first.union(second)), "inside")
+    inside = materialize(placed(first.union(second), "m", "least", "most"), "inside")
     release(shared)
     # buckets in which some pair is open: more than one component, and more than the two ends
     open_buckets = (

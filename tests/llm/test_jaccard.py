@@ -145,3 +145,10 @@ def test_links_equal_all_pairs(spark, monkeypatch, block):
     want = plain_links(rows, 4, 85, 100)
     assert min(want[:40]) == 39 and max(want[40:]) > 0
     assert [found[k] for k, _ in rows] == want
+
+
+def test_label_joins_carry_no_columns_that_are_not_read(spark, monkeypatch):
+    stored, store = [], jaccard.materialize
+    monkeypatch.setattr(jaccard, "materialize", lambda df, name: stored.append((name, set(df.columns))) or store(df, name))
+    jaccard.links(brute.frame(spark, random_rows(1, 24)), 4, 85, 100)
+    assert [c for n, c in stored if n == "inside"] == [{"shingle", "key", "comp"}, {"shingle", "key", "comp", "m", "least", "most"}]
