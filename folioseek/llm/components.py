@@ -45,3 +45,24 @@ def components(edges: DataFrame) -> DataFrame:
         if labels.where("old <> component").limit(1).count() == 0:
             release(both)
             return labels.select("node", "component")
+
+
+def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``components`` of more ``edges`` (``a``, ``b``) beside those that ``labels`` are the components of.
+
+    Edges are led between components, named by their smallest nodes, so only what they join is gone through again.
+    """
+    known = labels.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    ends = edges.select("a", "b").join(known, "a", "left").join(known.select(F.col("a").alias("b"), F.col("ca").alias("cb")), "b", "left")
+    between = materialize(
+        ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct(), "between"
+    )
+    if between.limit(1).count() == 0:
+        release(between)
+        return labels
+    joined = components(between)
+    release(between)
+    new = joined.join(labels, "node", "left_anti").select("node", "component")
+    onward = joined.select(F.col("node").alias("component"), F.col("component").alias("next"))
+    moved = labels.join(onward, "component", "left").select("node", F.coalesce("next", "component").alias("component"))
+    return materialize(moved.union(new), "labels")

@@ -22,15 +22,16 @@ pairs and whole sets verify them; only counts leave a cell.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioseek.llm import batches
-from folioseek.llm.components import components
+from folioseek.llm.bits import bit_map, hits
+from folioseek.llm.components import components, merged
 from folioseek.llm.joins import lookup
 from folioseek.plans.shipping import ship_package
 from folioseek.plans.sizing import materialize, release
@@ -43,8 +44,12 @@ FREQUENT, FREQUENT_KEPT = 32, 1 << 19
 #: Shingles that a task counts at a time.
 COUNTED_TOGETHER = 1 << 21
 LEAF, FANOUT, BLOCK = 16, 8, 2048
+#: Most pairs of nodes that a task tests at a time, as children of pairs that reached the threshold.
+EXPANDED = 1 << 16
 #: Members of a bucket, besides the least and the greatest, that all others are paired with.
 CENTERS = 2
+#: Logarithm of the number of 64-bit slots of the bit map of shared shingles. It only keeps others from being shuffled.
+MARK_BITS = 19
 #: Members, and shingles of all members together, of a block of a component whose links are counted.
 COUNTED_SETS, COUNTED_SHINGLES = 512, 1 << 20
 
@@ -145,19 +150,21 @@ def surviving(a: CountTree, b: CountTree | None, num: int, den: int) -> np.ndarr
     own = b is None
     b = a if own else b
     la, lb = len(a.levels) - 1, len(b.levels) - 1
-    pairs = np.zeros((1, 2), np.int64)
-    while len(pairs):
-        kept = []
-        for low in range(0, len(pairs), 1 << 16):
-            p = pairs[low : low + (1 << 16)]
-            (ta, na, xa), (tb, nb, xb) = a.levels[la], b.levels[lb]
-            i, j = p[:, 0], p[:, 1]
-            most = np.minimum(np.minimum(ta[i], tb[j]).sum(axis=1), np.minimum(xa[i], xb[j]))
-            kept.append(p[most * (num + den) >= num * (na[i] + nb[j])])
-        pairs = np.concatenate(kept)
-        if la == 0 and lb == 0:
-            break
-        pairs, la, lb = _children(pairs, a, b, la, lb, own)
+
+    def reaching(p: np.ndarray, la: int, lb: int) -> np.ndarray:
+        (ta, na, xa), (tb, nb, xb) = a.levels[la], b.levels[lb]
+        i, j = p[:, 0], p[:, 1]
+        most = np.minimum(np.minimum(ta[i], tb[j]).sum(axis=1), np.minimum(xa[i], xb[j]))
+        return p[most * (num + den) >= num * (na[i] + nb[j])]
+
+    pairs = reaching(np.zeros((1, 2), np.int64), la, lb)
+    while la or lb:
+        kept = [np.zeros((0, 2), np.int64)]
+        down = max(la, lb) - 1  # the deeper tree goes down, or both
+        for low in range(0, len(pairs), EXPANDED // LEAF**2):
+            below, *_ = _children(pairs[low : low + EXPANDED // LEAF**2], a, b, la, lb, own)
+            kept.append(reaching(below, min(la, down), min(lb, down)))
+        pairs, la, lb = np.concatenate(kept), min(la, down), min(lb, down)
     if own:
         pairs = pairs[pairs[:, 0] < pairs[:, 1]]
     return np.stack([a.order[pairs[:, 0]], b.order[pairs[:, 1]]], axis=1)
@@ -425,6 +432,20 @@ def _tree_pairs(num: int, den: int):
     return rows
 
 
+def _members(known: DataFrame, sent) -> DataFrame:
+    """Keys and shingles of all prefixes that the bit map ``sent`` lets through; it misses none that it was made of."""
+
+    def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            prefixes = batch.column(1)
+            shingle = prefixes.flatten().to_numpy(zero_copy_only=False)
+            kept = hits(sent.value, shingle.view(np.uint64), MARK_BITS)
+            key = np.repeat(batch.column(0).to_numpy(), pc.list_value_length(prefixes).to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([pa.array(key[kept]), pa.array(shingle[kept])], ["key", "shingle"])
+
+    return known.select("key", "prefix").mapInArrow(rows, "key bigint, shingle bigint")
+
+
 def links(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """Described documents, and the component of each key of a set that links with another."""
     ship_package(docs.sparkSession)
@@ -434,29 +455,39 @@ def links(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, D
         known.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")), "classes"
     )
     members = known.select("key", F.explode("prefix").alias("shingle"))
-    buckets = materialize(
+    # most shingles are alone; what else is asked of a bucket is found for the others only, as all of it is shuffled
+    ends = materialize(
         members.groupBy("shingle")
-        .agg(
-            F.min("key").alias("least"), F.max("key").alias("most"), F.count(F.lit(1)).alias("m"),
-            *[F.min_by("key", F.xxhash64("key", F.lit(i))).alias(f"center{i}") for i in range(CENTERS)],
-        )
+        .agg(F.min("key").alias("least"), F.max("key").alias("most"), F.count(F.lit(1)).alias("m"))
         .where("least <> most"),
-        "buckets",
+        "ends",
+    )
+    sent = docs.sparkSession.sparkContext.broadcast(bit_map(ends, "shingle", MARK_BITS))
+    together = materialize(lookup(_members(known, sent), ends, "shingle"), "together")
+    sent.destroy()
+    release(ends)
+    slim = materialize(described.drop("prefix"), "described")
+    release(described)
+    described, known = slim, slim.where("key is not null and doc_id is not null")
+    buckets = together.groupBy("shingle").agg(
+        *[F.min_by("key", F.xxhash64("key", F.lit(i))).alias(f"center{i}") for i in range(CENTERS)]
     )
-    shared = materialize(lookup(members, buckets, "shingle"), "shared")
-    release(buckets)
+    buckets = materialize(buckets, "buckets")
+    shared = materialize(lookup(together, buckets, "shingle"), "shared")
+    release(together, buckets)
     centers = ["least", "most", *[f"center{i}" for i in range(CENTERS)]]
     stars = shared.select(F.explode(F.array(*[F.struct(*_pair("key", c)) for c in centers])).alias("p"))
     first = verify(docs, classes, stars.select("p.*").where("a <> b"), width, num, den)
 
-    def placed(found: DataFrame, *beside: str) -> DataFrame:
+    def placed(labels: DataFrame, *beside: str) -> DataFrame:
         """Members with their component, and of their buckets only what is read later, as all of it is shuffled."""
-        labels = components(found).withColumnRenamed("node", "key")
-        members = shared.select("shingle", "key", *beside).join(labels, "key", "left")
+        members = shared.select("shingle", "key", *beside).join(labels.withColumnRenamed("node", "key"), "key", "left")
         return members.withColumn("comp", F.coalesce("component", "key")).drop("component")
 
     # a second round, for those outside the largest component of a bucket, against a few of its members
-    inside = materialize(placed(first), "inside")
+    labels = components(first)
+    release(first)
+    inside = materialize(placed(labels), "inside")
     drawn = [F.min_by("key", F.xxhash64("key", "shingle", F.lit(i))).alias(f"d{i}") for i in range(CENTERS + 1)]
     largest = (
         inside.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("c"), *drawn)
@@ -467,7 +498,9 @@ def links(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, D
     again = again.select(F.explode(F.array(*[F.struct(*_pair("key", f"top.d{i}")) for i in range(CENTERS + 1)])).alias("p"))
     second = verify(docs, classes, again.select("p.*"), width, num, den)
     release(inside)
-    inside = materialize(placed(first.union(second), "m", "least", "most"), "inside")
+    labels = merged(labels, second)
+    release(second)
+    inside = materialize(placed(labels, "m", "least", "most"), "inside")
     release(shared)
     # buckets in which some pair is open: more than one component, and more than the two ends
     open_buckets = (
@@ -494,9 +527,11 @@ def links(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, D
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = cells.repartition(n, "shingle", "block_a", "block_b").sortWithinPartitions("shingle", "block_a", "block_b")
     more = ordered.mapInArrow(_tree_pairs(num, den), "a bigint, b bigint")
-    found = reduce(DataFrame.union, [first, second, verify(docs, classes, more, width, num, den)])
+    third = verify(docs, classes, more, width, num, den)
     release(inside, open_buckets, classes)
-    return described, components(found)
+    labels = merged(labels, third)
+    release(third)
+    return described, labels
 
 
 def _cell_links(num: int, den: int):
@@ -590,7 +625,6 @@ def group(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, count_
     with a null id, whose component is null. Rows with one id and different texts are separate rows.
     """
     described, labels = links(docs, width, num, den)
-    labels = materialize(labels, "labels")
     classes = described.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
     placed = classes.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn(
         "component", F.coalesce("component", "key")

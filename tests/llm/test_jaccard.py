@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import brute
 import numpy as np
@@ -8,7 +9,8 @@ import pyarrow as pa
 import pytest
 
 from folioseek.llm import batches, jaccard
-from folioseek.llm.components import components
+from folioseek.llm.bits import bit_map
+from folioseek.llm.components import components, merged
 
 
 def random_rows(seed: int, n: int = 120):
@@ -152,3 +154,42 @@ def test_label_joins_carry_no_columns_that_are_not_read(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "materialize", lambda df, name: stored.append((name, set(df.columns))) or store(df, name))
     jaccard.links(brute.frame(spark, random_rows(1, 24)), 4, 85, 100)
     assert [c for n, c in stored if n == "inside"] == [{"shingle", "key", "comp"}, {"shingle", "key", "comp", "m", "least", "most"}]
+
+
+def test_surviving_pairs_take_bounded_memory():
+    """Near points prune nothing above the leaves; children of all their nodes at once took 98 MB."""
+    rng = np.random.default_rng(5)
+    points = rng.integers(0, 2, (4096, jaccard.COARSE), np.int8)
+    points[:, 0] += 1
+    sizes = points.sum(axis=1)
+    tree, other = (jaccard.CountTree(points[i::2].astype(np.int64), sizes[i::2]) for i in range(2))
+    shared = np.minimum(points[::2][:, None], points[1::2][None]).sum(axis=2)
+    want = np.argwhere(shared * 185 >= 85 * (sizes[::2][:, None] + sizes[1::2][None]))
+    tracemalloc.start()
+    found = jaccard.surviving(tree, other, 85, 100)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(np.unique(found, axis=0), want)
+    assert peak < 48 << 20
+
+
+def test_merged_components_equal_those_of_all_edges(spark):
+    rng = random.Random(3)
+    edges = [(rng.randrange(90), rng.randrange(90)) for _ in range(70)]
+    edges = [(a, b) for a, b in edges if a != b]
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    for first in (0, 30, len(edges)):
+        found = merged(components(frame(edges[:first])), frame(edges[first:]))
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, components(frame(edges)).collect()))
+
+
+def test_only_shared_shingles_are_joined_with_buckets(spark):
+    """Prefixes of texts that share nothing are not shuffled a second time."""
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(50))) for i in range(200)] + [(900, "a b c d e f g"), (901, "a b c d e f h")]
+    described = jaccard.describe(brute.frame(spark, rows), 4, 85, 100)
+    ends = described.selectExpr("explode(prefix) as shingle").groupBy("shingle").count().where("count > 1")
+    sent = spark.sparkContext.broadcast(bit_map(ends, "shingle", jaccard.MARK_BITS))
+    found = jaccard._members(described.where("key is not null"), sent)
+    every, shared = described.selectExpr("explode(prefix) as s").count(), ends.count()
+    assert every > 1000 and 2 * shared <= found.count() < 2 * shared + 20
+    assert found.join(ends, "shingle").count() == 2 * shared
