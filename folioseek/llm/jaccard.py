@@ -46,6 +46,8 @@ COUNTED_TOGETHER = 1 << 21
 LEAF, FANOUT, BLOCK = 16, 8, 2048
 #: Most pairs of nodes that a task tests at a time, as children of pairs that reached the threshold.
 EXPANDED = 1 << 16
+#: Pairs of fine points that a task compares at a time.
+FINE_TOGETHER = 1 << 12
 #: Members of a bucket, besides the least and the greatest, that all others are paired with.
 CENTERS = 2
 #: Logarithm of the number of 64-bit slots of the bit map of shared shingles. It only keeps others from being shuffled.
@@ -87,21 +89,38 @@ def read_point(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, f"<u{raw[1]}", offset=2).astype(np.int64)
 
 
-def fine_survivors(pairs: np.ndarray, raw: list[bytes], sizes: np.ndarray, num: int, den: int) -> np.ndarray:
+class FinePoints:
+    """Points of a cell, read and folded when they are first asked for."""
+
+    def __init__(self, raw: list[bytes]):
+        self.raw, self.width = raw, np.array([1 << r[0] for r in raw])
+        self.read: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def of(self, groups: int, places: np.ndarray) -> np.ndarray:
+        """Points of all members in so many groups, of which those at ``places`` are filled in."""
+        if groups not in self.read:
+            self.read[groups] = np.zeros((len(self.raw), groups), np.int32), np.zeros(len(self.raw), bool)
+        points, there = self.read[groups]
+        wanted = np.zeros(len(there), bool)
+        wanted[places] = True
+        for i in np.flatnonzero(wanted & ~there).tolist():
+            points[i] = folded(read_point(self.raw[i]), groups)
+        there |= wanted
+        return points
+
+
+def fine_survivors(pairs: np.ndarray, fine: FinePoints, sizes: np.ndarray, num: int, den: int) -> np.ndarray:
     """Those pairs of places whose points, as fine as both have them, still reach the threshold."""
     kept = np.zeros(len(pairs), bool)
-    width = np.array([1 << r[0] for r in raw])
-    groups = np.minimum(width[pairs[:, 0]], width[pairs[:, 1]]) if len(pairs) else np.zeros(0, np.int64)
+    groups = np.minimum(fine.width[pairs[:, 0]], fine.width[pairs[:, 1]])
     for g in np.unique(groups).tolist():
         at = np.flatnonzero(groups == g)
-        used, back = np.unique(pairs[at], return_inverse=True)
-        back = back.reshape(-1, 2)
-        points = np.array([folded(read_point(raw[i]), g) for i in used.tolist()], np.int32)
-        for low in range(0, len(at), 1 << 14):
-            some = slice(low, low + (1 << 14))
-            shared = np.minimum(points[back[some, 0]], points[back[some, 1]]).sum(axis=1)
-            i, j = pairs[at[some], 0], pairs[at[some], 1]
-            kept[at[some]] = shared * (num + den) >= num * (sizes[i] + sizes[j])
+        points = fine.of(g, pairs[at].ravel())
+        for low in range(0, len(at), FINE_TOGETHER):
+            some = at[low : low + FINE_TOGETHER]
+            i, j = pairs[some, 0], pairs[some, 1]
+            shared = np.minimum(points[i], points[j]).sum(axis=1)
+            kept[some] = shared * (num + den) >= num * (sizes[i] + sizes[j])
     return pairs[kept]
 
 
@@ -147,9 +166,13 @@ def surviving(a: CountTree, b: CountTree | None, num: int, den: int) -> np.ndarr
 
     With ``b`` left out, pairs inside ``a``, each once.
     """
+    return np.concatenate([np.zeros((0, 2), np.int64), *surviving_pieces(a, b, num, den)])
+
+
+def surviving_pieces(a: CountTree, b: CountTree | None, num: int, den: int) -> Iterator[np.ndarray]:
+    """``surviving`` in pieces of ``EXPANDED`` pairs at most: branches are gone down one after another."""
     own = b is None
     b = a if own else b
-    la, lb = len(a.levels) - 1, len(b.levels) - 1
 
     def reaching(p: np.ndarray, la: int, lb: int) -> np.ndarray:
         (ta, na, xa), (tb, nb, xb) = a.levels[la], b.levels[lb]
@@ -157,17 +180,22 @@ def surviving(a: CountTree, b: CountTree | None, num: int, den: int) -> np.ndarr
         most = np.minimum(np.minimum(ta[i], tb[j]).sum(axis=1), np.minimum(xa[i], xb[j]))
         return p[most * (num + den) >= num * (na[i] + nb[j])]
 
-    pairs = reaching(np.zeros((1, 2), np.int64), la, lb)
-    while la or lb:
-        kept = [np.zeros((0, 2), np.int64)]
-        down = max(la, lb) - 1  # the deeper tree goes down, or both
-        for low in range(0, len(pairs), EXPANDED // LEAF**2):
-            below, *_ = _children(pairs[low : low + EXPANDED // LEAF**2], a, b, la, lb, own)
-            kept.append(reaching(below, min(la, down), min(lb, down)))
-        pairs, la, lb = np.concatenate(kept), min(la, down), min(lb, down)
-    if own:
-        pairs = pairs[pairs[:, 0] < pairs[:, 1]]
-    return np.stack([a.order[pairs[:, 0]], b.order[pairs[:, 1]]], axis=1)
+    la, lb = len(a.levels) - 1, len(b.levels) - 1
+    open_ = [(reaching(np.zeros((1, 2), np.int64), la, lb), la, lb)]
+    while open_:
+        pairs, la, lb = open_.pop()
+        if la or lb:
+            some, rest = pairs[: EXPANDED // LEAF**2], pairs[EXPANDED // LEAF**2 :]
+            if len(rest):
+                open_.append((rest, la, lb))
+            if len(some):  # the deeper tree goes down, or both
+                below, la, lb = _children(some, a, b, la, lb, own)
+                open_.append((reaching(below, la, lb), la, lb))
+            continue
+        if own:
+            pairs = pairs[pairs[:, 0] < pairs[:, 1]]
+        if len(pairs):
+            yield np.stack([a.order[pairs[:, 0]], b.order[pairs[:, 1]]], axis=1)
 
 
 def _children(pairs, a: CountTree, b: CountTree, la: int, lb: int, own: bool):
@@ -376,23 +404,23 @@ def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, nu
 def _tree_pairs(num: int, den: int):
     """Candidate pairs of each cell; rows come sorted by cell."""
 
-    def of_cell(block: np.ndarray, keys, comps, sizes, raw: list[bytes]) -> np.ndarray:
+    def of_cell(block: np.ndarray, keys, comps, sizes, raw: list[bytes]) -> Iterator[np.ndarray]:
         points = np.array([folded(read_point(r), COARSE) for r in raw], np.int64)
-        pairs = []
-        kinds = np.unique(block)
-        trees = []
-        for k in kinds:
+        fine, trees = FinePoints(raw), []
+        for k in np.unique(block):
             at = np.flatnonzero(block == k)
             at = at[np.unique(keys[at], return_index=True)[1]]  # equal sets are one point
             trees.append((at, CountTree(points[at], sizes[at])))
         (x, tx), (y, ty) = trees[0], trees[-1]
-        if len(trees) == 2:
-            found = surviving(tx, ty, num, den)
-        else:
-            found = surviving(tx, None, num, den)
-        pairs = np.stack([x[found[:, 0]], y[found[:, 1]]], axis=1)
-        pairs = pairs[comps[pairs[:, 0]] != comps[pairs[:, 1]]]
-        return keys[fine_survivors(pairs, raw, sizes, num, den)]
+        for found in surviving_pieces(tx, ty if len(trees) == 2 else None, num, den):
+            pairs = np.stack([x[found[:, 0]], y[found[:, 1]]], axis=1)
+            pairs = pairs[comps[pairs[:, 0]] != comps[pairs[:, 1]]]
+            if len(pairs):
+                yield keys[fine_survivors(pairs, fine, sizes, num, den)]
+
+    def distinct(found: list[np.ndarray]) -> pa.RecordBatch:
+        p = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -402,18 +430,20 @@ def _tree_pairs(num: int, den: int):
             raw = table.column(7).to_pylist()
             new = (np.diff(shingle) != 0) | (np.diff(block_a) != 0) | (np.diff(block_b) != 0)
             cuts = [0, *(np.flatnonzero(new) + 1).tolist(), len(shingle)]
-            found = []
+            found, n = [], 0
             for low, high in zip(cuts[:-1], cuts[1:], strict=True):
                 cell = slice(low, high)
                 mixed_blocks = block_a[low] != block_b[low]
                 if mixed_blocks and len(set(block[cell].tolist())) < 2:
                     continue  # pairs inside one block belong to its own cell
-                found.append(of_cell(block[cell], keys[cell], comps[cell], sizes[cell], raw[low:high]))
-            pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-            pairs = np.unique(np.sort(pairs, axis=1), axis=0)
-            for low in range(0, len(pairs), 1 << 16):
-                p = pairs[low : low + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
+                for pairs in of_cell(block[cell], keys[cell], comps[cell], sizes[cell], raw[low:high]):
+                    found.append(pairs)
+                    n += len(pairs)
+                    if n >= EXPANDED:
+                        yield distinct(found)
+                        found, n = [], 0
+            if n:
+                yield distinct(found)
 
         for batch in parts:
             table = pa.Table.from_batches([batch])

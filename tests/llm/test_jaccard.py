@@ -193,3 +193,29 @@ def test_only_shared_shingles_are_joined_with_buckets(spark):
     every, shared = described.selectExpr("explode(prefix) as s").count(), ends.count()
     assert every > 1000 and 2 * shared <= found.count() < 2 * shared + 20
     assert found.join(ends, "shingle").count() == 2 * shared
+
+
+def test_pairs_of_a_cell_come_in_bounded_pieces():
+    """Two blocks of near sets, all of whose pairs survive; held all together they took 348 MB."""
+    rng = np.random.default_rng(7)
+    points = rng.integers(7, 9, (2 * 1536, jaccard.COARSE))
+    sizes, n = points.sum(axis=1), len(points)
+    cell = pa.RecordBatch.from_pydict({
+        "shingle": np.zeros(n, np.int64), "block_a": np.zeros(n, np.int64), "block_b": np.ones(n, np.int64), "block": np.arange(n) % 2,
+        "key": np.arange(n), "comp": np.arange(n), "n": sizes, "point": [jaccard.stored_point(p) for p in points],
+    })
+    shared = np.minimum(points[::2, None], points[None, 1::2]).sum(axis=2)
+    want = np.argwhere(shared * 180 >= 80 * (sizes[::2, None] + sizes[None, 1::2]))
+    tracemalloc.start()
+    found, most = [], 0
+    for batch in jaccard._tree_pairs(80, 100)(iter([cell])):
+        most = max(most, batch.num_rows)
+        found.append(np.stack([c.to_numpy() for c in batch.columns], axis=1).astype(np.int16))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    pairs = np.concatenate(found).astype(np.int64)
+    odd = pairs % 2
+    assert (odd.sum(axis=1) == 1).all() and len(want) > 1 << 20
+    sides = np.where(odd[:, :1] == 0, pairs, pairs[:, ::-1]) // 2
+    assert np.array_equal(np.unique(sides, axis=0), want)
+    assert most <= 2 * jaccard.EXPANDED and peak < 64 << 20
